@@ -34,7 +34,7 @@ SIZE_TOP_LABEL = "5000+"
 TITLE_FOLDS = [("senior", "sr"), ("junior", "jr"), ("remote", ""), ("hybrid", "")]
 
 # --- fixed values: legal suffix pattern stripped when inferring a website --
-LEGAL_SUFFIX_PATTERN = r"\s+(inc\.?|llc\.?|ltd\.?|corp\.?|corporation|company|co\.?)$"
+LEGAL_SUFFIX_ALTERNATIVES = r"(inc\.?|llc\.?|ltd\.?|corp\.?|corporation|company|co\.?)"
 
 # --- fixed values: embedded job-card JSON marker of a search page ----------
 EMBEDDED_MARKER_PATTERN = (

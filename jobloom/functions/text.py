@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from jobloom.constants import (LEGAL_SUFFIX_PATTERN, PY_SPACE_CLASS, PY_WORD_CLASS,
+from jobloom.constants import (LEGAL_SUFFIX_ALTERNATIVES, PY_SPACE_CLASS, PY_WORD_CLASS,
                                TITLE_FOLDS)
 
 _NON_WORD = f"[^{PY_WORD_CLASS}{PY_SPACE_CLASS}]"
@@ -68,7 +68,7 @@ def company_id_from_name(name) -> Column:
 def infer_website(name) -> Column:
     """Lower, strip one legal suffix, drop punctuation, remove dashes/spaces, + '.com'."""
     s = F.lower(_c(name))
-    s = F.regexp_replace(s, "(?U)" + LEGAL_SUFFIX_PATTERN, "")
+    s = F.regexp_replace(s, f"[{PY_SPACE_CLASS}]+{LEGAL_SUFFIX_ALTERNATIVES}$", "")
     s = F.regexp_replace(s, f"[^{PY_WORD_CLASS}{PY_SPACE_CLASS}-]", "")
     s = F.regexp_replace(s, f"[-{PY_SPACE_CLASS}]+", "")
     return F.concat(s, F.lit(".com"))

@@ -123,3 +123,173 @@ def register(name: str, body: str) -> None:
 
 register("ranked_top50", f"SELECT {RANKED_COLS} FROM ranked ORDER BY {ORDER_O1} LIMIT 50")
 register("ranked_all", f"SELECT {RANKED_COLS} FROM ranked")
+
+
+# ---------------------------------------------------------------- SQL helpers
+from jobloom.constants import (LEGAL_SUFFIX_ALTERNATIVES, PY_SPACE_CLASS,  # noqa: E402
+                               PY_WORD_CLASS, SALARY_PATTERN)
+
+WS = PY_SPACE_CLASS
+
+
+def s_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def s_normalise(x: str) -> str:
+    s = f"regexp_replace(lower({x}), '[^{PY_WORD_CLASS}{WS}]', ' ', 'g')"
+    s = f"regexp_replace({s}, '[{WS}]+', ' ', 'g')"
+    return f"trim({s})"
+
+
+def s_fuzzy(company: str, title: str) -> str:
+    t = s_normalise(title)
+    for old, new in (("senior", "sr"), ("junior", "jr"), ("remote", ""), ("hybrid", "")):
+        t = f"replace({t}, '{old}', '{new}')"
+    t = f"trim(replace({t}, '  ', ' '))"
+    return f"{s_normalise(company)} || ':' || {t}"
+
+
+def s_shift(now: str, t: str) -> str:
+    n = f"TRY_CAST(regexp_extract({t}, '(\\d+)', 1) AS INTEGER)"
+    return (f"CASE WHEN {n} IS NULL THEN {now} "
+            f"WHEN contains({t}, 'hour') THEN {now} - to_hours({n}) "
+            f"WHEN contains({t}, 'day') THEN {now} - to_days({n}) "
+            f"WHEN contains({t}, 'week') THEN {now} - to_days(7 * {n}) "
+            f"WHEN contains({t}, 'month') THEN {now} - to_days(30 * {n}) ELSE {now} END")
+
+
+def s_rule_a(x: str, now: str = AS_OF_SQL) -> str:
+    t = s_strip(f"lower(coalesce({x}, ''))")
+    return f"CASE WHEN {t} IN ('', 'just posted', 'today') THEN {now} ELSE {s_shift(now, t)} END"
+
+
+def s_rule_b(x: str, now: str = AS_OF_SQL) -> str:
+    t = s_strip(f"replace({s_strip(f'lower(coalesce({x}, {chr(39)}{chr(39)}))')}, 'posted', '')")
+    return (f"CASE WHEN {t} = '' OR {t} = 'just' OR contains({t}, 'today') THEN {now} "
+            f"ELSE {s_shift(now, t)} END")
+
+
+def s_salary_vals(x: str) -> str:
+    t = f"coalesce({x}, '')"
+    low = f"lower({t})"
+    v = (f"list_filter(list_transform(regexp_extract_all({t}, '{SALARY_PATTERN}', 1), "
+         f"lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda v: v IS NOT NULL)")
+    v = f"list_transform({v}, lambda v: CASE WHEN contains({low}, 'k') AND v < 1000 THEN v * 1000 ELSE v END)"
+    v = f"list_transform({v}, lambda v: CASE WHEN contains({low}, 'hour') AND v < 500 THEN v * 2080 ELSE v END)"
+    return v
+
+
+def s_days(ts: str, now: str = AS_OF_SQL) -> str:
+    return f"CAST(floor((epoch_us({now}) - epoch_us({ts})) / 86400000000.0) AS BIGINT)"
+
+
+def s_md5_16(x: str) -> str:
+    return f"substr(md5({x}), 1, 16)"
+
+
+def s_infer_website(x: str) -> str:
+    s = f"regexp_replace(lower({x}), '[{WS}]+{LEGAL_SUFFIX_ALTERNATIVES}$', '')"
+    s = f"regexp_replace({s}, '[^{PY_WORD_CLASS}{WS}-]', '', 'g')"
+    s = f"regexp_replace({s}, '[-{WS}]+', '', 'g')"
+    return f"{s} || '.com'"
+
+
+def s_url_domain(u: str) -> str:
+    rest = f"regexp_replace({u}, '^[A-Za-z][A-Za-z0-9+.-]*:', '')"
+    netloc = f"CASE WHEN starts_with({rest}, '//') THEN regexp_extract({rest}, '^//([^/?#]*)', 1) ELSE '' END"
+    path = (f"CASE WHEN starts_with({rest}, '//') THEN regexp_extract({rest}, '^//[^/?#]*([^?#]*)', 1) "
+            f"ELSE regexp_extract({rest}, '^([^?#]*)', 1) END")
+    dom = f"(CASE WHEN {netloc} <> '' THEN {netloc} ELSE {path} END)"
+    dom = f"(CASE WHEN starts_with({dom}, 'www.') THEN substr({dom}, 5) ELSE {dom} END)"
+    return (f"CASE WHEN {u} IS NULL OR NOT contains({dom}, '.') THEN NULL "
+            f"ELSE nullif(split_part({dom}, '/', 1), '') END")
+
+
+def s_size_bucket(n: str) -> str:
+    return (f"CASE WHEN {n} IS NULL THEN NULL WHEN {n} <= 10 THEN '1-10' WHEN {n} <= 50 THEN '11-50' "
+            f"WHEN {n} <= 200 THEN '51-200' WHEN {n} <= 500 THEN '201-500' "
+            f"WHEN {n} <= 1000 THEN '501-1000' WHEN {n} <= 5000 THEN '1001-5000' ELSE '5000+' END")
+
+
+def s_city(loc: str, ctry: str) -> str:
+    gaz = [("Taiwan", ["Taipei", "Hsinchu", "Taichung", "Tainan", "Kaohsiung"]),
+           ("China", ["Beijing", "Shanghai", "Shenzhen", "Guangzhou", "Hangzhou", "Chengdu"]),
+           ("Singapore", ["Singapore"]), ("Hong Kong", ["Hong Kong"])]
+    low = f"lower({loc})"
+
+    def hit(cities):
+        return "CASE " + " ".join(f"WHEN contains({low}, '{c.lower()}') THEN '{c}'" for c in cities) + " END"
+    alls = [c for _, cs in gaz for c in cs]
+    body = " ".join(f"WHEN {ctry} = '{k}' THEN {hit(cs)}" for k, cs in gaz)
+    return (f"CASE WHEN coalesce({low}, '') = '' THEN NULL ELSE (CASE {body} ELSE {hit(alls)} END) END")
+
+
+def s_initcap(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+def s_age_label(ts: str, now: str = AS_OF_SQL) -> str:
+    d = f"CAST(ceil(abs(epoch_us({now}) - epoch_us({ts})) / 86400000000.0) AS BIGINT)"
+    return (f"CASE WHEN {d} = 0 THEN 'Today' WHEN {d} = 1 THEN 'Yesterday' "
+            f"WHEN {d} < 7 THEN CAST({d} AS VARCHAR) || ' days ago' "
+            f"WHEN {d} < 30 THEN CAST({d} // 7 AS VARCHAR) || ' weeks ago' "
+            f"ELSE CAST({d} // 30 AS VARCHAR) || ' months ago' END")
+
+
+def s_iso(ts: str) -> str:
+    return (f"coalesce(CASE WHEN microsecond({ts}) % 1000000 = 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') END, '')")
+
+
+def s_truncate(x: str, n: int = 200) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
+
+
+# ----------------------------------------------------------- scalar queries
+register("job_ids", f"SELECT seq, id, {s_md5_16('lower(company)')} AS company_key FROM jobs")
+register("fuzzy_keys", f"SELECT seq, {s_fuzzy('company', 'title')} AS fuzzy_key FROM jobs")
+register("doc_normalise", f"""SELECT doc_id, md5(n) AS norm_md5, CAST(length(n) AS INTEGER) AS norm_len
+FROM (SELECT doc_id, {s_normalise('text')} AS n FROM documents)""")
+register("relative_dates", f"""SELECT seq, posted_text, {s_rule_a('posted_text')} AS posted_rule_a,
+  {s_rule_b('posted_text')} AS posted_rule_b FROM jobs""")
+register("salary_parse", f"""SELECT seq,
+  CASE WHEN len(v) > 0 THEN list_min(v) END AS salary_min,
+  CASE WHEN len(v) > 0 THEN list_max(v) END AS salary_max
+FROM (SELECT seq, {s_salary_vals('salary_text')} AS v FROM jobs)""")
+register("listing_flags", """SELECT seq,
+  CASE WHEN seq % 7 = 0 OR contains(lower(location), 'remote') THEN 'Remote' END AS remote_type,
+  CASE WHEN k <> '' THEN 'https://www.indeed.com/viewjob?jk=' || k ELSE '' END AS job_url,
+  CASE WHEN k <> '' AND coalesce(iu, '') = '' THEN 'https://www.indeed.com/viewjob?jk=' || k
+       WHEN coalesce(iu, '') <> '' AND NOT starts_with(iu, 'http') THEN 'https://www.indeed.com' || iu
+       ELSE coalesce(iu, '') END AS item_url,
+  CASE WHEN coalesce(direct, '') <> '' THEN direct
+       WHEN cmp IS NOT NULL AND cmp <> '' AND NOT starts_with(cmp, 'http') THEN 'https://www.indeed.com' || cmp
+       ELSE cmp END AS company_url,
+  coalesce(nullif(CASE WHEN seq % 2 = 0 THEN '' ELSE description END, ''),
+           array_to_string(string_split(title, ' '), ' ')) AS description
+FROM (SELECT *, CASE WHEN seq % 13 = 0 THEN '' ELSE CAST(seq AS VARCHAR) END AS k,
+        CASE WHEN seq % 3 = 0 THEN '/viewjob?jk=' || CAST(seq AS VARCHAR) WHEN seq % 3 = 1 THEN url END AS iu,
+        CASE WHEN seq % 2 = 0 THEN '/cmp/' || replace(company, '#', '-') END AS cmp,
+        CASE WHEN seq % 5 = 0 THEN 'https://direct.example.com/c' END AS direct
+      FROM jobs)""")
+register("infer_websites", f"""SELECT s_suppkey, name, {s_infer_website('name')} AS website
+FROM (SELECT s_suppkey, s_name || ([' Inc.', ' LLC', ' Corporation', ' co', '', ' Ltd', ' - Labs Co.'])[CAST(s_suppkey % 7 AS INTEGER) + 1] AS name
+      FROM supplier)""")
+register("url_domains", f"""SELECT page_id, {s_url_domain('url')} AS domain,
+  {s_url_domain("regexp_replace(url, '^https?://', '')")} AS bare_domain FROM pages""")
+register("size_buckets", f"""SELECT c_custkey, n AS employee_count, {s_size_bucket('n')} AS company_size
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey * 7 % 7000 AS INTEGER) END AS n FROM customer)""")
+register("location_format", """SELECT id, nullif(concat_ws(', ', nullif(city, ''),
+  nullif(CASE WHEN id % 3 = 0 THEN '' ELSE title END, ''), nullif(country, '')), '') AS location FROM team_members""")
+register("member_cities", f"""SELECT id, loc AS location_text, hint AS country_hint, {s_city('loc', 'hint')} AS city
+FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'New Taipei City, ' || coalesce(country, '')
+                      WHEN id % 5 = 1 THEN upper(coalesce(location, '')) ELSE location END AS loc,
+             CASE WHEN id % 2 = 0 THEN country END AS hint FROM team_members)""")
+register("title_case", f"SELECT id, coalesce({s_initcap('country')}, '') AS country FROM team_members")
+register("description_truncate", f"""SELECT doc_id, md5(t) AS cut_md5, CAST(length(t) AS INTEGER) AS cut_len
+FROM (SELECT doc_id, {s_truncate('text')} AS t FROM documents)""")
+register("html_teaser", """SELECT page_id, substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 200) || '...' AS teaser FROM pages""")
+register("date_labels", f"""SELECT seq, {s_age_label('posted_date')} AS age_label, {s_iso('posted_date')} AS posted_iso,
+  strftime(posted_date, '%B %-d, %Y') AS posted_long, {s_days('posted_date')} AS age_days FROM jobs""")

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from jobloom.plans import serving
+from jobloom.plans import scalars, serving
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
     "ranked_all": serving.ranked_all,
+    # scalar functions
+    "job_ids": scalars.job_ids,
+    "fuzzy_keys": scalars.fuzzy_keys,
+    "doc_normalise": scalars.doc_normalise,
+    "relative_dates": scalars.relative_dates,
+    "salary_parse": scalars.salary_parse,
+    "listing_flags": scalars.listing_flags,
+    "infer_websites": scalars.infer_websites,
+    "url_domains": scalars.url_domains,
+    "size_buckets": scalars.size_buckets,
+    "location_format": scalars.location_format,
+    "member_cities": scalars.member_cities,
+    "title_case": scalars.title_case,
+    "description_truncate": scalars.description_truncate,
+    "html_teaser": scalars.html_teaser,
+    "date_labels": scalars.date_labels,
 }
