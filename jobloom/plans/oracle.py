@@ -293,3 +293,112 @@ FROM (SELECT doc_id, {s_truncate('text')} AS t FROM documents)""")
 register("html_teaser", """SELECT page_id, substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 200) || '...' AS teaser FROM pages""")
 register("date_labels", f"""SELECT seq, {s_age_label('posted_date')} AS age_label, {s_iso('posted_date')} AS posted_iso,
   strftime(posted_date, '%B %-d, %Y') AS posted_long, {s_days('posted_date')} AS age_days FROM jobs""")
+
+
+# ------------------------------------------------------------ de-dup oracle
+def s_score(cnt: str, pcc: str, mc: str, posted: str) -> str:
+    return (f"round(least({cnt} * 10.0, 50.0) + CASE WHEN {mc} > 0 THEN least({pcc} * 5.0, 20.0) ELSE 0.0 END"
+            f" + CASE WHEN {posted} IS NULL THEN 0.0 ELSE greatest(0.0, 5.0 - floor((epoch_us({AS_OF_SQL})"
+            f" - epoch_us({posted})) / 86400000000.0) / 7.0) END, 2)")
+
+
+def dedup_ctes(source: str = "jobs", rounds: int = 14) -> str:
+    """The round step of the distributed greedy de-dup, unrolled ``rounds`` times.
+
+    Ends with ``dd_kept(o)`` and an error if any row is still undecided.
+    """
+    parts = [f"""dd_kr AS MATERIALIZED (SELECT seq AS o, 0 AS kt, id AS kv FROM {source} WHERE id IS NOT NULL
+  UNION ALL SELECT seq, 1, {s_fuzzy('company', 'title')} FROM {source}
+  UNION ALL SELECT seq, 2, url FROM {source} WHERE coalesce(url, '') <> ''),
+dd_pri AS (SELECT seq AS o, row_number() OVER (ORDER BY scraped_at DESC NULLS LAST, seq) AS r FROM {source}),
+dd_nk AS MATERIALIZED (SELECT o, count(*) AS n FROM dd_kr GROUP BY o),
+dd_e0 AS MATERIALIZED (SELECT dd_kr.o, dd_pri.r * 4 + dd_nk.n AS p, kt, kv
+  FROM dd_kr JOIN dd_pri USING (o) JOIN dd_nk USING (o))"""]
+    for i in range(1, rounds + 1):
+        prev = f"dd_e{i - 1}"
+        parts.append(f"""dd_w{i} AS MATERIALIZED (SELECT kt, kv, min(p) AS w FROM {prev} GROUP BY kt, kv),
+dd_k{i} AS MATERIALIZED (SELECT w AS kw FROM dd_w{i} GROUP BY w HAVING count(*) = w % 4),
+dd_m{i} AS MATERIALIZED (SELECT e.o, e.p, e.kt, e.kv,
+    max(CASE WHEN k.kw IS NOT NULL AND g.w = e.p THEN 1 ELSE 0 END) OVER (PARTITION BY e.p) AS won,
+    max(CASE WHEN k.kw IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY e.p) AS hit
+  FROM {prev} e JOIN dd_w{i} g USING (kt, kv) LEFT JOIN dd_k{i} k ON k.kw = g.w),
+dd_e{i} AS MATERIALIZED (SELECT o, p, kt, kv FROM dd_m{i} WHERE hit = 0)""")
+    union = " UNION ALL ".join(f"SELECT o FROM dd_m{i} WHERE won = 1" for i in range(1, rounds + 1))
+    parts.append(f"""dd_keyless AS MATERIALIZED (SELECT p.o FROM dd_pri p ANTI JOIN dd_nk n ON p.o = n.o),
+dd_kept AS MATERIALIZED (SELECT DISTINCT o FROM ({union} UNION ALL SELECT o FROM dd_keyless)),
+dd_left AS MATERIALIZED (SELECT count(*) AS c FROM dd_e{rounds}),
+dd_ok AS (SELECT CASE WHEN c > 0 THEN error('de-dup oracle: rows still undecided') ELSE TRUE END AS ok
+  FROM dd_left)""")
+    return ",\n".join(parts)
+
+
+DEDUP_COLS = "seq, id, title, company, url, scraped_at"
+register("dedup_jobs", f""", {dedup_ctes()}
+SELECT {DEDUP_COLS} FROM jobs SEMI JOIN dd_kept ON jobs.seq = dd_kept.o
+WHERE (SELECT ok FROM dd_ok)""")
+register("dedup_exact_id", """SELECT id, seq FROM jobs
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC, seq) = 1""")
+register("dedup_counters", f""", {dedup_ctes()}
+SELECT count(*) AS input_rows, count(k.o) AS kept_rows, count(*) - count(k.o) AS duplicates
+FROM jobs LEFT JOIN dd_kept k ON jobs.seq = k.o WHERE (SELECT ok FROM dd_ok)""")
+
+# ------------------------------------------------------- table maintenance
+STORE_CTES = f"""
+landed AS (SELECT seq, id, title, company, location, description, url, posted_date, scraped_at, board_source FROM jobs),
+early AS (SELECT * FROM landed WHERE scraped_at < TIMESTAMP '2001-08-15 00:00:00'),
+late AS (SELECT * FROM landed WHERE scraped_at >= TIMESTAMP '2001-08-15 00:00:00'),
+s1 AS (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+s2 AS (SELECT * FROM late WHERE id NOT IN (SELECT id FROM s1)
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+stored AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+st_enr AS (SELECT s.*, f.id AS f_company_id, f.company_size AS f_size, f.industry AS f_industry,
+    f.headquarters_location AS f_hq, coalesce(f.region_team_count, 0) AS f_cnt,
+    coalesce(f.preferred_city_count, 0) AS f_pcc, coalesce(f.member_count, 0) AS f_mc
+  FROM stored s LEFT JOIN fresh f ON s.company = f.requested_name),
+st_ranked AS (SELECT *, {s_score('f_cnt', 'f_pcc', 'f_mc', 'posted_date')} AS f_score
+  FROM st_enr WHERE f_cnt >= 1),
+st_upd AS (SELECT s.id, s.seq, s.title, s.company, s.location, s.description, s.url, s.posted_date, s.scraped_at,
+    s.board_source,
+    CASE WHEN r.id IS NOT NULL THEN r.f_company_id END AS company_id,
+    CASE WHEN r.id IS NOT NULL THEN r.f_cnt ELSE 0 END AS region_team_count,
+    CASE WHEN r.id IS NOT NULL THEN r.f_score ELSE 0.0 END AS ranking_score,
+    CASE WHEN r.id IS NOT NULL THEN {AS_OF_SQL} END AS enriched_at,
+    CASE WHEN r.id IS NOT NULL THEN r.f_size END AS company_size,
+    CASE WHEN r.id IS NOT NULL THEN r.f_industry END AS industry,
+    CASE WHEN r.id IS NOT NULL THEN r.f_hq END AS headquarters_location
+  FROM stored s LEFT JOIN st_ranked r ON r.id = s.id),
+c_upd AS (
+  SELECT id, name, requested_name, linkedin_url, website, coalesce(industry, 'None') || ' (updated)' AS industry,
+    company_size, headquarters_location, description, total_employees, {AS_OF_SQL} AS enriched_at, source, region_team_count
+  FROM companies WHERE CAST(id AS BIGINT) % 3 = 0
+  UNION ALL
+  SELECT CAST(CAST(id AS BIGINT) + 1000000 AS VARCHAR), name || ' Holdings', name || ' Holdings', linkedin_url, website,
+    industry, company_size, headquarters_location, description, total_employees, {AS_OF_SQL}, source, region_team_count
+  FROM companies WHERE CAST(id AS BIGINT) % 4 = 1),
+c_merged AS (SELECT id, name, industry, enriched_at, region_team_count FROM companies WHERE id NOT IN (SELECT id FROM c_upd)
+  UNION ALL SELECT id, name, industry, enriched_at, region_team_count FROM c_upd),
+m_fresh AS (SELECT id, CAST(id % 50 AS VARCHAR) AS company_id, name, city,
+    CASE WHEN id % 10 = 0 THEN NULL ELSE country END AS country
+  FROM team_members WHERE CAST(id % 50 AS VARCHAR) IN (SELECT id FROM c_upd) AND (id % 50) % 6 <> 0),
+m_out AS (SELECT id, company_id, name, city, country FROM team_members
+    WHERE company_id NOT IN (SELECT company_id FROM m_fresh)
+  UNION ALL SELECT id, company_id, name, city, coalesce(country, 'Taiwan') FROM m_fresh)
+"""
+
+
+def register_store(name: str, body: str) -> None:
+    register(name, f", {STORE_CTES}\n{body}")
+
+
+register_store("store_insert", "SELECT id, seq, scraped_at FROM stored")
+register_store("job_enrichment_update", """SELECT id, company_id, region_team_count, ranking_score, enriched_at,
+  company_size, industry, headquarters_location FROM st_upd""")
+register_store("company_upsert", "SELECT * FROM c_merged")
+register_store("member_replace", "SELECT * FROM m_out")
+register_store("expire_jobs", f"""SELECT id, seq, scraped_at FROM stored
+WHERE scraped_at IS NULL OR scraped_at >= {AS_OF_SQL} - INTERVAL 30 DAY""")
+register_store("csv_jobs", f"""SELECT title, company, location, url, {s_iso('posted_date')} AS posted_date,
+  {s_truncate('description')} AS description, board_source AS board, {s_iso('scraped_at')} AS scraped_at FROM stored""")
+register_store("csv_enriched", f"""SELECT title, company, location, url, f_cnt AS taiwan_team_count, f_score AS ranking_score,
+  coalesce(f_industry, '') AS industry, coalesce(f_size, '') AS company_size, {s_iso('posted_date')} AS posted_date,
+  {s_truncate('description')} AS description, board_source AS board FROM st_ranked""")

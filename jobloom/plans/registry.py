@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import scalars, serving
+from jobloom.plans import maintenance as mt, scalars, serving
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
@@ -23,4 +23,15 @@ QUERIES = {
     "description_truncate": scalars.description_truncate,
     "html_teaser": scalars.html_teaser,
     "date_labels": scalars.date_labels,
+    # de-dup and table maintenance
+    "dedup_jobs": mt.dedup_jobs,
+    "dedup_exact_id": mt.dedup_exact_id,
+    "dedup_counters": mt.dedup_counters,
+    "store_insert": mt.store_insert,
+    "job_enrichment_update": mt.job_enrichment_update,
+    "company_upsert": mt.company_upsert,
+    "member_replace": mt.member_replace,
+    "expire_jobs": mt.expire_jobs,
+    "csv_jobs": mt.csv_jobs,
+    "csv_enriched": mt.csv_enriched,
 }

@@ -77,3 +77,15 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` once as Parquet to the shared checkpoint folder
+    and read it back.  Survives executor loss (the files live on the shared
+    file system) and, unlike an eager ``checkpoint()``, computes the plan once.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = shared_dir(spark, f"jobloom/{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -8,10 +8,30 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations"]
 
+# Dimension tables stay as scanned; everything else is a fact-sized input.
+SMALL_TABLES = {"region", "nation", "supplier", "benchmark", "labels"}
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split scan over the cluster's cores.
+
+    A file written as a single row group is read by one task however large
+    it is.  On a cluster scan of a big table this never triggers (it already
+    has thousands of splits); it only helps single-file inputs.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet carries its schema in the footer; no inference pass is run."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in SMALL_TABLES:
+        return df
+    return ensure_parallelism(df)
 
 
 def read_stored(spark: SparkSession, path: str, schema=None) -> DataFrame:
