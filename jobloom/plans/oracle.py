@@ -402,3 +402,62 @@ register_store("csv_jobs", f"""SELECT title, company, location, url, {s_iso('pos
 register_store("csv_enriched", f"""SELECT title, company, location, url, f_cnt AS taiwan_team_count, f_score AS ranking_score,
   coalesce(f_industry, '') AS industry, coalesce(f_size, '') AS company_size, {s_iso('posted_date')} AS posted_date,
   {s_truncate('description')} AS description, board_source AS board FROM st_ranked""")
+
+
+# ----------------------------------------------------------------- serving
+LIST = "id, title, company, location, posted_date, company_id, region_team_count, ranking_score, enriched_at"
+COMPANY = "id, name, website, industry, company_size, headquarters_location, region_team_count, enriched_at"
+O1 = "ranking_score DESC NULLS LAST, posted_date DESC NULLS LAST, id ASC"
+ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SEARCH_WHERE = " OR ".join(ASCII_LOWER.format(f) + " LIKE '%ring%'" for f in ("title", "company", "description"))
+
+register_store("store_jobs_list", f"""SELECT {LIST} FROM st_upd
+WHERE enriched_at IS NOT NULL AND region_team_count >= 1 ORDER BY {O1} LIMIT 100""")
+register_store("ui_jobs", f"SELECT {LIST} FROM st_upd WHERE region_team_count >= 0 ORDER BY {O1} LIMIT 100")
+register_store("keyword_search", f"SELECT {LIST} FROM st_upd WHERE {SEARCH_WHERE} ORDER BY {O1} LIMIT 100")
+register_store("search_result_count", f"""SELECT count(*) AS n_results FROM
+  (SELECT id FROM st_upd WHERE {SEARCH_WHERE} ORDER BY {O1} LIMIT 100)""")
+register_store("job_by_id", f"SELECT {LIST} FROM st_upd WHERE id = (SELECT arg_min(id, seq) FROM st_upd)")
+register("company_by_id", f"SELECT {COMPANY} FROM companies WHERE id = '1'")
+register("member_by_id", "SELECT * FROM team_members WHERE id = 7")
+register_store("jobs_of_company", f"SELECT {LIST} FROM st_upd WHERE company_id = '1'")
+register("members_of_company", "SELECT id, company_id, name, city, country FROM team_members WHERE company_id = '0'")
+register("members_of_company_country", """SELECT id, company_id, name, city, country FROM team_members
+WHERE company_id = '0' AND country = 'Taiwan'""")
+register("remote_jobs", "SELECT seq, id, title, location FROM jobs WHERE contains(lower(location), 'remote')")
+register_store("list_view", "SELECT id, title, company, location, url, posted_date, board_source, ranking_score FROM st_upd")
+register("enriched_assembly", """SELECT seq, id, company_id, company_size, industry, headquarters_location,
+  region_team_count, enriched_at FROM enriched""")
+register_store("company_360", """SELECT c.id AS company_id, c.name, c.industry, c.company_size, c.region_team_count,
+  coalesce(jc.n, 0) AS open_positions, coalesce(mc.n, 0) AS n_members, coalesce(mc.countries, '') AS countries
+FROM companies c
+LEFT JOIN (SELECT company_id, count(*) AS n FROM st_upd WHERE company_id IS NOT NULL GROUP BY company_id) jc
+  ON jc.company_id = c.id
+LEFT JOIN (SELECT company_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(country))), ',') AS countries
+  FROM team_members GROUP BY company_id) mc ON mc.company_id = c.id""")
+register_store("job_company", """SELECT s.id, s.company_id, c.name AS company_name, c.website
+FROM st_upd s LEFT JOIN companies c ON c.id = s.company_id""")
+register("member_company", """SELECT m.company_id, m.id, m.name, c.name AS company_name
+FROM team_members m LEFT JOIN companies c ON c.id = m.company_id""")
+register("company_list", f"SELECT {COMPANY} FROM companies ORDER BY region_team_count DESC NULLS LAST, id LIMIT 100")
+register("members_by_country", """SELECT company_id, coalesce(nullif(country, ''), 'Unknown') AS country,
+  count(*) AS n_members FROM team_members GROUP BY ALL""")
+register("country_rollup", """SELECT company_id, coalesce(country, 'Unknown') AS country, count(*) AS n_members
+FROM team_members GROUP BY company_id, country
+UNION ALL SELECT company_id, 'All', count(*) FROM team_members GROUP BY company_id""")
+register("company_countries", "SELECT DISTINCT company_id, country FROM team_members WHERE country IS NOT NULL")
+register_store("jobs_per_company", """SELECT company_id, count(*) AS open_positions FROM st_upd
+WHERE company_id IS NOT NULL GROUP BY company_id""")
+register("member_preview", """SELECT id, company_id, name, city, country FROM team_members
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY country NULLS FIRST, city NULLS FIRST,
+  name NULLS FIRST, id) <= 12""")
+register("top_jobs_cli", f"SELECT {RANKED_COLS} FROM ranked ORDER BY {ORDER_O1} LIMIT 20")
+register("distinct_companies", "SELECT DISTINCT company FROM jobs")
+register("enrichment_work_list", f""", wl_jobs AS (SELECT *, CASE WHEN seq % 2 = 1 THEN
+    'https://' || lower(replace(company, '#', '')) || '.example.com' END AS company_website FROM jobs),
+wl_first AS (SELECT company, company_website AS website FROM wl_jobs
+  QUALIFY row_number() OVER (PARTITION BY company ORDER BY seq) = 1),
+wl_cache AS (SELECT requested_name FROM companies WHERE CAST(id AS BIGINT) % 2 = 0
+  AND enriched_at >= {AS_OF_SQL} - INTERVAL 30 DAY)
+SELECT company, website, coalesce(nullif(website, ''), {s_infer_website('company')}) AS domain
+FROM wl_first WHERE company NOT IN (SELECT requested_name FROM wl_cache)""")

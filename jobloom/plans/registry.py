@@ -34,4 +34,30 @@ QUERIES = {
     "expire_jobs": mt.expire_jobs,
     "csv_jobs": mt.csv_jobs,
     "csv_enriched": mt.csv_enriched,
+    # serving
+    "store_jobs_list": serving.store_jobs_list,
+    "ui_jobs": serving.ui_jobs,
+    "keyword_search": serving.keyword_search,
+    "search_result_count": serving.search_result_count,
+    "job_by_id": serving.job_by_id,
+    "company_by_id": serving.company_by_id,
+    "member_by_id": serving.member_by_id,
+    "jobs_of_company": serving.jobs_of_company,
+    "members_of_company": serving.members_of_company,
+    "members_of_company_country": serving.members_of_company_country,
+    "remote_jobs": serving.remote_jobs,
+    "list_view": serving.list_view,
+    "enriched_assembly": serving.enriched_assembly,
+    "company_360": serving.company_360,
+    "job_company": serving.job_company,
+    "member_company": serving.member_company,
+    "company_list": serving.company_list,
+    "members_by_country": serving.members_by_country,
+    "country_rollup": serving.country_rollup,
+    "company_countries": serving.company_countries,
+    "jobs_per_company": serving.jobs_per_company,
+    "member_preview": serving.member_preview,
+    "top_jobs_cli": serving.top_jobs_cli,
+    "distinct_companies": serving.distinct_companies,
+    "enrichment_work_list": serving.enrichment_work_list,
 }

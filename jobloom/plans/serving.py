@@ -21,3 +21,175 @@ def ranked_top(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
 def ranked_all(spark: SparkSession, sf: str) -> DataFrame:
     """R7 over the whole table: every job above the threshold with its score."""
     return base.ranked(spark, sf).select(*RANKED_COLUMNS)
+
+
+# ------------------------------------------------------------------ serving
+from pyspark.sql import Window  # noqa: E402
+
+from jobloom.functions.text import ascii_lower, like_escape  # noqa: E402
+from jobloom.operators import serve  # noqa: E402
+from jobloom.plans import maintenance  # noqa: E402
+
+SEARCH_TERM = "ring"
+LOOKUP_COMPANY = "1"
+HOT_COMPANY = "0"
+
+
+def _store(spark, sf):
+    return maintenance.enriched_store(spark, sf)
+
+
+def store_jobs_list(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 + F3 + O1: enriched jobs with at least one regional member, best first, 100."""
+    s = serve.jobs_filter(_store(spark, sf), min_team=1, enriched_only=True, ui_semantics=False)
+    return s.orderBy(*serve.o1()).limit(100).select(*serve.LIST_COLUMNS)
+
+
+def ui_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 + O1: the UI list (count >= 0 drops null counts), 100."""
+    s = serve.jobs_filter(_store(spark, sf), min_team=0, ui_semantics=True)
+    return s.orderBy(*serve.o1()).limit(100).select(*serve.LIST_COLUMNS)
+
+
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 + O1: keyword over title, company, description; ASCII case folding."""
+    s = serve.search(_store(spark, sf), SEARCH_TERM)
+    return s.orderBy(*serve.o1()).limit(100).select(*serve.LIST_COLUMNS)
+
+
+def search_result_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of rows of the limited search result."""
+    return keyword_search(spark, sf).agg(F.count(F.lit(1)).alias("n_results"))
+
+
+def job_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """point lookup of a job (the first stored job's id)."""
+    s = _store(spark, sf)
+    target = s.select(F.min_by("id", "seq")).scalar()
+    return s.where(F.col("id") == target).select(*serve.LIST_COLUMNS)
+
+
+def company_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """point lookup of a company."""
+    return base.companies(spark, sf).where(F.col("id") == LOOKUP_COMPANY).select(*serve.COMPANY_COLUMNS)
+
+
+def member_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """point lookup of a team member (integer id)."""
+    return base.members(spark, sf).where(F.col("id") == 7)
+
+
+def jobs_of_company(spark: SparkSession, sf: str) -> DataFrame:
+    """all jobs of one company, ranked (O1), no limit."""
+    s = _store(spark, sf).where(F.col("company_id") == LOOKUP_COMPANY)
+    return s.select(*serve.LIST_COLUMNS)
+
+
+def members_of_company(spark: SparkSession, sf: str) -> DataFrame:
+    """F11 + O3: members of the largest company, ordered country, city, name."""
+    m = base.members(spark, sf).where(F.col("company_id") == HOT_COMPANY)
+    return m.select("id", "company_id", "name", "city", "country")
+
+
+def members_of_company_country(spark: SparkSession, sf: str) -> DataFrame:
+    """one country of one company."""
+    m = base.members(spark, sf).where((F.col("company_id") == HOT_COMPANY) & (F.col("country") == "Taiwan"))
+    return m.select("id", "company_id", "name", "city", "country")
+
+
+def remote_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """remote-only listings."""
+    from jobloom.functions.web import remote_type
+    j = base.jobs(spark, sf).withColumn("remote_type", remote_type("location"))
+    return j.where(F.col("remote_type") == "Remote").select("seq", "id", "title", "location")
+
+
+def list_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Store rows projected to the list columns (real score shown)."""
+    return _store(spark, sf).select("id", "title", "company", "location", "url", "posted_date",
+                                    "board_source", "ranking_score")
+
+
+def enriched_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Every landed job with its enrichment fields and defaults."""
+    return base.enriched(spark, sf).select(
+        "seq", "id", "company_id", "company_size", "industry", "headquarters_location",
+        "region_team_count", "enriched_at")
+
+
+def company_360(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 + A7 + A5: every company with open positions, member count and countries."""
+    return serve.company_360(base.companies(spark, sf), _store(spark, sf), base.members(spark, sf))
+
+
+def job_company(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored job with its company's name and website."""
+    s = _store(spark, sf).select("id", "company_id")
+    c = base.companies(spark, sf).select(F.col("id").alias("company_id"),
+                                         F.col("name").alias("company_name"), "website")
+    return s.join(c, "company_id", "left").select("id", "company_id", "company_name", "website")
+
+
+def member_company(spark: SparkSession, sf: str) -> DataFrame:
+    """Every member with its company's name."""
+    m = base.members(spark, sf).select("id", "company_id", "name")
+    c = base.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    return m.join(c, "company_id", "left")
+
+
+def company_list(spark: SparkSession, sf: str) -> DataFrame:
+    """O2: companies by regional head-count, 100."""
+    c = base.companies(spark, sf)
+    return c.orderBy(F.col("region_team_count").desc_nulls_last(), F.col("id")).limit(100) \
+        .select(*serve.COMPANY_COLUMNS)
+
+
+def members_by_country(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: members per company and country ('' / null → 'Unknown')."""
+    return serve.members_by_country(base.members(spark, sf))
+
+
+def country_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: per company and country plus the per-company 'All' total."""
+    return serve.country_rollup(base.members(spark, sf))
+
+
+def company_countries(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: distinct non-null countries per company."""
+    return base.members(spark, sf).where(F.col("country").isNotNull()) \
+        .select("company_id", "country").distinct()
+
+
+def jobs_per_company(spark: SparkSession, sf: str) -> DataFrame:
+    """Open positions per company."""
+    return _store(spark, sf).where(F.col("company_id").isNotNull()) \
+        .groupBy("company_id").agg(F.count(F.lit(1)).alias("open_positions"))
+
+
+def member_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """First 12 members of every company in display order."""
+    return serve.top_per_group(base.members(spark, sf), "company_id",
+                               [F.col("country").asc_nulls_first(), F.col("city").asc_nulls_first(),
+                                F.col("name").asc_nulls_first(), F.col("id")], 12) \
+        .select("id", "company_id", "name", "city", "country")
+
+
+def top_jobs_cli(spark: SparkSession, sf: str) -> DataFrame:
+    """The CLI's top 20 of the ranked list."""
+    return ranked_top(spark, sf, 20)
+
+
+def distinct_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct company names of the landed jobs."""
+    return base.jobs(spark, sf).select("company").distinct()
+
+
+def enrichment_work_list(spark: SparkSession, sf: str) -> DataFrame:
+    """J7 + J8: companies to fetch (no fresh row), one request each."""
+    from jobloom.operators.enrich import enrichment_work_list as wl
+    j = base.jobs(spark, sf)
+    j = j.withColumn("company_website", F.when(F.col("seq") % 2 == 1, F.concat(
+        F.lit("https://"), F.lower(F.regexp_replace("company", "#", "")), F.lit(".example.com"))))
+    # the cache holds only companies whose name is in the first half of suppliers
+    c = base.companies(spark, sf).where(F.col("id").cast("long") % 2 == 0)
+    return wl(j, c, base.AS_OF).select("company", "website", "domain")
