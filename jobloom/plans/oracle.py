@@ -461,3 +461,102 @@ wl_cache AS (SELECT requested_name FROM companies WHERE CAST(id AS BIGINT) % 2 =
   AND enriched_at >= {AS_OF_SQL} - INTERVAL 30 DAY)
 SELECT company, website, coalesce(nullif(website, ''), {s_infer_website('company')}) AS domain
 FROM wl_first WHERE company NOT IN (SELECT requested_name FROM wl_cache)""")
+
+
+# ------------------------------------------------------------------ ingest
+EMB_CTE = f""", emb AS (
+  SELECT seq // 15 AS page_id, CAST(row_number() OVER (PARTITION BY seq // 15 ORDER BY seq) - 1 AS INTEGER) AS pos,
+    seq, CASE WHEN seq % 13 = 0 THEN NULL ELSE CAST(seq AS VARCHAR) END AS k,
+    coalesce(CASE WHEN seq % 11 = 0 THEN NULL ELSE title END,
+             CASE WHEN seq % 11 = 0 AND seq % 2 = 0 THEN NULL ELSE title END, '') AS e_title,
+    CASE WHEN seq % 17 = 0 THEN 'Unknown' ELSE company END AS e_company,
+    coalesce(CASE WHEN seq % 19 = 0 THEN NULL ELSE location END,
+             CASE WHEN seq % 19 = 0 AND seq % 2 = 0 THEN NULL ELSE 'Taipei' END, 'Remote') AS e_location,
+    coalesce(nullif(CASE WHEN seq % 2 = 0 THEN '' ELSE description END, ''), title || ' ' || location) AS e_desc,
+    posted_text, title AS raw_title, location AS raw_location, company AS raw_company, description AS raw_desc,
+    salary_text
+  FROM jobs)"""
+
+
+def s_id(company, title, location, key="NULL"):
+    return (f"coalesce(nullif({key}, ''), substr(md5(lower(coalesce({company}, 'None') || ':' || "
+            f"coalesce({title}, 'None') || ':' || coalesce({location}, 'None'))), 1, 16))")
+
+
+register("embedded_jobs", f"""{EMB_CTE}
+SELECT page_id, pos, {s_id('e_company', 'e_title', 'e_location', 'k')} AS id, e_title AS title, e_company AS company,
+  e_location AS location, e_desc AS description,
+  CASE WHEN coalesce(k, '') <> '' THEN 'https://www.indeed.com/viewjob?jk=' || k ELSE '' END AS url,
+  {s_rule_a('posted_text')} AS posted_date,
+  CASE WHEN seq % 7 = 0 OR contains(lower(e_location), 'remote') THEN 'Remote' END AS remote_type,
+  CASE WHEN seq % 3 = 0 THEN CAST(50000 + seq % 100 AS DOUBLE) END AS salary_min,
+  CASE WHEN seq % 3 = 0 THEN CAST(90000 + seq % 100 AS DOUBLE) END AS salary_max
+FROM emb WHERE page_id % 10 NOT IN (7, 8)""")
+register("page_totals", """SELECT seq // 15 AS page_id,
+  CAST(CASE WHEN (seq // 15) % 10 IN (7, 8) THEN 0 ELSE count(*) + 5 END AS INTEGER) AS total_count
+FROM jobs GROUP BY seq // 15""")
+DOM_FIELDS = """CASE WHEN seq % 23 = 0 THEN 'Unknown' ELSE raw_company END AS d_company,
+  CASE WHEN seq % 29 = 0 THEN 'Remote' ELSE raw_location END AS d_location,
+  trim(regexp_replace(raw_desc, '<[^>]*>', '', 'g')) AS d_desc"""
+register("dom_jobs", f"""{EMB_CTE}
+SELECT page_id, pos, {s_id('d_company', 'raw_title', 'd_location', 'k')} AS id, raw_title AS title,
+  d_company AS company, d_location AS location, d_desc AS description,
+  CASE WHEN coalesce(k, '') <> '' THEN 'https://www.indeed.com/viewjob?jk=' || k ELSE '' END AS url,
+  {s_rule_a('posted_text')} AS posted_date,
+  CASE WHEN contains(lower(d_location), 'remote') THEN 'Remote' END AS remote_type
+FROM (SELECT *, {DOM_FIELDS} FROM emb)""")
+register("selector_jobs", f"""{EMB_CTE}
+SELECT page_id, pos, {s_id('d_company', 'raw_title', 'd_location')} AS id, raw_title AS title,
+  d_company AS company, d_location AS location, d_desc AS description,
+  'https://www.indeed.com/rc/clk?jk=' || coalesce(k, '') AS url,
+  {s_rule_b('posted_text')} AS posted_date,
+  CASE WHEN contains(lower(d_location), 'remote') THEN 'Remote' END AS remote_type,
+  'https://www.indeed.com/cmp/' || regexp_replace(raw_company, '[^A-Za-z0-9]', '-', 'g') AS company_website
+FROM (SELECT *, {DOM_FIELDS} FROM emb)""")
+register("extracted_jobs", f"""{EMB_CTE}, ex AS (
+  SELECT *, trim(CASE WHEN seq % 31 = 0 THEN '  ' ELSE ' ' || raw_title || ' ' END) AS x_title,
+    CASE WHEN seq % 17 = 0 THEN 'Unknown' ELSE raw_company END AS x_company,
+    CASE WHEN seq % 19 = 0 THEN 'Remote' ELSE raw_location END AS x_location,
+    CASE WHEN seq % 3 = 0 THEN '/viewjob?jk=' || CAST(seq AS VARCHAR)
+         WHEN seq % 3 = 1 THEN nullif((SELECT url FROM jobs j2 WHERE j2.seq = emb.seq), '') END AS iu,
+    CASE WHEN seq % 10 = 0 THEN CAST(60000 + seq % 7 AS DOUBLE) END AS gmin,
+    CASE WHEN seq % 20 = 0 THEN CAST(80000 + seq % 7 AS DOUBLE) END AS gmax,
+    {s_salary_vals('salary_text')} AS sv
+  FROM emb
+  WHERE page_id % 9 <> 4 AND page_id % 11 <> 5 AND (page_id % 2 = 0 OR page_id % 4 <> 3))
+SELECT page_id, pos, {s_id('x_company', 'x_title', 'x_location')} AS id, x_title AS title, x_company AS company,
+  x_location AS location, raw_desc AS description,
+  CASE WHEN coalesce(k, '') <> '' AND coalesce(iu, '') = '' THEN 'https://www.indeed.com/viewjob?jk=' || k
+       WHEN coalesce(iu, '') <> '' AND NOT starts_with(iu, 'http') THEN 'https://www.indeed.com' || iu
+       ELSE coalesce(iu, '') END AS url,
+  {s_rule_b('posted_text')} AS posted_date,
+  CASE WHEN seq % 7 = 0 OR contains(lower(x_location), 'remote') THEN 'Remote' END AS remote_type,
+  CASE WHEN seq % 5 = 0 THEN 'https://www.indeed.com/cmp/' || regexp_replace(raw_company, '[^A-Za-z0-9]', '-', 'g') || '?from=direct'
+       ELSE 'https://www.indeed.com/cmp/' || regexp_replace(raw_company, '[^A-Za-z0-9]', '-', 'g') END AS company_website,
+  CASE WHEN gmin IS NOT NULL THEN gmin WHEN len(sv) > 0 THEN list_min(sv) END AS salary_min,
+  CASE WHEN gmin IS NOT NULL THEN coalesce(nullif(gmax, 0), gmin) WHEN len(sv) > 0 THEN list_max(sv) END AS salary_max
+FROM ex WHERE x_title <> ''""")
+register("blocked_pages", r"""SELECT *, (challenge OR captcha_phrase OR captcha_element OR blocked_element) AS blocked
+FROM (SELECT page_id,
+  (contains(html, 'challenges.cloudflare.com') OR contains(html, 'Verify you are human')
+   OR contains(html, 'Just a moment') OR contains(html, 'cf-challenge')) AS challenge,
+  (contains(lower(html), 'verify you') OR contains(lower(html), 'captcha')) AS captcha_phrase,
+  (regexp_matches(html, '(?i)<(div|iframe|form)\b[^>]*\bclass\s*=\s*["''][^"'']*(recaptcha|captcha-container|hcaptcha)')
+   OR regexp_matches(html, '(?i)>[^<]*(verify you.re human|solve.*captcha|complete.*verification)')) AS captcha_element,
+  (regexp_matches(html, '(?i)<div\b[^>]*\bclass\s*=\s*["''][^"'']*(blocked|access.*denied)')
+   OR regexp_matches(html, '(?i)<[a-z0-9]+\b[^>]*\bid\s*=\s*["''][^"'']*(blocked|access.*denied)')
+   OR regexp_matches(html, '(?i)<h1\b[^>]*>[^<]*(blocked|access.*denied|unusual traffic)')) AS blocked_element,
+  length(html) < 5000 AS suspicious_small
+FROM pages)""")
+register("page_links", """SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, hrefs[i] AS href, texts[i] AS text
+FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs,
+        regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS texts FROM pages) p,
+  LATERAL (SELECT unnest(generate_series(1, len(hrefs))) AS i)""")
+register("page_titles", f"""SELECT page_id, {s_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+  {s_url_domain('url')} AS host FROM pages""")
+register("source_fallback", f"""{EMB_CTE}
+SELECT page_id, pos, {s_id('e_company', 'e_title', 'e_location', 'k')} AS id, e_title AS title, e_company AS company,
+  e_location AS location, 'embedded' AS source FROM emb WHERE page_id % 10 NOT IN (7, 8)
+UNION ALL
+SELECT page_id, pos, {s_id('d_company', 'raw_title', 'd_location', 'k')}, raw_title, d_company, d_location, 'dom'
+FROM (SELECT *, {DOM_FIELDS} FROM emb) WHERE page_id % 10 IN (7, 8)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import maintenance as mt, scalars, serving
+from jobloom.plans import ingest, maintenance as mt, scalars, serving
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
@@ -60,4 +60,14 @@ QUERIES = {
     "top_jobs_cli": serving.top_jobs_cli,
     "distinct_companies": serving.distinct_companies,
     "enrichment_work_list": serving.enrichment_work_list,
+    # landed pages and payloads
+    "embedded_jobs": ingest.embedded_jobs,
+    "page_totals": ingest.page_totals,
+    "dom_jobs": ingest.dom_jobs,
+    "selector_jobs": ingest.selector_jobs,
+    "extracted_jobs": ingest.extracted_jobs,
+    "blocked_pages": ingest.blocked_pages,
+    "source_fallback": ingest.source_fallback,
+    "page_links": ingest.page_links,
+    "page_titles": ingest.page_titles,
 }
