@@ -560,3 +560,41 @@ SELECT page_id, pos, {s_id('e_company', 'e_title', 'e_location', 'k')} AS id, e_
 UNION ALL
 SELECT page_id, pos, {s_id('d_company', 'raw_title', 'd_location', 'k')}, raw_title, d_company, d_location, 'dom'
 FROM (SELECT *, {DOM_FIELDS} FROM emb) WHERE page_id % 10 IN (7, 8)""")
+
+
+# ------------------------------------------------------------------ vendors
+register("vendor_a_company", f"""SELECT {s_md5_16('lower(requested_name)')} AS id,
+  CASE WHEN CAST(id AS BIGINT) % 5 = 2 THEN name || ' Inc' ELSE name END AS name, requested_name,
+  'https://www.linkedin.com/company/' || id AS linkedin_url, website, industry,
+  {s_size_bucket('ec')} AS company_size,
+  nullif(concat_ws(', ', nullif(loc, ''), NULL, nullif(headquarters_location, '')), '') AS headquarters_location,
+  'About ' || name AS description, ec AS total_employees, 'vendor_a' AS source
+FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 6 = 5 THEN NULL ELSE CAST(CAST(id AS BIGINT) * 37 % 9000 AS INTEGER) END AS ec,
+        CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN '' ELSE 'City ' || CAST(CAST(id AS BIGINT) % 9 AS VARCHAR) END AS loc
+      FROM companies) WHERE CAST(id AS BIGINT) % 8 <> 7""")
+register("vendor_b_company", """SELECT id, name, requested_name, 'https://www.linkedin.com/company/' || id AS linkedin_url,
+  CASE WHEN CAST(id AS BIGINT) % 4 = 1 THEN 'requested-' || id || '.com' ELSE website END AS website,
+  industry, company_size, headquarters_location, 'About ' || name AS description,
+  CAST(CAST(id AS BIGINT) * 37 % 9000 AS INTEGER) AS total_employees, 'vendor_b' AS source
+FROM companies WHERE CAST(id AS BIGINT) % 8 <> 7""")
+CAPPED = """capped AS (SELECT * FROM team_members WHERE country IN ('Taiwan', 'China', 'Singapore', 'Hong Kong')
+  QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) <= 100)"""
+register("vendor_a_people", f""", {CAPPED}
+SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY id) - 1 AS INTEGER) AS pos,
+  name, title, location, city, coalesce({s_initcap('lower(country)')}, '') AS country, linkedin_url FROM capped""")
+register("vendor_b_people", f""", {CAPPED}
+SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY id) - 1 AS INTEGER) AS pos,
+  name, title, location, {s_city('location', 'country')} AS city, country, linkedin_url FROM capped""")
+register("vendor_head_count", f""", {CAPPED}
+SELECT company_id, CAST(count(*) AS INTEGER) AS region_team_count FROM capped GROUP BY company_id""")
+register("company_metadata", """SELECT CAST(id AS BIGINT) AS page_id, name AS company_name,
+  CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN NULL ELSE 'https://' || website END AS website,
+  industry, company_size, headquarters_location AS headquarters FROM companies""")
+EMPLOYER = """em AS (SELECT DISTINCT c.id AS company_id, p.id AS person_id, p.name, p.country
+  FROM (SELECT id, name, country, 'supplier' || CAST(id % (SELECT n FROM ns) AS VARCHAR) || '.com' AS d FROM team_members
+        UNION ALL SELECT id, name, country, 'supplier' || CAST((id * 7 + 3) % (SELECT n FROM ns) AS VARCHAR) || '.com' FROM team_members) p
+  JOIN companies c ON c.website = p.d
+  WHERE p.country IN ('Taiwan', 'China', 'Singapore', 'Hong Kong'))"""
+register("employer_match", f", {EMPLOYER}\nSELECT * FROM em")
+register("people_cap", f""", {EMPLOYER}
+SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY person_id) <= 100""")

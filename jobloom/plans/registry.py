@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import ingest, maintenance as mt, scalars, serving
+from jobloom.plans import ingest, maintenance as mt, scalars, serving, vendor
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
@@ -70,4 +70,13 @@ QUERIES = {
     "source_fallback": ingest.source_fallback,
     "page_links": ingest.page_links,
     "page_titles": ingest.page_titles,
+    # vendor landing
+    "vendor_a_company": vendor.vendor_a_company,
+    "vendor_b_company": vendor.vendor_b_company,
+    "vendor_a_people": vendor.vendor_a_people,
+    "vendor_b_people": vendor.vendor_b_people,
+    "vendor_head_count": vendor.vendor_head_count,
+    "company_metadata": vendor.company_metadata,
+    "employer_match": vendor.employer_match,
+    "people_cap": vendor.people_cap,
 }
