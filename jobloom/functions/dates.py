@@ -1,7 +1,7 @@
 """Relative-date parsing and date presentation.
 
 ``as_of`` is always passed in: a Python datetime / string literal or a column.
-Timestamps are TIMESTAMP_NTZ (naive, like the reference's datetime.now()).
+Timestamps are TIMESTAMP_NTZ (naive local times, as the reference stores them).
 """
 
 from __future__ import annotations
