@@ -598,3 +598,9 @@ EMPLOYER = """em AS (SELECT DISTINCT c.id AS company_id, p.id AS person_id, p.na
 register("employer_match", f", {EMPLOYER}\nSELECT * FROM em")
 register("people_cap", f""", {EMPLOYER}
 SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY person_id) <= 100""")
+register("company_websites", """SELECT CAST(id AS BIGINT) AS page_id,
+  CASE WHEN CAST(id AS BIGINT) % 4 = 3 THEN NULL ELSE website END AS website FROM companies""")
+register("company_page_links", """SELECT seq AS page_id, CASE
+  WHEN seq % 4 = 0 THEN 'https://www.indeed.com/cmp/' || regexp_replace(company, '[^A-Za-z0-9]', '-', 'g') || '?campaignid=x'
+  WHEN seq % 4 = 1 THEN 'https://www.indeed.com/cmp/' || regexp_replace(company, '[^A-Za-z0-9]', '-', 'g') END AS company_page
+FROM jobs""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import ingest, maintenance as mt, scalars, serving, vendor
+from jobloom.plans import ingest, maintenance as mt, scalars, serving, streaming, vendor
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
@@ -79,4 +79,8 @@ QUERIES = {
     "company_metadata": vendor.company_metadata,
     "employer_match": vendor.employer_match,
     "people_cap": vendor.people_cap,
+    "company_websites": vendor.company_websites,
+    "company_page_links": vendor.company_page_links,
+    # streaming ingest (no SQL oracle: micro-batch boundaries are part of the semantics)
+    "stream_ingest": streaming.stream_ingest,
 }

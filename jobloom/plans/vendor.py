@@ -64,3 +64,19 @@ def employer_match(spark: SparkSession, sf: str) -> DataFrame:
 def people_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most 100 matched people per company (person id order)."""
     return top_per_group(employer_match(spark, sf), "company_id", [F.col("person_id")], 100)
+
+
+def company_websites(spark: SparkSession, sf: str) -> DataFrame:
+    """Website domain of every landed company page."""
+    from jobloom.operators.website import company_website
+    from jobloom.sources import html, landed
+    pg = landed.company_pages(base.companies(spark, sf))
+    return company_website(pg, html.extract_links(pg))
+
+
+def company_page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Company-page link of every landed job page."""
+    from jobloom.operators.website import company_page_link
+    from jobloom.sources import html, landed
+    pg = landed.job_detail_pages(base.jobs(spark, sf))
+    return company_page_link(html.extract_links(pg), pg)

@@ -131,3 +131,33 @@ def extraction_payloads(jobs: DataFrame) -> DataFrame:
                .when(pid % 2 == 0, F.to_json(items))
                .otherwise(F.to_json(F.struct(items.alias("jobs")))))
     return pages.select("page_id", (pid % 4 != 3).alias("use_llm"), payload.alias("payload"))
+
+
+def company_pages(companies: DataFrame) -> DataFrame:
+    """A landed company profile page per company, in four layouts."""
+    k = F.col("id").cast("long")
+    site = F.col("website")
+    social = F.concat(F.lit('<a href="https://www.linkedin.com/company/'), F.col("id"),
+                      F.lit('">LinkedIn</a><a href="/jobs?q='), F.col("id"), F.lit('">Jobs</a>'))
+    body = (F.when(k % 4 == 0, F.concat(
+                social, F.lit('<ul><li data-testid="companyInfo-companyWebsite"><a href="https://www.'),
+                site, F.lit('/about">Visit</a></li></ul>')))
+            .when(k % 4 == 1, F.concat(social, F.lit('<p><a href="https://'), site, F.lit('">Home</a></p>')))
+            .when(k % 4 == 2, F.concat(social, F.lit('<script type="application/ld+json">{"@type": "Organization", '
+                                                     '"url": "https://www.'), site, F.lit('"}</script>')))
+            .otherwise(social))
+    return companies.select(k.alias("page_id"), F.concat(
+        F.lit("<html><body><h1>"), F.col("name"), F.lit("</h1>"), body, F.lit("</body></html>")).alias("html"))
+
+
+def job_detail_pages(jobs: DataFrame) -> DataFrame:
+    """A landed job page per job with its employer links."""
+    k = F.col("seq")
+    slug = _slug(F.col("company"))
+    body = (F.when(k % 4 == 0, F.concat(F.lit('<a href="/cmp/'), slug, F.lit('">C</a><a href="/cmp/'), slug,
+                                         F.lit('?campaignid=x">C</a>')))
+            .when(k % 4 == 1, F.concat(F.lit('<a href="https://www.indeed.com/cmp/'), slug, F.lit('">C</a>')))
+            .when(k % 4 == 2, F.concat(F.lit('<div data-testid="jobsearch-CompanyAvatar"><a href="/other/'), slug,
+                                       F.lit('">C</a></div>')))
+            .otherwise(F.lit('<a href="/jobs">More</a>')))
+    return jobs.select(k.alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
