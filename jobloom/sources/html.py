@@ -31,11 +31,15 @@ class Node:
 
     def iter(self):
         """Descendant elements in document order."""
-        stack = list(reversed([c for c in self.children if isinstance(c, Node)]))
+        stack = [iter(self.children)]
         while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(reversed([c for c in n.children if isinstance(c, Node)]))
+            for c in stack[-1]:
+                if isinstance(c, Node):
+                    yield c
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
 
     def texts(self):
         stack = list(reversed(self.children))
@@ -197,23 +201,41 @@ _SNIPPET = compile_selector("div.job-snippet")
 _DATE = compile_selector("span.date")
 
 
+def _first_matches(card: Node) -> dict:
+    """One pass over a card: the first element of each card field (document order)."""
+    found = {}
+    for n in card.iter():
+        t = n.tag
+        if t == "h2" and "title" not in found and "jobTitle" in n.classes():
+            found["title"] = n
+        elif t == "span":
+            if "company" not in found and n.attrs.get("data-testid") == "company-name":
+                found["company"] = n
+            elif "date" not in found and "date" in n.classes():
+                found["date"] = n
+        elif t == "div":
+            if "location" not in found and n.attrs.get("data-testid") == "text-location":
+                found["location"] = n
+            elif "snippet" not in found and "job-snippet" in n.classes():
+                found["snippet"] = n
+    return found
+
+
 def _dom_cards(root: Node):
     """The search-page card rule; cards without a title link are skipped."""
     out = []
     for card in root.iter():
         if card.tag != "div" or not any(_CARD_CLASS.search(c) for c in card.classes()):
             continue
-        h2 = select_one(card, _TITLE)
+        f = _first_matches(card)
+        h2 = f.get("title")
         a = None
         if h2 is not None:
             a = next((n for n in h2.iter() if n.tag == "a"), None)
         if a is None:
             continue
         key = a.attrs.get("data-jk") or a.attrs.get("id", "").replace("job_", "")
-        comp = select_one(card, _COMPANY)
-        loc = select_one(card, _LOCATION)
-        snip = select_one(card, _SNIPPET)
-        date = select_one(card, _DATE)
+        comp, loc, snip, date = f.get("company"), f.get("location"), f.get("snippet"), f.get("date")
         out.append(dict(
             title=a.get_text(), job_key=key or None,
             company=comp.get_text() if comp is not None else "Unknown",
