@@ -90,3 +90,25 @@ def company_360(companies: DataFrame, jobs: DataFrame, members: DataFrame) -> Da
                     F.coalesce("open_positions", F.lit(0)).alias("open_positions"),
                     F.coalesce("n_members", F.lit(0)).alias("n_members"),
                     F.coalesce("countries", F.lit("")).alias("countries")))
+
+
+def saved_search(jobs: DataFrame, as_of, min_salary=None, job_types=None, posted_within_days=None,
+                 min_team=None) -> DataFrame:
+    """conjunction of the saved-search predicates that are set."""
+    from jobloom.functions.dates import age_days
+    out = jobs
+    if min_salary is not None:
+        out = out.where(F.coalesce(F.col("salary_max"), F.col("salary_min")) >= min_salary)
+    if job_types:
+        out = out.where(F.col("job_type").isin(list(job_types)))
+    if posted_within_days is not None:
+        out = out.where(age_days(F.col("posted_date"), as_of) <= posted_within_days)
+    if min_team is not None:
+        out = out.where(F.coalesce(F.col("region_team_count"), F.lit(0)) >= min_team)
+    return out
+
+
+def digest_top(jobs: DataFrame, n: int = 10) -> DataFrame:
+    """The alert digest — most regional members first, then newest."""
+    return jobs.orderBy(F.col("region_team_count").desc_nulls_last(),
+                        F.col("posted_date").desc_nulls_last(), F.col("id")).limit(n)

@@ -604,3 +604,9 @@ register("company_page_links", """SELECT seq AS page_id, CASE
   WHEN seq % 4 = 0 THEN 'https://www.indeed.com/cmp/' || regexp_replace(company, '[^A-Za-z0-9]', '-', 'g') || '?campaignid=x'
   WHEN seq % 4 = 1 THEN 'https://www.indeed.com/cmp/' || regexp_replace(company, '[^A-Za-z0-9]', '-', 'g') END AS company_page
 FROM jobs""")
+register_store("digest_top10", f"""SELECT {LIST} FROM st_upd
+ORDER BY region_team_count DESC NULLS LAST, posted_date DESC NULLS LAST, id LIMIT 10""")
+register("saved_search", f"""SELECT seq, id, smin AS salary_min, smax AS salary_max, posted_date, region_team_count
+FROM (SELECT *, CASE WHEN len(v) > 0 THEN list_min(v) END AS smin, CASE WHEN len(v) > 0 THEN list_max(v) END AS smax
+      FROM (SELECT *, {s_salary_vals('salary_text')} AS v FROM enriched))
+WHERE coalesce(smax, smin) >= 60000 AND {s_days('posted_date')} <= 14 AND coalesce(region_team_count, 0) >= 1""")

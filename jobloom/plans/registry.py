@@ -60,6 +60,8 @@ QUERIES = {
     "top_jobs_cli": serving.top_jobs_cli,
     "distinct_companies": serving.distinct_companies,
     "enrichment_work_list": serving.enrichment_work_list,
+    "digest_top10": serving.digest_top10,
+    "saved_search": serving.saved_search,
     # landed pages and payloads
     "embedded_jobs": ingest.embedded_jobs,
     "page_totals": ingest.page_totals,

@@ -193,3 +193,18 @@ def enrichment_work_list(spark: SparkSession, sf: str) -> DataFrame:
     # the cache holds only companies whose name is in the first half of suppliers
     c = base.companies(spark, sf).where(F.col("id").cast("long") % 2 == 0)
     return wl(j, c, base.AS_OF).select("company", "website", "domain")
+
+
+def digest_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """Top 10 stored jobs by regional team, then recency."""
+    return serve.digest_top(_store(spark, sf), 10).select(*serve.LIST_COLUMNS)
+
+
+def saved_search(spark: SparkSession, sf: str) -> DataFrame:
+    """landed jobs paying at least 60k, posted within 14 days, with a regional team."""
+    from jobloom.functions.salary import parse_salary
+    e = base.enriched(spark, sf)
+    s = parse_salary("salary_text")
+    e = e.withColumn("salary_min", s.salary_min).withColumn("salary_max", s.salary_max)
+    out = serve.saved_search(e, base.AS_OF, min_salary=60000, posted_within_days=14, min_team=1)
+    return out.select("seq", "id", "salary_min", "salary_max", "posted_date", "region_team_count")

@@ -73,3 +73,21 @@ def test_links(spark):
                                     '<a href="https://e.com?a=1&amp;b=2">E</a>')], "page_id long, html string")
     r = [(x.pos, x.href, x.text) for x in html.extract_links(df).collect()]
     assert r == [(0, "/a", "Ax"), (1, "https://e.com?a=1&b=2", "E")]
+
+
+def test_extractor_factory():
+    import pytest as _pt
+    from jobloom.sources.boards import get_extractor
+    assert callable(get_extractor("indeed")) and callable(get_extractor("hybrid"))
+    with _pt.raises(ValueError):
+        get_extractor("monster")
+
+
+def test_hybrid_mode_falls_back_per_page(spark):
+    from jobloom.sources.boards import get_extractor
+    item = '[{"title": "LLM Dev", "company": "Z", "location": "Taipei"}]'
+    df = spark.createDataFrame([(1, "<div class='jobsearch-ResultsList'>" + CARD + "</div>", item),
+                                (2, "<p>no cards</p>", item)],
+                               "page_id long, html string, payload string")
+    out = {(r.page_id, r.title) for r in get_extractor("hybrid")(df, AS_OF).collect()}
+    assert out == {(1, "Data Engineer"), (2, "LLM Dev")}
