@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_pairs
+    return fingerprint_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -19,6 +24,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+    from .textmap import held_out
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    net = fit(docs.where(~held_out("doc_id", 4, 2)))
+    return predict(docs.select("doc_id", "text"), net, keep_text=False).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op5_quality_rules": op5_quality_rules,
+    "op10_language_id": op10_language_id,
 }
