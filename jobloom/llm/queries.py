@@ -24,6 +24,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removals
+    return removals(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -41,6 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op5_quality_rules": op5_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_language_id": op10_language_id,
 }
