@@ -34,6 +34,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    docs = mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return docs.select("doc_id", "size", "source_size", "target",
+                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, predict
     from .textmap import held_out
@@ -48,5 +55,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
