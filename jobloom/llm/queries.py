@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_pairs
     return fingerprint_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -51,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_fingerprints": op3_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
