@@ -232,7 +232,7 @@ def _edges_at_or_above(splits: list[int], step: int = 64) -> Column:
     whole = above(ints([g[-1] for g in groups]))
     nested = F.array(*[ints(g) for g in groups])
     rest = F.coalesce(above(F.get(nested, whole)), F.lit(0))
-    return whole * step + F.when(whole < len(groups), rest).otherwise(F.lit(0))
+    return F.when(whole < len(groups), whole * step + rest).otherwise(F.lit(len(splits)))
 
 
 def with_successors(docs: DataFrame, rows_per_part: int = ROWS_PER_PART,
