@@ -35,8 +35,9 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 END = 0                          # id after each document
-GROUPS = 64                      # of equal cardinality among the large pieces
-LARGE = 8                        # large: longer than CAPACITY / LARGE
+GROUPS = 192                     # of equal cardinality among the large pieces
+LARGE = 4                        # large: longer than CAPACITY / LARGE
+FILL = 1.0                       # a configuration is used if its rounded sizes fill so much
 MEMO = 300_000                   # word encodings that a worker remembers
 # Fixed value: the pre-tokenizer pattern of the byte-level BPE vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -159,41 +160,46 @@ def _global_rank(table: DataFrame, by: str) -> DataFrame:
 
 # --- the driver's part: histograms in, ranges out ----------------------------------------------
 
-def _price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration of greatest value: an unbounded knapsack over the capacity."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, v = sizes[order], value[order]
-    for c in range(int(s[0]), capacity + 1):
-        m = int(np.searchsorted(s, c, side="right"))
-        got = best[c - s[:m]] + v[:m]
-        i = int(got.argmax())
-        if got[i] > best[c - 1] + 1e-12:
-            best[c], pick[c] = got[i], order[i]
-        else:
-            best[c] = best[c - 1]
-    config, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            config[pick[c]] += 1
-            c -= int(sizes[pick[c]])
-    return float(best[capacity]), config
+class _Prices:
+    """The configuration of greatest value: a knapsack filled item by item, for all capacities
+    at once; large sizes allow only a few items."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.left = np.arange(capacity + 1)[None, :] - sizes[:, None]
+        self.fits = self.left >= 0
+        self.left = np.maximum(self.left, 0)
+
+    def best(self, value: np.ndarray) -> tuple[float, np.ndarray]:
+        worth, picks = np.zeros(self.capacity + 1), []
+        for _ in range(self.capacity // int(self.sizes.min())):
+            more = np.where(self.fits, worth[self.left] + value[:, None], 0.0)
+            pick = more.argmax(0)
+            top = more[pick, np.arange(len(pick))]
+            picks.append(np.where(top > 0, pick, -1))
+            worth = top
+        config, c = np.zeros(len(self.sizes), np.int64), self.capacity
+        for pick in reversed(picks):
+            i = int(pick[c])
+            if i < 0:
+                break
+            config[i] += 1
+            c -= int(self.sizes[i])
+        return float(worth[self.capacity]), config
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int,
-                   rounds: int = 600) -> list[tuple[np.ndarray, int]]:
+                   rounds: int = 600, fill: float = FILL) -> list[tuple[np.ndarray, int]]:
     """Configurations and whole numbers of uses for the rounded sizes; what the fractions of the
-    linear programme leave over stays unplaced."""
+    linear programme leave over stays unplaced, and so do configurations that waste room."""
     k = len(sizes)
     if not k:
         return []
     basis = np.diag((capacity // sizes).astype(float))
+    prices = _Prices(sizes, capacity)
     for _ in range(rounds):
         dual = np.linalg.solve(basis.T, np.ones(k))
-        worth, config = _price(sizes, dual, capacity)
+        worth, config = prices.best(np.maximum(dual, 0))
         if worth <= 1 + 1e-7:
             break
         uses, step = np.linalg.solve(basis, counts.astype(float)), np.linalg.solve(basis, config)
@@ -203,6 +209,8 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int,
     out, left = [], counts.astype(np.int64).copy()
     for j in np.argsort(-uses):
         config = np.rint(basis[:, j]).astype(np.int64)
+        if (config * sizes).sum() < fill * capacity:
+            continue                     # its documents fit better one by one
         some = config > 0
         n = int(min(uses[j], (left[some] // config[some]).min()))
         if n > 0:
