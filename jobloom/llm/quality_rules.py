@@ -127,6 +127,9 @@ def metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         )).alias("l"),
         (F.char_length(t) - _n_of(t, SPACES)).cast("long").alias("word_chars"),
         _n_of(t, SYMBOLS).alias("n_symbols"),
+        # not deterministic: a filter on a count is then evaluated above this column and
+        # doesn't repeat the whole expression for each count it names
+        F.monotonically_increasing_id().alias("once"),
     ))
     counted = counted.withColumns({
         **{c: F.col(f"_m.w.{c}") for c in
