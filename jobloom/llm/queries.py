@@ -21,6 +21,16 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import fit, score
+    from .textmap import held_out
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit(docs.where(~held_out("doc_id", 5, 1)))
+    return score(docs, model, keep_text=False).select(
+        "doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -58,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_duplicates": op8_near_duplicates,
