@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify
+    from .textmap import held_out
+    good = table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    held = held_out("doc_id", 5, 1)
+    return classify(docs, good, held).withColumn("held_out", held)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -66,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_lm_scoring": op4_lm_scoring,
