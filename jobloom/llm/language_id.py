@@ -178,7 +178,7 @@ class Scorer:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         per_lang: int = PER_LANG) -> Network | None:
     """Trains on at most ``per_lang`` rows of each language of ``docs``."""
-    return train(labelled_sample(docs, label, key, per_lang, text=text))
+    return train(labelled_sample(docs, docs, label, key, per_lang, text=text))
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text",

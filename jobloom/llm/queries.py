@@ -48,6 +48,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .textmap import held_out
+    from .toxicity import fit, score
+    held = held_out("doc_id", 3, 1)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held)
+    return score(docs, fit(docs, labels), keep_text=False).select(
+        "doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import removals
     return removals(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -80,6 +90,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mixing": op9_source_mixing,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,33 +53,38 @@ def map_texts(docs: DataFrame, text: str, fields: list[T.StructField],
     return docs.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
-def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, per_label: int,
                     max_chars: int = SAMPLE_MAX_CHARS, text: str = "text") -> list[tuple]:
-    """About ``per_label`` rows of each label as [(text, label)], chosen by a hash of the key.
+    """At most ``per_label`` rows of each label as [(text, label)], chosen by a hash of the key.
 
-    The bound: at most ``per_label`` rows of each label, none longer than ``max_chars``, so
-    what reaches the driver doesn't grow with the table.  All rows are counted first; a row
-    is in if its hash falls below its label's share.  The result doesn't depend on order.
+    All labels are counted; an id is in if its hash falls below its label's share, so the choice
+    doesn't depend on any order.  The bound: ``per_label`` ids of each label, no text longer than
+    ``max_chars``; neither the ids that go to the executors nor the texts that come to the
+    driver grow with the tables.  ``labels`` has key and label and may be ``docs`` itself.
     """
-    rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()
-                      & (F.char_length(text) <= max_chars))
+    rows = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return []
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1_000_003))
     share = F.lit(0)
-    for value, n in sorted(counts.items(), key=str):
+    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(label) == F.lit(value),
                        F.lit(int(min(1.0, per_label / n) * 1_000_003) + 1)).otherwise(share)
-    got = (rows.where(place < share).select(place.alias("_p"), text, label)
-           .limit(2 * per_label * len(counts)).collect())
-    out, seen = [], {}
-    for _, t, v in sorted(got, key=lambda r: (r[0], r[1], str(r[2]))):
-        seen[v] = seen.get(v, 0) + 1
-        if seen[v] <= per_label:
-            out.append((t, v))
-    return out
-
-
-def nulls(mask: np.ndarray, values: list) -> list:
-    return [None if m else v for m, v in zip(mask.tolist(), values)]
+    chosen = (rows.where(place < share).select(place.alias("p"), key, label)
+              .limit(2 * per_label * len(counts)).collect())
+    ids: dict = {}
+    seen: dict = {}
+    for _, k, v in sorted(chosen, key=lambda r: (r[0], r[1], str(r[2]))):
+        if k not in ids:
+            seen[v] = seen.get(v, 0) + 1
+            if seen[v] <= per_label:
+                ids[k] = v
+    if not ids:
+        return []
+    few = docs.sparkSession.createDataFrame([(k,) for k in ids], f"{key} long")
+    got = (docs.select(key, text).where(F.col(text).isNotNull()
+                                        & (F.char_length(text) <= max_chars))
+           .join(F.broadcast(few), key, "left_semi").limit(2 * len(ids)).collect())
+    return [(t, ids[k]) for k, t in sorted((r[0], r[1]) for r in got)]
+

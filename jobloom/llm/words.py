@@ -22,6 +22,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# The second set of separators: all ASCII but letters, digits and the apostrophe.
+NOT_IN_TERM = np.ones(256, bool)
+NOT_IN_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
+
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 64, 256, dtype=_U) | _U(1)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -69,10 +73,10 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _piece(data: np.ndarray, starts_at: np.ndarray, values: np.ndarray):
+def _piece(data: np.ndarray, starts_at: np.ndarray, values: np.ndarray, space: np.ndarray):
     """Spans and hashes of the words of ``data``; a word also starts at each of ``starts_at``."""
     n = len(data)
-    inside = ~IS_SPACE[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = starts_at[(starts_at > 0) & (starts_at < n)]
@@ -89,7 +93,8 @@ def _piece(data: np.ndarray, starts_at: np.ndarray, values: np.ndarray):
     return starts, ends, h
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False,
+          space: np.ndarray = IS_SPACE):
     """Words of texts that stand one after another in ``data``, cut at ``offsets``.
 
     Returns (starts, ends, hashes, bounds): words of text i are bounds[i]:bounds[i+1].
@@ -97,18 +102,18 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     values = BYTE_VALUES[lower]
     n = len(data)
     if n <= 2 * BLOCK_BYTES:
-        starts, ends, h = _piece(data, offsets, values)
+        starts, ends, h = _piece(data, offsets, values, space)
     else:
         parts, at = [], 0
         while at < n:
             to = min(n, at + BLOCK_BYTES)
             while to < n:                       # end the piece at white space
-                space = np.flatnonzero(IS_SPACE[data[to:to + BLOCK_BYTES]])
-                if len(space):
-                    to += int(space[0])
+                gap = np.flatnonzero(space[data[to:to + BLOCK_BYTES]])
+                if len(gap):
+                    to += int(gap[0])
                     break
                 to = min(n, to + BLOCK_BYTES)
-            s, e, x = _piece(data[at:to], offsets - at, values)
+            s, e, x = _piece(data[at:to], offsets - at, values, space)
             parts.append((s + at, e + at, x))
             at = to
         starts, ends, h = (np.concatenate(x) for x in zip(*parts))
