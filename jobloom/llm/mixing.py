@@ -148,10 +148,11 @@ def plan(rows: DataFrame, cycle=WEIGHTS, repeats: int = MAX_REPEATS, shards: int
         near = rows
         if level:
             shift = 60 - BITS * level
-            at = F.lit(None)
+            here = F.lit(None)
             for s in todo:
-                at = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(cut[s] >> shift)).otherwise(at)
-            near = rows.where(F.shiftrightunsigned(F.col("_h"), shift) == at)
+                here = F.when(F.col("source").eqNullSafe(F.lit(s)),
+                              F.lit(cut[s] >> shift)).otherwise(here)
+            near = rows.where(F.shiftrightunsigned(F.col("_h"), shift) == here)
         sums: dict = {s: [] for s in todo}
         for r in _cells(near, level).collect():
             if r[0] in sums:
