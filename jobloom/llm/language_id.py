@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textmap import labelled_sample, map_texts
+from .textmap import fresh, labelled_sample, map_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text",
             keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the probability of that language)."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    flag = "_has_letter"
+    flag = fresh("_has_letter", docs)
     docs = docs.withColumn(flag, F.coalesce(
         F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None))
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
+from .textmap import fresh
 from .words import blocks, inside_text, window_hashes, words
 
 LEAST = 20
@@ -66,11 +67,11 @@ def _spread(at: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
 
 
 def candidates(h: np.ndarray, bounds: np.ndarray, length: int, least: int,
-               known: tuple | None):
+               known: tuple | None, shorter: int | None = None):
     """(text index, hash) of the windows of ``length`` words that a level looks at.
 
     Without ``known`` (first level): the smallest window of each stretch of ``least`` words.
-    With it: windows of ``length`` that hold a surviving window of half that length.
+    With it: windows of ``length`` that hold a surviving window of the ``shorter`` length.
     """
     inside = inside_text(bounds, length)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -82,20 +83,19 @@ def candidates(h: np.ndarray, bounds: np.ndarray, length: int, least: int,
             views = np.lib.stride_tricks.sliding_window_view(x, least - length + 1)
             chosen[np.unique(whole + views[whole].argmin(1))] = True
     elif len(x):
-        half = length // 2
-        y = window_hashes(h, half)
-        hit = _among(owner[:len(y)], y, *known) & inside_text(bounds, half)
-        chosen = _spread(hit, len(y), length - half, 0)[:len(x)] & inside
+        y = window_hashes(h, shorter)
+        hit = _among(owner[:len(y)], y, *known) & inside_text(bounds, shorter)
+        chosen = _spread(hit, len(y), length - shorter, 0)[:len(x)] & inside
     return owner[:len(x)][chosen], x[chosen]
 
 
-def _level(docs: DataFrame, length: int, least: int, first: bool) -> DataFrame:
+def _level(docs: DataFrame, length: int, least: int, shorter: int | None = None) -> DataFrame:
     """(hash, doc_id, n): candidate windows of one level, occurrences within a text summed."""
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             _, _, h, bounds = words(data, off)
-            known = None if first else _known(rows, "known")
-            owner, x = candidates(h, bounds, length, least, known)
+            known = _known(rows, "known") if shorter else None
+            owner, x = candidates(h, bounds, length, least, known, shorter)
             order = np.lexsort((x, owner))
             owner, x = owner[order], x[order]
             new = np.ones(len(x), bool)
@@ -113,23 +113,26 @@ def _of_documents(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_set("hash").alias("known"))
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, least: int = LEAST, start: int = START,
-                     longest: int | None = None) -> DataFrame:
-    """(hash, doc_id, n) of the windows of the last level, whose length is at most ``longest``
-    (``least`` by default); more than one row or occurrence has the hash of a repeat."""
-    length, known, table = start, None, None
+def repeated_windows(docs: DataFrame, scratch: Scratch, least: int = LEAST,
+                     start: int = START) -> DataFrame:
+    """(hash, doc_id, n) of the candidate windows of ``least`` words: the lengths double from
+    ``start`` on, and the last step reaches ``least``."""
+    lengths = [min(start, least)]
+    while lengths[-1] < least:
+        lengths.append(min(2 * lengths[-1], least))
     texts = docs.select("doc_id", "text")
-    while True:
+    known, table, shorter = None, None, None
+    for length in lengths:
         level = texts if known is None else texts.join(known, "doc_id")
         before, table = table, scratch.keep(
-            _level(level, length, least, known is None), f"windows-{length}")
+            _level(level, length, least, shorter), f"windows-{length}")
         if before is not None:
             scratch.drop(before, known)
-        if 2 * length > (longest or least):
-            return table
-        again = table.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-        known = scratch.keep(_of_documents(table.join(again, "hash")), f"repeats-{length}")
-        length *= 2
+        if length < least:
+            again = table.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+            known = scratch.keep(_of_documents(table.join(again, "hash")), f"repeats-{length}")
+            shorter = length
+    return table
 
 
 def repeat_lengths(docs: DataFrame, start: int = START, least: int = LEAST) -> DataFrame:
@@ -142,7 +145,8 @@ def repeat_lengths(docs: DataFrame, start: int = START, least: int = LEAST) -> D
     length, known, out = start, None, None
     while True:
         level = texts if known is None else texts.join(known.select("doc_id", "known"), "doc_id")
-        table = scratch.keep(_level(level, length, max(least, length), known is None), "windows")
+        table = scratch.keep(_level(level, length, max(least, length),
+                                    None if known is None else length // 2), "windows")
         again = table.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
         known = scratch.keep(_of_documents(table.join(again, "hash"))
                              .withColumn("longest", F.lit(length)), "repeats")
@@ -178,8 +182,9 @@ def covered_words(h: np.ndarray, bounds: np.ndarray, known: tuple, least: int) -
 
 def _apply(docs: DataFrame, later: DataFrame, least: int, fields: list[T.StructField], make):
     """``docs`` with columns made from (row bytes, word spans, removed mask) of each text."""
-    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(
-        later.select(F.col("doc_id").alias("_id"), F.col("known").alias("_known")), "_id", "left")
+    key, mark = fresh("_id", docs), fresh("_known", docs)
+    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(LAST_ID))).join(
+        later.select(F.col("doc_id").alias(key), F.col("known").alias(mark)), key, "left")
     keep = [f for f in docs.schema.fields if f.name not in {x.name for x in fields}]
     names = [f.name for f in keep]
     inputs = list(dict.fromkeys(["doc_id", "text", *names]))
@@ -187,14 +192,14 @@ def _apply(docs: DataFrame, later: DataFrame, least: int, fields: list[T.StructF
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             starts, ends, h, bounds = words(data, off)
-            gone = covered_words(h, bounds, _known(rows, "_known"), least)
+            gone = covered_words(h, bounds, _known(rows, mark), least)
             made = [make(data, starts[a:b], ends[a:b], gone[a:b])
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(rows.schema.get_field_index(n)) for n in names),
                  *(pa.array(list(c)) for c in zip(*made))],
                 names=[*names, *(f.name for f in fields)])
-    return joined.select(*[F.col(f"`{n}`") for n in inputs], "_known").mapInArrow(
+    return joined.select(*[F.col(f"`{n}`") for n in inputs], mark).mapInArrow(
         run, T.StructType([*keep, *fields]))
 
 
@@ -241,7 +246,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, start: int = START) ->
     table = repeated_windows(_prepared(docs), scratch, least, start)
     later = _later(table, scratch)
     scratch.drop(table)
-    fields = [T.StructField("n_removed", T.LongType()), T.StructField("_kept", T.StringType())]
+    fields = [T.StructField("n_removed", T.LongType()), T.StructField(kept := fresh("_kept", docs), T.StringType())]
     out = _apply(docs, later, least, fields, _text)
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`")
+    return out.select(*[F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`")
                         for c in docs.columns if c != "n_removed"], "n_removed")

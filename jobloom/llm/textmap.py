@@ -14,6 +14,13 @@ from .words import blocks
 SAMPLE_MAX_CHARS = 200_000
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of a column written as text, modulo ``m`` (null for a null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
