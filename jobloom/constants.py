@@ -3,10 +3,6 @@
 Everything here is data, stated once, in natural order.
 """
 
-# --- fixed values: job boards (enum name, value) ---------------------------
-JOB_BOARDS = [("INDEED", "indeed"), ("LINKEDIN", "linkedin"),
-              ("REMOTEOK", "remoteok"), ("WEWORKREMOTELY", "weworkremotely")]
-
 # --- fixed values: base URL of the job board that links are resolved against
 BOARD_BASE_URL = "https://www.indeed.com"
 
@@ -56,8 +52,6 @@ SALARY_PATTERN = r"\$?([\d,]+(?:\.\d{2})?)\s*[kK]?"
 
 # --- fixed values: per-company caps of the vendor searches and the UI ------
 VENDOR_PEOPLE_CAP = 100
-UI_MEMBER_PREVIEW = 12
-CLI_TOP_JOBS = 20
 
 # --- fixed values: Python str.isspace() characters as a regex class body ---
 # (shared by Java regex and RE2 so Spark and DuckDB agree with Python)

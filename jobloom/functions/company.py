@@ -54,6 +54,3 @@ def city_from_location(location, country) -> Column:
     out = out.otherwise(first_hit(all_cities))
     return F.when(F.coalesce(loc, F.lit("")) == "", F.lit(None).cast("string")).otherwise(out)
 
-
-def has_target_country(country, targets) -> Column:
-    return _c(country).isin(list(targets))

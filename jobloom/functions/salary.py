@@ -42,9 +42,3 @@ def parse_salary(text, given_min=None, given_max=None) -> Column:
     return F.struct(F.when(gmin.isNotNull(), gmin).otherwise(parsed_min).alias("salary_min"),
                     F.when(gmin.isNotNull(), gmax).otherwise(parsed_max).alias("salary_max"))
 
-
-def structured_salary(extracted) -> Column:
-    """Min / max from a non-empty salary object, not annualised."""
-    e = _c(extracted)
-    return F.struct(e.getField("min").cast("double").alias("salary_min"),
-                    e.getField("max").cast("double").alias("salary_max"))

@@ -7,6 +7,7 @@ first maximal independent set of the "shares a key" graph, which we compute
 in rounds without ever materialising the graph:
 
 * state ``E``: one row per (undecided job, key) — at most three per job;
+* jobs that share no key with any other are kept outright and never enter the loop;
 * a job is kept when it holds the best priority in every one of its key
   groups (partial aggregation ``min`` per group, then a count per job);
 * every undecided job sharing a group with a kept job is dropped;
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from jobloom.functions.text import fuzzy_key
-from jobloom.session import checkpoint_dir, materialize
+from jobloom.session import checkpoint_dir, discard, materialize
 
 KEY_ID, KEY_FUZZY, KEY_URL = 0, 1, 2
 
@@ -53,7 +54,7 @@ def priority(ts_col: str = "scraped_at", order_col: str = "seq"):
 
 def key_rows(jobs: DataFrame, ts_col="scraped_at", order_col="seq",
              id_col="id", url_col="url", fuzzy_col=None) -> DataFrame:
-    """One row per (job, non-null key): (o, p, kt, kv).
+    """One row per (job, non-null key): (o, p, kt, kv); a job without keys has one with nulls.
 
     ``p`` is one unique long per job that sorts like the priority (newest
     first, then input order): a global range-partitioned sort followed by
@@ -71,28 +72,24 @@ def key_rows(jobs: DataFrame, ts_col="scraped_at", order_col="seq",
     base = jobs.select(priority(ts_col, order_col).alias("pr"), keys.alias("keys"))
     ordered = base.orderBy("pr.t", "pr.o").withColumn("_r", F.monotonically_increasing_id())
     p = F.shiftleft(F.col("_r"), 2) + F.size("keys")
-    return ordered.select(F.col("pr.o").alias("o"), p.alias("p"), F.explode("keys").alias("k")) \
+    return ordered.select(F.col("pr.o").alias("o"), p.alias("p"), F.explode_outer("keys").alias("k")) \
         .select("o", "p", "k.kt", "k.kv")
 
 
-def _mark(e: DataFrame):
-    """One round: tag every undecided key row with its job's fate (``st``).
+def _fates(e: DataFrame) -> DataFrame:
+    """One round: (p, o, won, hit) of every undecided job, by hash aggregates on longs.
 
-    st = 2 kept, 1 dropped, 0 still undecided.  Returns (marked, winners);
-    the caller unpersists ``winners`` after materialising ``marked``.
+    ``won``: the job is best in all its groups and is kept; ``hit``: a kept job (itself or
+    another) is in one of its groups, so it is decided.
     """
-    winners = e.groupBy("kt", "kv").agg(F.min("p").alias("w")).persist()
+    winners = e.groupBy("kt", "kv").agg(F.min("p").alias("w"))
     kept = (winners.groupBy("w").agg(F.count(F.lit(1)).alias("wins"))
             .where(F.col("wins") == F.col("w").bitwiseAND(3)).select(F.col("w").alias("kw")))
     groups = (winners.join(kept, F.col("w") == F.col("kw"), "left")
               .select("kt", "kv", "w", F.col("kw").isNotNull().alias("gk")))
-    tagged = e.join(groups, ["kt", "kv"])
-    per_job = Window.partitionBy("p")
-    won = F.max((F.col("gk") & (F.col("w") == F.col("p"))).cast("int")).over(per_job)
-    hit = F.max(F.col("gk").cast("int")).over(per_job)
-    marked = tagged.select("o", "p", "kt", "kv",
-                           F.when(won == 1, 2).when(hit == 1, 1).otherwise(0).alias("st"))
-    return marked, winners
+    return e.join(groups, ["kt", "kv"]).groupBy("p").agg(
+        F.max("o").alias("o"), F.max(F.col("gk") & (F.col("w") == F.col("p"))).alias("won"),
+        F.max("gk").alias("hit"))
 
 
 def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "seq",
@@ -100,39 +97,45 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
                  max_rounds: int = 1000, stats: DedupStats | None = None) -> DataFrame:
     """Keep the greedy-first row of every duplicate cluster.
 
-    ``order_col`` must be unique (input order).  Returns the kept input rows.
+    ``order_col`` must be unique (input order).  Returns the kept input rows.  Rounds follow
+    the longest chain of jobs that alternate as duplicates in time, which the data decide;
+    ``max_rounds`` is a guard far beyond any chain seen (under 20), and it fails, never truncates.
     """
     spark = jobs.sparkSession
     checkpoint_dir(spark)
-    e = materialize(key_rows(jobs, ts_col, order_col, id_col, url_col, fuzzy_col), "dedup-keys")
-    # rows without any key have no duplicates: kept outright
-    kept_parts = [jobs.select(F.col(order_col).cast("long").alias("o"))
-                  .join(e.select("o"), "o", "left_anti")]
+    first = materialize(key_rows(jobs, ts_col, order_col, id_col, url_col, fuzzy_col), "dedup-keys")
+    # Jobs without any key, and jobs that are alone in all their groups, are kept outright.
+    keyed = first.where("kt IS NOT NULL")
+    shared = keyed.groupBy("kt", "kv").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    contested = keyed.join(shared, ["kt", "kv"], "left_semi").select("p").distinct()
+    e = materialize(keyed.join(contested, "p", "left_semi"), "dedup-open")
+    everyone = first.select("o").distinct()
+    kept_parts = [everyone.join(e.select("o"), "o", "left_anti")]
     rounds = 0
     while not e.isEmpty():
         if rounds >= max_rounds:
             raise RuntimeError(f"greedy de-dup did not converge in {max_rounds} rounds")
-        marked, winners = _mark(e)
-        marked = materialize(marked, f"dedup-round{rounds + 1}")
-        winners.unpersist()
-        kept_parts.append(marked.where(F.col("st") == 2).select("o").distinct())
-        e = marked.where(F.col("st") == 0).drop("st")
+        fates = materialize(_fates(e), f"dedup-round{rounds + 1}")
+        kept_parts.append(fates.where("won").select("o"))
+        last, e = e, materialize(e.join(fates.where("NOT hit"), "p", "left_semi"), "dedup-open")
+        # the first table of open keys also tells who was alone; later ones are done with
+        if rounds:
+            discard(last)
         rounds += 1
     kept_all = kept_parts[0]
     for k in kept_parts[1:]:
         kept_all = kept_all.unionByName(k)
-    out = jobs.join(kept_all.withColumnRenamed("o", "_o"),
-                    F.col(order_col).cast("long") == F.col("_o"), "left_semi")
     if stats is not None:
         stats.rounds = rounds
-        stats.kept_rows = -1
-    return out
+        stats.input_rows = everyone.count()
+        stats.kept_rows = kept_all.count()
+    return jobs.join(kept_all.withColumnRenamed("o", "_o"),
+                     F.col(order_col).cast("long") == F.col("_o"), "left_semi")
 
 
 def exact_id_dedup(jobs: DataFrame, id_col: str = "id", ts_col: str = "scraped_at",
                    order_col: str = "seq") -> DataFrame:
-    """D2 alone: one row per id, the newest (ties: input order); partial aggregation."""
-    cols = jobs.columns
-    best = jobs.groupBy(id_col).agg(F.min(F.struct(priority(ts_col, order_col).alias("p"),
-                                                   F.struct(*cols).alias("r"))).alias("m"))
-    return best.select("m.r.*")
+    """D2 alone: one row per id, the newest (ties: input order); the group limit of
+    ``row_number() = 1`` works before the shuffle."""
+    w = Window.partitionBy(id_col).orderBy(F.col(ts_col).desc_nulls_last(), F.col(order_col))
+    return jobs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from jobloom.constants import DEFAULT_PREFERRED_CITIES, TARGET_COUNTRIES
 from jobloom.functions.dates import as_of_col
 from jobloom.functions.text import infer_website
 
+UNKNOWN_COMPANY = "Unknown"
 ENRICH_COLUMNS = ["company_id", "company_size", "industry", "headquarters_location",
                   "region_team_count", "preferred_city_count", "member_count", "enriched_at"]
 
@@ -29,18 +30,13 @@ def member_stats(members: DataFrame, preferred_cities=DEFAULT_PREFERRED_CITIES)
         F.count_if(F.col("city").isin(list(preferred_cities))).alias("preferred_city_count"))
 
 
-def region_counts(members: DataFrame, targets=TARGET_COUNTRIES) -> DataFrame:
-    """A1: members in the target countries per company."""
-    return (members.where(F.col("country").isin(list(targets)))
-            .groupBy("company_id").agg(F.count(F.lit(1)).cast("int").alias("region_team_count")))
-
-
 def enrich_jobs(jobs: DataFrame, companies: DataFrame, members: DataFrame, as_of,
                 max_age_days: int = 30,
                 preferred_cities=DEFAULT_PREFERRED_CITIES) -> DataFrame:
     """J1 + P2: left join jobs to fresh companies on the requested name.
 
-    ``requested_name`` is unique per company, so the join never fans out.
+    The newest fresh company of each ``requested_name`` is taken, so the join never fans out;
+    the placeholder company 'Unknown' is nobody's name and isn't matched.
     The company side is small per key and AQE broadcasts it when its
     measured size is under the threshold, else it is a sort-merge join.
     """
@@ -50,6 +46,10 @@ def enrich_jobs(jobs: DataFrame, companies: DataFrame, members: DataFrame, as_of
         F.col("id").alias("company_id"),
         "company_size", "industry", "headquarters_location",
         "region_team_count", F.col("enriched_at").alias("_company_enriched_at"))
+    newest = Window.partitionBy("_cname").orderBy(
+        F.col("_company_enriched_at").desc(), F.col("company_id"))
+    fresh = (fresh.where(F.col("_cname") != UNKNOWN_COMPANY)
+             .withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn"))
     fresh = (fresh.join(stats, "company_id", "left")
              .withColumn("member_count", F.coalesce("member_count", F.lit(0)))
              .withColumn("preferred_city_count", F.coalesce("preferred_city_count", F.lit(0))))

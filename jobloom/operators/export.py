@@ -32,5 +32,9 @@ def enriched_csv_frame(jobs: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header row, one file per partition; readers treat the folder as one table."""
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """Header row, one file per partition; readers treat the folder as one table.
+
+    Quotes are doubled inside quoted fields, and blanks at the ends of a field stay."""
+    (df.write.mode("overwrite").option("header", True).option("emptyValue", "")
+     .option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

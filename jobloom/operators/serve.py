@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobloom.functions.text import ascii_lower, like_escape
+from jobloom.session import materialize
 
 def o1() -> list:
     """O1: score desc, posted desc (nulls last), id as our tiebreak."""
     return [F.col("ranking_score").desc_nulls_last(), F.col("posted_date").desc_nulls_last(),
             F.col("id").asc()]
+
+
+def o3() -> list:
+    """O3: members by country, city, name (nulls first), id as our tiebreak."""
+    return [F.col(c).asc_nulls_first() for c in ("country", "city", "name")] + [F.col("id").asc()]
+
+
 LIST_COLUMNS = ["id", "title", "company", "location", "posted_date", "company_id",
                 "region_team_count", "ranking_score", "enriched_at"]
 COMPANY_COLUMNS = ["id", "name", "website", "industry", "company_size", "headquarters_location",
@@ -54,6 +62,22 @@ def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def in_order(df: DataFrame, order: list, pos: str = "pos") -> DataFrame:
+    """All rows with their place in a global order, without one task that holds them all.
+
+    Rows are range-sorted; a row's place is its place in its sorted partition plus the rows of
+    the partitions before.  The sorted rows are written once, so both uses see the same ranges.
+    """
+    part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = materialize(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
+                         .withColumn("_part", part), "ordered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))     # one row a partition
+    return ranked.join(base, "_part").withColumn(
+        pos, (row + F.col("_base") + 1).cast("long")).drop("_m", "_part", "_n", "_base")
+
+
 def members_by_country(members: DataFrame) -> DataFrame:
     """A3."""
     country = F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("Unknown"))

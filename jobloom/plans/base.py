@@ -12,28 +12,17 @@ AS_OF = fixtures.AS_OF
 DEFAULT_CFG = RankingConfig()
 
 
-_MEMO: dict = {}
-
-
-def _memo(kind, spark, sf, build):
-    key = (kind, id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
-
-
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed jobs (lazy; the same plan object is shared by every query)."""
-    return _memo("jobs", spark, sf, lambda: fixtures.landed_jobs(spark, sf))
+    """Landed jobs."""
+    return fixtures.landed_jobs(spark, sf)
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo("members", spark, sf, lambda: fixtures.team_members(spark, sf))
+    return fixtures.team_members(spark, sf)
 
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo("companies", spark, sf,
-                 lambda: fixtures.companies(spark, sf, members(spark, sf)))
+    return fixtures.companies(spark, sf, members(spark, sf))
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,12 +29,27 @@ def dedup_exact_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def dedup_counters(spark: SparkSession, sf: str) -> DataFrame:
     """K8: input / kept / duplicate counts of the de-dup run, as one row."""
-    j = base.jobs(spark, sf)
-    kept = dedup.greedy_dedup(j).select("seq", F.lit(1).alias("_k"))
-    c = j.select("seq").join(kept, "seq", "left").agg(
-        F.count(F.lit(1)).alias("input_rows"), F.count("_k").alias("kept_rows"))
-    return c.select("input_rows", "kept_rows",
-                    (F.col("input_rows") - F.col("kept_rows")).alias("duplicates"))
+    stats = dedup.DedupStats()
+    dedup.greedy_dedup(base.jobs(spark, sf), stats=stats)
+    return spark.createDataFrame([(stats.input_rows, stats.kept_rows, stats.duplicates)],
+                                 "input_rows long, kept_rows long, duplicates long")
+
+
+def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: saved and skipped rows of the later run, expired rows, ranked and filtered jobs."""
+    landed = _landed(spark, sf)
+    early = landed.where(F.col("scraped_at") < F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
+    late = landed.where(F.col("scraped_at") >= F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
+    known = early.select("id").distinct()
+    n = F.count(F.lit(1))
+    saved = late.select("id").distinct().join(known, "id", "left_anti").select(n).scalar()
+    seen = late.select(n).scalar()
+    s = stored_jobs(spark, sf)
+    total, left = s.select(n).scalar(), store.expire(s, AS_OF, 30).select(n).scalar()
+    ranked = F.count_if(F.col("region_team_count") >= base.DEFAULT_CFG.min_team)
+    return base.enriched(spark, sf).agg(ranked.alias("ranked"), n.alias("_jobs")).select(
+        saved.alias("saved"), (seen - saved).alias("skipped"), (total - left).alias("deleted"),
+        "ranked", (F.col("_jobs") - F.col("ranked")).alias("filtered"))
 
 
 def _landed(spark, sf):
@@ -69,12 +84,9 @@ def store_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched_store(spark: SparkSession, sf: str) -> DataFrame:
-    """K4 applied to the store: enrich, rank, update matched rows."""
-    s = store_with_defaults(spark, sf)
-    m = base.members(spark, sf)
-    c = base.companies(spark, sf)
-    ranked = rank_jobs(enrich_jobs(s, c, m, AS_OF), base.DEFAULT_CFG, AS_OF)
-    return store.apply_enrichment(s, ranked, AS_OF)
+    """K4 applied to the store: matched and ranked rows get the enrichment columns."""
+    return store.update_enrichment(store_with_defaults(spark, sf), base.companies(spark, sf),
+                                   base.members(spark, sf), base.DEFAULT_CFG, AS_OF)
 
 
 def job_enrichment_update(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,31 +96,34 @@ def job_enrichment_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _company_updates(spark, sf):
-    """A later enrichment run: every third company re-fetched with new values,
-    plus brand-new companies for suppliers never seen (ids shifted)."""
+    """A later enrichment run: every third company re-fetched with new values (some twice: the
+    later fetch counts), plus brand-new companies for suppliers never seen (ids shifted)."""
     c = base.companies(spark, sf)
     k = F.col("id").cast("long")
-    upd = (c.where(k % 3 == 0)
+    now = F.lit(AS_OF).cast("timestamp_ntz")
+    upd = (c.where(k % 3 == 0).withColumn("fetch", F.lit(2))
            .withColumn("industry", F.concat(F.coalesce("industry", F.lit("None")), F.lit(" (updated)")))
-           .withColumn("enriched_at", F.lit(AS_OF).cast("timestamp_ntz")))
-    new = (c.where(k % 4 == 1)
+           .withColumn("enriched_at", now))
+    earlier = upd.where(k % 6 == 0).withColumn("fetch", F.lit(1)).withColumn(
+        "industry", F.lit("superseded"))
+    new = (c.where(k % 4 == 1).withColumn("fetch", F.lit(2))
            .withColumn("id", (k + 1000000).cast("string"))
            .withColumn("name", F.concat("name", F.lit(" Holdings")))
            .withColumn("requested_name", F.col("name"))
-           .withColumn("enriched_at", F.lit(AS_OF).cast("timestamp_ntz")))
-    return upd.unionByName(new)
+           .withColumn("enriched_at", now))
+    return earlier.unionByName(upd).unionByName(new)
 
 
 def company_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """K2: companies after the keyed merge of a re-enrichment run."""
-    merged = store.upsert(base.companies(spark, sf), _company_updates(spark, sf), "id")
+    merged = store.upsert(base.companies(spark, sf), _company_updates(spark, sf), "id", "fetch")
     return merged.select("id", "name", "industry", "enriched_at", "region_team_count")
 
 
 def member_replace(spark: SparkSession, sf: str) -> DataFrame:
     """K3: re-fetched companies replace their members, unless the new list is empty."""
     m = base.members(spark, sf)
-    upd = _company_updates(spark, sf).select(F.col("id").alias("company_id"))
+    upd = _company_updates(spark, sf).select(F.col("id").alias("company_id")).distinct()
     # new member lists: every member re-assigned by custkey; companies whose id
     # is divisible by 6 come back with an empty list
     fresh = (m.withColumn("company_id", (F.col("id") % F.lit(50)).cast("string"))

@@ -382,7 +382,7 @@ m_fresh AS (SELECT id, CAST(id % 50 AS VARCHAR) AS company_id, name, city,
   FROM team_members WHERE CAST(id % 50 AS VARCHAR) IN (SELECT id FROM c_upd) AND (id % 50) % 6 <> 0),
 m_out AS (SELECT id, company_id, name, city, country FROM team_members
     WHERE company_id NOT IN (SELECT company_id FROM m_fresh)
-  UNION ALL SELECT id, company_id, name, city, coalesce(country, 'Taiwan') FROM m_fresh)
+  UNION ALL SELECT id, company_id, name, city, country FROM m_fresh)
 """
 
 
@@ -420,10 +420,13 @@ register_store("search_result_count", f"""SELECT count(*) AS n_results FROM
 register_store("job_by_id", f"SELECT {LIST} FROM st_upd WHERE id = (SELECT arg_min(id, seq) FROM st_upd)")
 register("company_by_id", f"SELECT {COMPANY} FROM companies WHERE id = '1'")
 register("member_by_id", "SELECT * FROM team_members WHERE id = 7")
-register_store("jobs_of_company", f"SELECT {LIST} FROM st_upd WHERE company_id = '1'")
-register("members_of_company", "SELECT id, company_id, name, city, country FROM team_members WHERE company_id = '0'")
-register("members_of_company_country", """SELECT id, company_id, name, city, country FROM team_members
-WHERE company_id = '0' AND country = 'Taiwan'""")
+O3 = "country NULLS FIRST, city NULLS FIRST, name NULLS FIRST, id"
+register_store("jobs_of_company", f"""SELECT {LIST}, row_number() OVER (ORDER BY {O1}) AS pos
+FROM st_upd WHERE company_id = '1'""")
+register("members_of_company", f"""SELECT id, company_id, name, city, country,
+  row_number() OVER (ORDER BY {O3}) AS pos FROM team_members WHERE company_id = '0'""")
+register("members_of_company_country", f"""SELECT id, company_id, name, city, country,
+  row_number() OVER (ORDER BY {O3}) AS pos FROM team_members WHERE company_id = '0' AND country = 'Taiwan'""")
 register("remote_jobs", "SELECT seq, id, title, location FROM jobs WHERE contains(lower(location), 'remote')")
 register_store("list_view", "SELECT id, title, company, location, url, posted_date, board_source, ranking_score FROM st_upd")
 register("enriched_assembly", """SELECT seq, id, company_id, company_size, industry, headquarters_location,
@@ -445,7 +448,14 @@ register("members_by_country", """SELECT company_id, coalesce(nullif(country, ''
 register("country_rollup", """SELECT company_id, coalesce(country, 'Unknown') AS country, count(*) AS n_members
 FROM team_members GROUP BY company_id, country
 UNION ALL SELECT company_id, 'All', count(*) FROM team_members GROUP BY company_id""")
-register("company_countries", "SELECT DISTINCT company_id, country FROM team_members WHERE country IS NOT NULL")
+register("company_countries", """SELECT company_id, country,
+  row_number() OVER (PARTITION BY company_id ORDER BY country) AS pos
+FROM (SELECT DISTINCT company_id, country FROM team_members WHERE country IS NOT NULL)""")
+register_store("run_counters", f"""SELECT
+  (SELECT count(*) FROM s2) AS saved, (SELECT count(*) FROM late) - (SELECT count(*) FROM s2) AS skipped,
+  (SELECT count(*) FROM stored WHERE scraped_at < {AS_OF_SQL} - INTERVAL 30 DAY) AS deleted,
+  (SELECT count(*) FROM enriched WHERE region_team_count >= 1) AS ranked,
+  (SELECT count(*) FROM enriched WHERE region_team_count < 1) AS filtered""")
 register_store("jobs_per_company", """SELECT company_id, count(*) AS open_positions FROM st_upd
 WHERE company_id IS NOT NULL GROUP BY company_id""")
 register("member_preview", """SELECT id, company_id, name, city, country FROM team_members

@@ -27,6 +27,7 @@ QUERIES = {
     "dedup_jobs": mt.dedup_jobs,
     "dedup_exact_id": mt.dedup_exact_id,
     "dedup_counters": mt.dedup_counters,
+    "run_counters": mt.run_counters,
     "store_insert": mt.store_insert,
     "job_enrichment_update": mt.job_enrichment_update,
     "company_upsert": mt.company_upsert,

@@ -28,7 +28,7 @@ from pyspark.sql import Window  # noqa: E402
 
 from jobloom.functions.text import ascii_lower, like_escape  # noqa: E402
 from jobloom.operators import serve  # noqa: E402
-from jobloom.plans import maintenance  # noqa: E402
+from jobloom.plans import stored  # noqa: E402
 
 SEARCH_TERM = "ring"
 LOOKUP_COMPANY = "1"
@@ -36,7 +36,7 @@ HOT_COMPANY = "0"
 
 
 def _store(spark, sf):
-    return maintenance.enriched_store(spark, sf)
+    return stored.jobs(spark, sf)
 
 
 def store_jobs_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,36 +65,36 @@ def search_result_count(spark: SparkSession, sf: str) -> DataFrame:
 def job_by_id(spark: SparkSession, sf: str) -> DataFrame:
     """point lookup of a job (the first stored job's id)."""
     s = _store(spark, sf)
-    target = s.select(F.min_by("id", "seq")).scalar()
-    return s.where(F.col("id") == target).select(*serve.LIST_COLUMNS)
+    target = s.select(F.min_by("id", "seq")).first()[0]
+    return s.where(F.col("id") == F.lit(target)).select(*serve.LIST_COLUMNS)
 
 
 def company_by_id(spark: SparkSession, sf: str) -> DataFrame:
     """point lookup of a company."""
-    return base.companies(spark, sf).where(F.col("id") == LOOKUP_COMPANY).select(*serve.COMPANY_COLUMNS)
+    return stored.companies(spark, sf).where(F.col("id") == LOOKUP_COMPANY).select(*serve.COMPANY_COLUMNS)
 
 
 def member_by_id(spark: SparkSession, sf: str) -> DataFrame:
     """point lookup of a team member (integer id)."""
-    return base.members(spark, sf).where(F.col("id") == 7)
+    return stored.members(spark, sf).where(F.col("id") == 7)
 
 
 def jobs_of_company(spark: SparkSession, sf: str) -> DataFrame:
-    """all jobs of one company, ranked (O1), no limit."""
+    """all jobs of one company in the order of O1 (``pos``), no limit."""
     s = _store(spark, sf).where(F.col("company_id") == LOOKUP_COMPANY)
-    return s.select(*serve.LIST_COLUMNS)
+    return serve.in_order(s.select(*serve.LIST_COLUMNS), serve.o1())
 
 
 def members_of_company(spark: SparkSession, sf: str) -> DataFrame:
     """F11 + O3: members of the largest company, ordered country, city, name."""
-    m = base.members(spark, sf).where(F.col("company_id") == HOT_COMPANY)
-    return m.select("id", "company_id", "name", "city", "country")
+    m = stored.members(spark, sf).where(F.col("company_id") == HOT_COMPANY)
+    return serve.in_order(m.select("id", "company_id", "name", "city", "country"), serve.o3())
 
 
 def members_of_company_country(spark: SparkSession, sf: str) -> DataFrame:
     """one country of one company."""
-    m = base.members(spark, sf).where((F.col("company_id") == HOT_COMPANY) & (F.col("country") == "Taiwan"))
-    return m.select("id", "company_id", "name", "city", "country")
+    m = stored.members(spark, sf).where((F.col("company_id") == HOT_COMPANY) & (F.col("country") == "Taiwan"))
+    return serve.in_order(m.select("id", "company_id", "name", "city", "country"), serve.o3()[1:])
 
 
 def remote_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,45 +119,47 @@ def enriched_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 def company_360(spark: SparkSession, sf: str) -> DataFrame:
     """J3 + A7 + A5: every company with open positions, member count and countries."""
-    return serve.company_360(base.companies(spark, sf), _store(spark, sf), base.members(spark, sf))
+    return serve.company_360(stored.companies(spark, sf), _store(spark, sf), stored.members(spark, sf))
 
 
 def job_company(spark: SparkSession, sf: str) -> DataFrame:
     """Every stored job with its company's name and website."""
     s = _store(spark, sf).select("id", "company_id")
-    c = base.companies(spark, sf).select(F.col("id").alias("company_id"),
+    c = stored.companies(spark, sf).select(F.col("id").alias("company_id"),
                                          F.col("name").alias("company_name"), "website")
     return s.join(c, "company_id", "left").select("id", "company_id", "company_name", "website")
 
 
 def member_company(spark: SparkSession, sf: str) -> DataFrame:
     """Every member with its company's name."""
-    m = base.members(spark, sf).select("id", "company_id", "name")
-    c = base.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    m = stored.members(spark, sf).select("id", "company_id", "name")
+    c = stored.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
     return m.join(c, "company_id", "left")
 
 
 def company_list(spark: SparkSession, sf: str) -> DataFrame:
     """O2: companies by regional head-count, 100."""
-    c = base.companies(spark, sf)
+    c = stored.companies(spark, sf)
     return c.orderBy(F.col("region_team_count").desc_nulls_last(), F.col("id")).limit(100) \
         .select(*serve.COMPANY_COLUMNS)
 
 
 def members_by_country(spark: SparkSession, sf: str) -> DataFrame:
     """A3: members per company and country ('' / null → 'Unknown')."""
-    return serve.members_by_country(base.members(spark, sf))
+    return serve.members_by_country(stored.members(spark, sf))
 
 
 def country_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """A4: per company and country plus the per-company 'All' total."""
-    return serve.country_rollup(base.members(spark, sf))
+    return serve.country_rollup(stored.members(spark, sf))
 
 
 def company_countries(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: distinct non-null countries per company."""
-    return base.members(spark, sf).where(F.col("country").isNotNull()) \
+    """A5 + O4: distinct non-null countries per company, by name (``pos``)."""
+    c = stored.members(spark, sf).where(F.col("country").isNotNull()) \
         .select("company_id", "country").distinct()
+    by = Window.partitionBy("company_id").orderBy("country")     # as many rows as countries
+    return c.withColumn("pos", F.row_number().over(by))
 
 
 def jobs_per_company(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,9 +170,8 @@ def jobs_per_company(spark: SparkSession, sf: str) -> DataFrame:
 
 def member_preview(spark: SparkSession, sf: str) -> DataFrame:
     """First 12 members of every company in display order."""
-    return serve.top_per_group(base.members(spark, sf), "company_id",
-                               [F.col("country").asc_nulls_first(), F.col("city").asc_nulls_first(),
-                                F.col("name").asc_nulls_first(), F.col("id")], 12) \
+    return serve.top_per_group(stored.members(spark, sf), "company_id",
+                               serve.o3(), 12) \
         .select("id", "company_id", "name", "city", "country")
 
 
@@ -191,7 +192,7 @@ def enrichment_work_list(spark: SparkSession, sf: str) -> DataFrame:
     j = j.withColumn("company_website", F.when(F.col("seq") % 2 == 1, F.concat(
         F.lit("https://"), F.lower(F.regexp_replace("company", "#", "")), F.lit(".example.com"))))
     # the cache holds only companies whose name is in the first half of suppliers
-    c = base.companies(spark, sf).where(F.col("id").cast("long") % 2 == 0)
+    c = stored.companies(spark, sf).where(F.col("id").cast("long") % 2 == 0)
     return wl(j, c, base.AS_OF).select("company", "website", "domain")
 
 

@@ -41,6 +41,7 @@ def get_spark(master: str | None = None, app: str = "jobloom",
             except Exception:  # static conf of an already running session
                 pass
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,13 +73,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` once as Parquet to the shared checkpoint folder
     and read it back.  Survives executor loss (the files live on the shared
@@ -88,4 +82,33 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = shared_dir(spark, f"jobloom/{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def discard(df) -> None:
+    """Deletes the files of a table from ``materialize`` that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._materialized_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that Python workers import it wherever the driver
+    was started.  Local masters share the driver's path already through PYTHONPATH or not at
+    all, so it is sent there as well."""
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_jobloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="jobloom-pkg-"), "jobloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("jobloom", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._jobloom_shipped = True

@@ -3,64 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                 "events", "documents", "embeddings", "pages", "benchmark", "labels",
-                 "conversations"]
-
-# Dimension tables stay as scanned; everything else is a fact-sized input.
-SMALL_TABLES = {"region", "nation", "supplier", "benchmark", "labels"}
-
-
-def _total_bytes(spark: SparkSession, paths) -> int:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        total += path.getFileSystem(conf).getContentSummary(path).getLength()
-    return total
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.  Parquet carries its schema in the footer; every call lists the files
+    anew, so files that arrive during a session are read."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def ensure_parallelism(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """Spread an under-split scan over the cluster's cores.
 
-    A file written as a single row group is read by one task however large
-    it is.  When a table arrives as fewer files than there are cores and is
-    not tiny, it is round-robin repartitioned once after the scan.  A table
-    on a cluster (thousands of files / splits) is left as scanned.  Only the
-    file listing is consulted: no plan is executed.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) < want and _total_bytes(spark, files) >= min_bytes:
-        return df.repartition(want)
-    return df
+def _schema(**types) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
-_SCANS: dict = {}
+_S, _L, _I, _D, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampNTZType()
 
+# Declared schemas of the three stored tables (jobs, companies, team members).
+STORED = {
+    "jobs": _schema(
+        seq=_L, id=_S, title=_S, company=_S, location=_S, description=_S, url=_S, posted_date=_TS,
+        scraped_at=_TS, board_source=_S, company_id=_S, region_team_count=_I, ranking_score=_D,
+        enriched_at=_TS, company_size=_S, industry=_S, headquarters_location=_S),
+    "companies": _schema(
+        id=_S, name=_S, requested_name=_S, linkedin_url=_S, website=_S, industry=_S,
+        company_size=_S, headquarters_location=_S, description=_S, total_employees=_I,
+        enriched_at=_TS, source=_S, region_team_count=_I),
+    "members": _schema(
+        id=_L, company_id=_S, name=_S, title=_S, location=_S, city=_S, country=_S,
+        linkedin_url=_S),
+}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet carries its schema in the footer; no inference pass is run.
 
-    The driver tables are read-only, so the lazy scan of each one is built
-    once per session and reused (saves the listing and footer read per query).
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        if name not in SMALL_TABLES:
-            df = ensure_parallelism(df)
-        _SCANS[key] = df
-    return df
+def write_stored(df: DataFrame, folder: str, name: str) -> None:
+    """Writes a stored table with its declared columns and types."""
+    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in STORED[name].fields]) \
+        .write.mode("error").parquet(f"{folder}/{name}")
 
 
-def read_stored(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(path)
+def read_stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored table by its declared schema: no footer is read to plan, and filters on its
+    columns reach the scan."""
+    return spark.read.schema(STORED[name]).parquet(f"{folder}/{name}")
