@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.functions.dates import relative_date_a
-from jobloom.functions.text import job_id, py_strip
-from jobloom.functions.web import job_url_from_key, remote_type
+from jobloom.functions.text import py_strip
 from jobloom.plans import base
 from jobloom.sources import embedded, extracted, html, landed, pages
+from jobloom.sources.html import dom_to_jobs as _dom_to_jobs
 from jobloom.sources.tables import read_table
 
 AS_OF = base.AS_OF
@@ -31,20 +30,9 @@ def page_totals(spark: SparkSession, sf: str) -> DataFrame:
     return embedded.embedded_payload(_search_pages(spark, sf)).select("page_id", "total_count")
 
 
-def dom_to_jobs(cards: DataFrame) -> DataFrame:
-    key = F.col("job_key")
-    return cards.select(
-        "page_id", "pos",
-        job_id("company", "title", "location", key).alias("id"),
-        "title", "company", "location", "description",
-        job_url_from_key(key).alias("url"),
-        relative_date_a("posted_text", AS_OF).alias("posted_date"),
-        remote_type("location").alias("remote_type"))
-
-
 def dom_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs from the card markup (Arrow-batched parser)."""
-    return dom_to_jobs(html.extract_cards(_search_pages(spark, sf), "dom"))
+    return _dom_to_jobs(html.extract_cards(_search_pages(spark, sf), "dom"), AS_OF).select(*JOB_COLS)
 
 
 def selector_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,8 +43,8 @@ def selector_jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("title"), F.col("company"), F.col("location"), F.col("description"),
         F.col("job_key"), F.col("job_url"), F.col("posted_text").alias("posted_date"),
         F.col("salary"), null.cast("string").alias("salary_text"),
-        null.cast("double").alias("salary_min"), null.cast("double").alias("salary_max"),
-        null.cast("boolean").alias("is_remote"), F.col("company_url"),
+        null.cast("string").alias("salary_min"), null.cast("string").alias("salary_max"),
+        null.cast("string").alias("is_remote"), F.col("company_url"),
         null.cast("string").alias("company_url_direct"))
     items = cards.select("page_id", "pos", it.alias("it"))
     return extracted.items_to_jobs(items, AS_OF).select(*JOB_COLS, "company_website")
@@ -69,6 +57,33 @@ def extracted_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*JOB_COLS, "company_website", "salary_min", "salary_max")
 
 
+def embedded_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 over lists with explicit nulls and elements that are no objects."""
+    return embedded.embedded_jobs(landed.search_pages(base.jobs(spark, sf), dirty=True), AS_OF).select(
+        *JOB_COLS, "salary_min", "salary_max")
+
+
+def embedded_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What was left out of these lists, and why."""
+    return embedded.embedded_rejects(landed.search_pages(base.jobs(spark, sf), dirty=True))
+
+
+def extracted_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + S8 over payloads with salaries as text and elements that are no objects."""
+    payloads = landed.dirty_extraction_payloads(base.jobs(spark, sf))
+    out = extracted.items_to_jobs(extracted.parse_payload(payloads), AS_OF)
+    return out.select(*JOB_COLS, "company_website", "salary_min", "salary_max")
+
+
+def search_results(spark: SparkSession, sf: str, max_results: int = 50) -> DataFrame:
+    """The results of each search: its pages in order up to the first page without
+    jobs, cut at ``max_results`` jobs."""
+    sp = _search_pages(spark, sf)
+    found = embedded.embedded_jobs(sp, AS_OF).join(
+        sp.select("page_id", "search_id", "page_no"), "page_id")
+    return pages.search_results(found, max_results).select("search_id", "rank", "id", "title")
+
+
 def blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """S14 over every landed driver page."""
     return pages.blocked_flags(read_table(spark, sf, "pages"))
@@ -81,7 +96,7 @@ def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "pos", "id", "title", "company", "location").withColumn("source", F.lit("embedded"))
     fb = pages.with_fallback(
         primary, sp,
-        lambda rest: dom_to_jobs(html.extract_cards(rest, "dom")).select(
+        lambda rest: _dom_to_jobs(html.extract_cards(rest, "dom"), AS_OF).select(
             "page_id", "pos", "id", "title", "company", "location").withColumn("source", F.lit("dom")))
     return fb
 

@@ -438,6 +438,21 @@ LEFT JOIN (SELECT company_id, count(*) AS n FROM st_upd WHERE company_id IS NOT
   ON jc.company_id = c.id
 LEFT JOIN (SELECT company_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(country))), ',') AS countries
   FROM team_members GROUP BY company_id) mc ON mc.company_id = c.id""")
+register("company_people", """SELECT t.id, t.company_id, name, title, city, t.country, n_members
+FROM (SELECT id, company_id, name, title, city, coalesce(nullif(country, ''), 'Unknown') AS country FROM team_members) t
+JOIN (SELECT company_id, coalesce(nullif(country, ''), 'Unknown') AS country, count(*) AS n_members
+  FROM team_members GROUP BY 1, 2) c ON c.company_id = t.company_id AND c.country = t.country""")
+register_store("company_jobs", """SELECT company_id, id, title, location, posted_date, ranking_score FROM st_upd
+WHERE company_id IS NOT NULL""")
+register("ranked_with_targets", f""", mt AS (SELECT company_id, count(*) AS mc,
+    count(*) FILTER (WHERE city IN ('Taipei', 'Shanghai')) AS pcc FROM team_members GROUP BY company_id)
+SELECT id, seq, industry, company_size, region_team_count, round(
+  least(region_team_count * 10.0, 50.0) + CASE WHEN coalesce(mc, 0) > 0 THEN least(coalesce(pcc, 0) * 5.0, 20.0) ELSE 0.0 END
+  + CASE WHEN coalesce(industry, '') <> '' AND (contains(lower(industry), 'saas') OR contains(lower(industry), 'fintech'))
+    THEN 15.0 ELSE 0.0 END
+  + CASE WHEN company_size IN ('11-50', '5000+') THEN 9.0 ELSE 0.0 END
+  + greatest(0.0, 5.0 - floor((epoch_us({AS_OF_SQL}) - epoch_us(posted_date)) / 86400000000.0) / 7.0), 2) AS ranking_score
+FROM enriched LEFT JOIN mt USING (company_id) WHERE region_team_count >= 2""")
 register_store("job_company", """SELECT s.id, s.company_id, c.name AS company_name, c.website
 FROM st_upd s LEFT JOIN companies c ON c.id = s.company_id""")
 register("member_company", """SELECT m.company_id, m.id, m.name, c.name AS company_name
@@ -546,6 +561,53 @@ SELECT page_id, pos, {s_id('x_company', 'x_title', 'x_location')} AS id, x_title
   CASE WHEN gmin IS NOT NULL THEN gmin WHEN len(sv) > 0 THEN list_min(sv) END AS salary_min,
   CASE WHEN gmin IS NOT NULL THEN coalesce(nullif(gmax, 0), gmin) WHEN len(sv) > 0 THEN list_max(sv) END AS salary_max
 FROM ex WHERE x_title <> ''""")
+# Lists with explicit nulls: a null stays null, and seq % 10 in (3, 6) is no object.
+DIRTY_CTE = EMB_CTE + """, dirty AS (
+  SELECT *, CASE WHEN seq % 11 <> 0 THEN raw_title END AS n_title,
+    CASE WHEN seq % 17 <> 0 THEN raw_company END AS n_company,
+    CASE WHEN seq % 19 <> 0 THEN raw_location END AS n_location,
+    CASE WHEN seq % 10 IN (3, 6) THEN 'no object'
+         WHEN posted_text IS NULL THEN 'null time'
+         WHEN seq % 19 = 0 AND seq % 7 <> 0 THEN 'null location' END AS reason
+  FROM emb WHERE page_id % 10 NOT IN (7, 8))"""
+register("embedded_rejects", f"{DIRTY_CTE} SELECT page_id, pos, reason FROM dirty WHERE reason IS NOT NULL")
+register("embedded_dirty", f"""{DIRTY_CTE}
+SELECT page_id, pos, {s_id('n_company', 'n_title', 'n_location', 'k')} AS id, n_title AS title, n_company AS company,
+  n_location AS location, e_desc AS description,
+  CASE WHEN coalesce(k, '') <> '' THEN 'https://www.indeed.com/viewjob?jk=' || k ELSE '' END AS url,
+  {s_rule_a('posted_text')} AS posted_date,
+  CASE WHEN seq % 7 = 0 OR contains(lower(n_location), 'remote') THEN 'Remote' END AS remote_type,
+  CASE WHEN seq % 3 = 0 THEN CAST(50000 + seq % 100 AS DOUBLE) END AS salary_min,
+  CASE WHEN seq % 3 = 0 THEN CAST(90000 + seq % 100 AS DOUBLE) END AS salary_max
+FROM dirty WHERE reason IS NULL""")
+ORACLE["extracted_dirty"] = ORACLE["extracted_jobs"].replace(
+    "WHERE page_id % 9 <> 4 AND page_id % 11 <> 5 AND (page_id % 2 = 0 OR page_id % 4 <> 3))",
+    "WHERE seq % 10 NOT IN (3, 6) AND seq % 30 <> 20)")
+register("search_results", f"""{EMB_CTE}, found AS (
+  SELECT page_id // 10 AS s, page_id % 10 AS page_no, pos, {s_id('e_company', 'e_title', 'e_location', 'k')} AS id,
+    e_title AS title FROM emb WHERE page_id % 10 NOT IN (7, 8)),
+gap AS (SELECT s, min(p) AS stop FROM (SELECT DISTINCT s FROM found) CROSS JOIN range(11) t(p)
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.s = s AND f.page_no = p) GROUP BY s)
+SELECT 'search-' || CAST(s AS VARCHAR) AS search_id, CAST(rank AS INTEGER) AS rank, id, title FROM (
+  SELECT f.*, row_number() OVER (PARTITION BY s ORDER BY page_no, pos) AS rank
+  FROM found f JOIN (SELECT s, min(p) AS stop FROM (
+      SELECT a.s, p FROM (SELECT DISTINCT s FROM found) a CROSS JOIN range(11) t(p)
+      WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.s = a.s AND g.page_no = p)) GROUP BY s) USING (s)
+  WHERE page_no < stop) WHERE rank <= 50""".replace(""",
+gap AS (SELECT s, min(p) AS stop FROM (SELECT DISTINCT s FROM found) CROSS JOIN range(11) t(p)
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.s = s AND f.page_no = p) GROUP BY s)""", ""))
+# The greedy rule within each search, over the rows of its pages (embedded, else cards).
+register("stream_ingest", f"""{EMB_CTE}, ing AS (
+  SELECT seq, page_id // 10 AS s, {s_id('e_company', 'e_title', 'e_location', 'k')} AS real_id,
+    e_company AS c, e_title AS t, k FROM emb WHERE page_id % 10 NOT IN (7, 8)
+  UNION ALL SELECT seq, page_id // 10, {s_id('d_company', 'raw_title', 'd_location', 'k')},
+    d_company, raw_title, k FROM (SELECT *, {DOM_FIELDS} FROM emb) WHERE page_id % 10 IN (7, 8)),
+ing_jobs AS (SELECT seq, CAST(s AS VARCHAR) || 'x' || real_id AS id, real_id, TIMESTAMP '2001-01-01' AS scraped_at,
+    CAST(s AS VARCHAR) || 'x' || c AS company, t AS title,
+    CASE WHEN coalesce(k, '') <> '' THEN CAST(s AS VARCHAR) || 'x' || k END AS url FROM ing),
+{dedup_ctes('ing_jobs')}
+SELECT DISTINCT real_id AS id FROM ing_jobs SEMI JOIN dd_kept ON ing_jobs.seq = dd_kept.o
+WHERE (SELECT ok FROM dd_ok)""")
 register("blocked_pages", r"""SELECT *, (challenge OR captcha_phrase OR captcha_element OR blocked_element) AS blocked
 FROM (SELECT page_id,
   (contains(html, 'challenges.cloudflare.com') OR contains(html, 'Verify you are human')
@@ -556,7 +618,7 @@ FROM (SELECT page_id,
   (regexp_matches(html, '(?i)<div\b[^>]*\bclass\s*=\s*["''][^"'']*(blocked|access.*denied)')
    OR regexp_matches(html, '(?i)<[a-z0-9]+\b[^>]*\bid\s*=\s*["''][^"'']*(blocked|access.*denied)')
    OR regexp_matches(html, '(?i)<h1\b[^>]*>[^<]*(blocked|access.*denied|unusual traffic)')) AS blocked_element,
-  length(html) < 5000 AS suspicious_small
+  length(html) < 5000 AND NOT (contains(html, 'job_seen_beacon') OR contains(html, 'mosaic-provider-jobcards')) AS suspicious_small
 FROM pages)""")
 register("page_links", """SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, hrefs[i] AS href, texts[i] AS text
 FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs,

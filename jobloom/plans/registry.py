@@ -7,6 +7,7 @@ from jobloom.plans import ingest, maintenance as mt, scalars, serving, streaming
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
     "ranked_all": serving.ranked_all,
+    "ranked_with_targets": serving.ranked_with_targets,
     # scalar functions
     "job_ids": scalars.job_ids,
     "fuzzy_keys": scalars.fuzzy_keys,
@@ -50,6 +51,8 @@ QUERIES = {
     "list_view": serving.list_view,
     "enriched_assembly": serving.enriched_assembly,
     "company_360": serving.company_360,
+    "company_people": serving.company_people,
+    "company_jobs": serving.company_jobs,
     "job_company": serving.job_company,
     "member_company": serving.member_company,
     "company_list": serving.company_list,
@@ -69,6 +72,10 @@ QUERIES = {
     "dom_jobs": ingest.dom_jobs,
     "selector_jobs": ingest.selector_jobs,
     "extracted_jobs": ingest.extracted_jobs,
+    "embedded_dirty": ingest.embedded_dirty,
+    "embedded_rejects": ingest.embedded_rejects,
+    "extracted_dirty": ingest.extracted_dirty,
+    "search_results": ingest.search_results,
     "blocked_pages": ingest.blocked_pages,
     "source_fallback": ingest.source_fallback,
     "page_links": ingest.page_links,

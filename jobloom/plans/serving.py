@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.operators.rank import rank_order
+from jobloom.operators.enrich import enrich_jobs
+from jobloom.operators.rank import RankingConfig, rank_jobs, rank_order
 from jobloom.plans import base
 
 RANKED_COLUMNS = ["id", "seq", "title", "company", "location", "posted_date", "company_id",
@@ -23,6 +24,18 @@ def ranked_all(spark: SparkSession, sf: str) -> DataFrame:
     return base.ranked(spark, sf).select(*RANKED_COLUMNS)
 
 
+TARGETS = RankingConfig(target_industries=("saas", "fintech"), target_company_sizes=("11-50", "5000+"),
+                        preferred_cities=("Taipei", "Shanghai"), min_team=2)
+
+
+def ranked_with_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 + R4 + R8: scores with target industries, company sizes, cities and a threshold of 2."""
+    e = enrich_jobs(base.jobs(spark, sf), base.companies(spark, sf), base.members(spark, sf),
+                    base.AS_OF, preferred_cities=TARGETS.preferred_cities)
+    return rank_jobs(e, TARGETS, base.AS_OF).select("id", "seq", "industry", "company_size",
+                                                   "region_team_count", "ranking_score")
+
+
 # ------------------------------------------------------------------ serving
 from pyspark.sql import Window  # noqa: E402
 
@@ -122,6 +135,22 @@ def company_360(spark: SparkSession, sf: str) -> DataFrame:
     return serve.company_360(stored.companies(spark, sf), _store(spark, sf), stored.members(spark, sf))
 
 
+def company_people(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 + A3: the members behind each country of the company page, as flat rows with the
+    country's count; no list is collected for a company."""
+    m = stored.members(spark, sf)
+    country = F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("Unknown"))
+    m = m.select("id", "company_id", "name", "title", "city", country.alias("country"))
+    counts = serve.members_by_country(m)
+    return m.join(counts, ["company_id", "country"])
+
+
+def company_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The open positions of every company page, as flat rows."""
+    return _store(spark, sf).where(F.col("company_id").isNotNull()).select(
+        "company_id", "id", "title", "location", "posted_date", "ranking_score")
+
+
 def job_company(spark: SparkSession, sf: str) -> DataFrame:
     """Every stored job with its company's name and website."""
     s = _store(spark, sf).select("id", "company_id")

@@ -9,24 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from jobloom.plans import base
 from jobloom.session import shared_dir
 from jobloom.sources import landed
-from jobloom.streaming.ingest import PAGE_SCHEMA, run_ingest
+from jobloom.streaming.ingest import PAGE_SCHEMA, STORE_SCHEMA, run_ingest
 
 
-def land_pages(spark: SparkSession, sf: str, landing_dir: str) -> None:
-    """One file per search (ten pages each), as a page fetcher would drop them."""
+def land_pages(spark: SparkSession, sf: str, landing_dir: str, files: int = 8) -> None:
+    """Search pages in ``files`` files; the pages of one search are in one file, as a page
+    fetcher drops them when a search is done."""
     pg = landed.search_pages(base.jobs(spark, sf)).select(*[f.name for f in PAGE_SCHEMA.fields])
-    (pg.repartition("search_id").write.mode("error").partitionBy()
-     .parquet(landing_dir))
+    pg.repartition(files, F.col("search_id")).write.mode("error").parquet(landing_dir)
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct job ids in the store after the stream drained every landed file.
-
-    The id set does not depend on file order (insert-if-absent only decides
-    which copy of an id is kept), so the result is deterministic.
-    """
+    """Distinct job ids in the store after the stream drained every landed file."""
     run = shared_dir(spark, f"jobloom/stream-{uuid.uuid4().hex}")
     land_pages(spark, sf, f"{run}/landing")
     run_ingest(spark, f"{run}/landing", f"{run}/store", f"{run}/_checkpoint", base.AS_OF,
                files_per_trigger=4)
-    return spark.read.parquet(f"{run}/store").select("id").distinct()
+    return spark.read.schema(STORE_SCHEMA).parquet(f"{run}/store").select("id").distinct()

@@ -21,8 +21,8 @@ def _css(pg: DataFrame, as_of) -> DataFrame:
     it = F.struct(F.col("title"), F.col("company"), F.col("location"), F.col("description"),
                   F.col("job_key"), F.col("job_url"), F.col("posted_text").alias("posted_date"),
                   F.col("salary"), null.cast("string").alias("salary_text"),
-                  null.cast("double").alias("salary_min"), null.cast("double").alias("salary_max"),
-                  null.cast("boolean").alias("is_remote"), F.col("company_url"),
+                  null.cast("string").alias("salary_min"), null.cast("string").alias("salary_max"),
+                  null.cast("string").alias("is_remote"), F.col("company_url"),
                   null.cast("string").alias("company_url_direct"))
     return extracted.items_to_jobs(cards.select("page_id", "pos", it.alias("it")), as_of)
 
@@ -39,9 +39,9 @@ def _hybrid(pg: DataFrame, as_of) -> DataFrame:
 
 
 def _embedded(pg: DataFrame, as_of) -> DataFrame:
-    from jobloom.plans.ingest import dom_to_jobs
     primary = embedded.embedded_jobs(pg, as_of)
-    return pages.with_fallback(primary, pg, lambda rest: dom_to_jobs(html.extract_cards(rest, "dom")))
+    return pages.with_fallback(
+        primary, pg, lambda rest: html.dom_to_jobs(html.extract_cards(rest, "dom"), as_of))
 
 
 EXTRACTORS = {"embedded": _embedded, "css": _css, "llm": _llm, "hybrid": _hybrid}

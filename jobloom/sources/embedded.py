@@ -8,22 +8,18 @@ from jobloom.constants import EMBEDDED_MARKER_PATTERN
 from jobloom.functions.dates import relative_date_a
 from jobloom.functions.text import job_id
 from jobloom.functions.web import job_url_from_key, remote_type, snippet_fallback
+from jobloom.sources.extracted import RAW_ITEMS, truthy
 
-ITEM = T.StructType([
-    T.StructField("jobkey", T.StringType()), T.StructField("title", T.StringType()),
-    T.StructField("displayTitle", T.StringType()), T.StructField("company", T.StringType()),
-    T.StructField("formattedLocation", T.StringType()), T.StructField("jobLocationCity", T.StringType()),
-    T.StructField("snippet", T.StringType()),
+_TEXT = ("jobkey", "title", "displayTitle", "company", "formattedLocation", "jobLocationCity",
+         "snippet", "formattedRelativeTime", "remoteLocation", "companyOverviewLink")
+ITEM = T.StructType([T.StructField(n, T.StringType()) for n in _TEXT] + [
     T.StructField("jobSnippetHtmlItems", T.ArrayType(T.StringType())),
-    T.StructField("formattedRelativeTime", T.StringType()),
-    T.StructField("remoteLocation", T.BooleanType()),
-    T.StructField("extractedSalary", T.StructType([T.StructField("min", T.DoubleType()),
-                                                   T.StructField("max", T.DoubleType())])),
-    T.StructField("companyOverviewLink", T.StringType()),
+    T.StructField("extractedSalary", T.StructType([T.StructField("min", T.StringType()),
+                                                   T.StructField("max", T.StringType())])),
 ])
 PAYLOAD = T.StructType([T.StructField("metaData", T.StructType([
     T.StructField("mosaicProviderJobCardsModel", T.StructType([
-        T.StructField("results", T.ArrayType(ITEM)),
+        T.StructField("results", RAW_ITEMS),
         T.StructField("tierSummaries", T.ArrayType(T.StructType([
             T.StructField("jobCount", T.IntegerType())])))]))]))])
 
@@ -41,22 +37,56 @@ def embedded_payload(pages: DataFrame) -> DataFrame:
                         total.alias("total_count"))
 
 
+def embedded_items(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, it, reason): every element of every page's list in page order.
+
+    A key that is missing takes its default; a key that is there with null stays null.  ``reason``
+    says why an element can't become a job (null: it can): it is no object, its location is null
+    without a remote flag, its time is null, or it has neither snippet nor snippet items.
+    """
+    p = embedded_payload(pages).select("page_id", F.posexplode("results").alias("pos", "raw"))
+    p = p.select("page_id", "pos", "raw", F.from_json("raw", ITEM).alias("j"),
+                 F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")).alias("k"))
+    j, has = F.col("j"), lambda k: F.array_contains("k", k)
+
+    def given(default, *names):
+        out = F.lit(default)
+        for n in reversed(names):
+            out = F.when(has(n), j.getField(n)).otherwise(out)
+        return out
+    remote = truthy(given(None, "remoteLocation"))
+    snippet, time = given("", "snippet"), given("", "formattedRelativeTime")
+    items = j.getField("jobSnippetHtmlItems")
+    broken = F.when(has("jobSnippetHtmlItems"), items.isNull() | F.exists(
+        F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNull())).otherwise(False)
+    it = F.struct(
+        given("", "jobkey").alias("key"), given("", "title", "displayTitle").alias("title"),
+        given("Unknown", "company").alias("company"),
+        given("Remote", "formattedLocation", "jobLocationCity").alias("location"),
+        remote.alias("remote"), snippet_fallback(snippet, items).alias("description"),
+        time.alias("time"), j.getField("extractedSalary").alias("salary"))
+    reason = (F.when(~F.coalesce(F.col("raw").startswith("{"), F.lit(False)), "no object")
+              .when((F.coalesce(snippet, F.lit("")) == "") & broken, "null snippet items")
+              .when(time.isNull(), "null time")
+              .when(it["location"].isNull() & ~remote, "null location"))
+    return p.select("page_id", "pos", it.alias("it"), reason.alias("reason"))
+
+
+def embedded_rejects(pages: DataFrame) -> DataFrame:
+    """The elements that are left out, with the reason."""
+    return embedded_items(pages).where("reason IS NOT NULL").select("page_id", "pos", "reason")
+
+
 def embedded_jobs(pages: DataFrame, as_of, board: str = "indeed") -> DataFrame:
-    """S2 + S4: one job row per embedded item, in page order (``pos``)."""
-    p = embedded_payload(pages).select("page_id", F.posexplode("results").alias("pos", "it"))
+    """S2 + S4: one job row per usable embedded item, in page order (``pos``)."""
     it = F.col("it")
-    title = F.coalesce(it.title, it.displayTitle, F.lit(""))
-    company = F.coalesce(it.company, F.lit("Unknown"))
-    location = F.coalesce(it.formattedLocation, it.jobLocationCity, F.lit("Remote"))
-    key = it.jobkey
-    sal = it.extractedSalary
-    return p.select(
+    return embedded_items(pages).where("reason IS NULL").select(
         "page_id", "pos",
-        job_id(company, title, location, key).alias("id"),
-        title.alias("title"), company.alias("company"), location.alias("location"),
-        snippet_fallback(it.snippet, it.jobSnippetHtmlItems).alias("description"),
-        job_url_from_key(key).alias("url"),
-        relative_date_a(it.formattedRelativeTime, as_of).alias("posted_date"),
+        job_id(it.company, it.title, it.location, it.key).alias("id"),
+        it.title.alias("title"), it.company.alias("company"), it.location.alias("location"),
+        it.description.alias("description"), job_url_from_key(it.key).alias("url"),
+        relative_date_a(it.time, as_of).alias("posted_date"),
         F.lit(board).alias("board_source"),
-        remote_type(location, it.remoteLocation).alias("remote_type"),
-        sal.getField("min").alias("salary_min"), sal.getField("max").alias("salary_max"))
+        remote_type(it.location, it.remote).alias("remote_type"),
+        it.salary.getField("min").try_cast("double").alias("salary_min"),
+        it.salary.getField("max").try_cast("double").alias("salary_max"))

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jobloom.functions.dates import relative_date_b
 from jobloom.functions.salary import parse_salary
 from jobloom.functions.text import job_id, py_strip
 from jobloom.functions.web import item_job_url, remote_type, resolve_company_url
 
+# Every field as text: numbers and flags are read with try_cast, so one odd value spoils
+# neither its item nor its payload.
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in (
     "title", "company", "location", "description", "job_key", "job_url", "posted_date",
-    "salary", "salary_text")] + [
-    T.StructField("salary_min", T.DoubleType()), T.StructField("salary_max", T.DoubleType()),
-    T.StructField("is_remote", T.BooleanType()),
-    T.StructField("company_url", T.StringType()), T.StructField("company_url_direct", T.StringType())])
+    "salary", "salary_text", "salary_min", "salary_max", "is_remote", "company_url",
+    "company_url_direct")])
+RAW_ITEMS = T.ArrayType(T.StringType())
+
+
+def truthy(flag: Column) -> Column:
+    """A JSON flag as text: false, 0, '' and null are off."""
+    return ~F.coalesce(F.lower(flag), F.lit("")).isin("", "false", "0", "0.0", "null")
+
+
+def raw_items(items: Column) -> Column:
+    """(pos, raw) of the elements that are JSON objects; others are skipped one by one."""
+    return F.filter(F.transform(items, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))),
+                    lambda r: r["raw"].startswith("{"))
 
 
 def parse_payload(payloads: DataFrame) -> DataFrame:
     """A JSON list of items, or ``{"jobs": [...]}`` when the LLM flag is set;
-    anything else ('' / null / bad JSON / other shapes) yields no rows."""
+    anything else ('' / null / bad JSON / other shapes) yields no rows.  An element that is no
+    object, or whose given salary is no number, is left out; the others stay."""
     text = F.nullif(py_strip(F.col("payload")), F.lit(""))
-    as_list = F.when(text.startswith("["), F.from_json(text, T.ArrayType(ITEM)))
+    as_list = F.when(text.startswith("["), F.from_json(text, RAW_ITEMS))
     wrapped = F.when(text.startswith("{") & F.col("use_llm"),
-                     F.from_json(text, T.StructType([T.StructField("jobs", T.ArrayType(ITEM))])).jobs)
-    items = F.coalesce(as_list, wrapped)
-    return payloads.select("page_id", F.posexplode(items).alias("pos", "it"))
+                     F.from_json(text, T.StructType([T.StructField("jobs", RAW_ITEMS)])).jobs)
+    rows = payloads.select("page_id", F.explode(raw_items(F.coalesce(as_list, wrapped))).alias("r"))
+    it = rows.select("page_id", F.col("r.pos").alias("pos"), F.from_json("r.raw", ITEM).alias("it"))
+    low, high = F.col("it.salary_min"), F.nullif(F.col("it.salary_max"), F.lit(""))
+    number = lambda c: c.try_cast("double")
+    bad = low.isNotNull() & (number(low).isNull() | (high.isNotNull() & number(high).isNull()))
+    return it.where(~bad)
 
 
 def items_to_jobs(items: DataFrame, as_of, board: str = "indeed") -> DataFrame:
@@ -35,7 +52,7 @@ def items_to_jobs(items: DataFrame, as_of, board: str = "indeed") -> DataFrame:
     company = py_strip(F.coalesce(F.nullif(it.company, F.lit("")), F.lit("Unknown")))
     location = py_strip(F.coalesce(F.nullif(it.location, F.lit("")), F.lit("Remote")))
     salary_text = F.coalesce(F.nullif(it.salary, F.lit("")), it.salary_text)
-    sal = parse_salary(salary_text, it.salary_min, it.salary_max)
+    sal = parse_salary(salary_text, it.salary_min.try_cast("double"), it.salary_max.try_cast("double"))
     out = items.select(
         "page_id", "pos",
         job_id(company, title, location).alias("id"),
@@ -46,5 +63,5 @@ def items_to_jobs(items: DataFrame, as_of, board: str = "indeed") -> DataFrame:
         F.lit(board).alias("board_source"),
         resolve_company_url(it.company_url, it.company_url_direct).alias("company_website"),
         sal.salary_min.alias("salary_min"), sal.salary_max.alias("salary_max"),
-        remote_type(location, it.is_remote).alias("remote_type"))
+        remote_type(location, truthy(it.is_remote)).alias("remote_type"))
     return out.where(F.col("title") != "")

@@ -14,7 +14,11 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from jobloom.functions.dates import relative_date_a
+from jobloom.functions.text import job_id
+from jobloom.functions.web import job_url_from_key, remote_type
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "source", "track", "wbr"}
@@ -293,6 +297,16 @@ def extract_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None)
     return pages.select("page_id", "html").mapInArrow(fn, CARD_SCHEMA)
 
 
+def dom_to_jobs(cards: DataFrame, as_of, board: str = "indeed") -> DataFrame:
+    """Job rows of the extracted cards."""
+    key = F.col("job_key")
+    return cards.select(
+        "page_id", "pos", job_id("company", "title", "location", key).alias("id"),
+        "title", "company", "location", "description", job_url_from_key(key).alias("url"),
+        relative_date_a("posted_text", as_of).alias("posted_date"),
+        F.lit(board).alias("board_source"), remote_type("location").alias("remote_type"))
+
+
 # ------------------------------------------------------------------ link list
 LINK_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),

@@ -65,20 +65,28 @@ def dom_card(k=None):
         F.lit('<a href="/cmp/'), _slug(F.col("company")), F.lit('">Company</a></div>'))
 
 
-def search_pages(jobs: DataFrame) -> DataFrame:
-    """(page_id, search_id, page_no, url, html, n_items): embedded JSON plus cards."""
+def _dirty(raw, k):
+    """An item's JSON, or on some rows an element that is no object."""
+    return F.when(k % 10 == 3, F.lit('"x"')).when(k % 10 == 6, F.lit("7")).otherwise(raw)
+
+
+def search_pages(jobs: DataFrame, dirty: bool = False) -> DataFrame:
+    """(page_id, search_id, page_no, url, html, n_items): embedded JSON plus cards.
+
+    ``dirty``: nulls are written out, and some elements of the list are no objects."""
     k = F.col("seq")
+    raw = F.to_json(embedded_item(), {"ignoreNullFields": str(not dirty).lower()})
     per_job = jobs.select(
         (F.floor(k / PAGE_SIZE)).alias("page_id"),
-        F.struct(k.alias("seq"), embedded_item().alias("item"), dom_card().alias("card")).alias("j"))
+        F.struct(k.alias("seq"), (_dirty(raw, k) if dirty else raw).alias("item"),
+                 dom_card().alias("card")).alias("j"))
     pages = per_job.groupBy("page_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    items = F.transform("js", lambda x: x.item)
     cards = F.array_join(F.transform("js", lambda x: x.card), "")
-    payload = F.to_json(F.struct(F.struct(F.struct(
-        items.alias("results"),
-        F.array(F.struct(F.size("js").alias("jobCount")),
-                F.struct(F.lit(5).alias("jobCount"))).alias("tierSummaries"))
-        .alias("mosaicProviderJobCardsModel")).alias("metaData")))
+    payload = F.concat(
+        F.lit('{"metaData":{"mosaicProviderJobCardsModel":{"results":['),
+        F.array_join(F.transform("js", lambda x: x.item), ","),
+        F.lit('],"tierSummaries":[{"jobCount":'), F.size("js").cast("string"),
+        F.lit('},{"jobCount":5}]}}}'))
     pno = F.col("page_id") % PAGES_PER_SEARCH
     payload = F.when(pno == CORRUPT_PAGE, F.regexp_replace(payload, '^\\{"', "{")).otherwise(payload)
     script = F.when(pno == NO_MARKER_PAGE, F.lit("")).otherwise(F.concat(
@@ -117,6 +125,21 @@ def extraction_item(k=None):
     )
 
 
+def dirty_extraction_payloads(jobs: DataFrame) -> DataFrame:
+    """As ``extraction_payloads``, with salaries as text (some of them no number) and elements
+    that are no objects between the items."""
+    k = F.col("seq")
+    text = F.when(k % 30 == 20, F.lit("n/a")).when(k % 10 == 0, (F.lit(60000) + k % 7).cast("string"))
+    raw = F.to_json(extraction_item().withField("salary_min", text))
+    per_job = jobs.select(F.floor(k / PAGE_SIZE).alias("page_id"),
+                          F.struct(k.alias("seq"), _dirty(raw, k).alias("it")).alias("j"))
+    pages = per_job.groupBy("page_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    items = F.concat(F.lit("["), F.array_join(F.transform("js", lambda x: x.it), ","), F.lit("]"))
+    return pages.select("page_id", F.lit(True).alias("use_llm"), F.when(
+        F.col("page_id") % 2 == 0, items).otherwise(
+        F.concat(F.lit('{"jobs":'), items, F.lit("}"))).alias("payload"))
+
+
 def extraction_payloads(jobs: DataFrame) -> DataFrame:
     """(page_id, use_llm, payload): list form on even pages, ``{"jobs": [...]}`` on odd
     pages (read only in LLM mode); every 9th page is empty and every 11th bad JSON."""

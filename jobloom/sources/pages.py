@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from jobloom.constants import (BLOCKED_ATTR_PATTERN, BLOCKED_HEADING_PATTERN, CAPTCHA_CLASS_PATTERN,
                                CAPTCHA_TEXT_PATTERN, CHALLENGE_MARKERS, CHALLENGE_PHRASES_CI,
@@ -49,7 +49,9 @@ def blocked_flags(pages: DataFrame, n_jobs_col: str | None = None) -> DataFrame:
     blocked_el = (h.rlike(r"(?i)<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*" + BLOCKED_ATTR_PATTERN)
                   | h.rlike(r"(?i)<[a-z0-9]+\b[^>]*\bid\s*=\s*[\"'][^\"']*" + BLOCKED_ATTR_PATTERN)
                   | h.rlike(r"(?i)<h1\b[^>]*>[^<]*" + BLOCKED_HEADING_PATTERN))
-    n_jobs = F.col(n_jobs_col) if n_jobs_col else F.lit(0)
+    # without a count of extracted jobs, job cards and the embedded list stand for jobs
+    n_jobs = F.col(n_jobs_col) if n_jobs_col else (
+        h.contains("job_seen_beacon") | h.contains("mosaic-provider-jobcards")).cast("int")
     small = (F.length(h) < SUSPICIOUS_PAGE_CHARS) & (n_jobs == 0)
     return pages.select("page_id", challenge.alias("challenge"), phrase.alias("captcha_phrase"),
                         captcha_el.alias("captcha_element"), blocked_el.alias("blocked_element"),
@@ -63,3 +65,18 @@ def with_fallback(primary: DataFrame, pages: DataFrame, fallback_fn) -> DataFram
     done = primary.select("page_id").distinct()
     rest = pages.join(done, "page_id", "left_anti")
     return primary.unionByName(fallback_fn(rest), allowMissingColumns=True)
+
+
+def search_results(found: DataFrame, max_results: int) -> DataFrame:
+    """Jobs of each search in page order (``rank``), up to the first page that has none
+    (pages count from 0) and at most ``max_results``; ``found`` has search_id, page_no, pos.
+
+    Whether a page ends a search is known from the distinct pages, a handful for each search; the
+    rank is a top-k per search, limited before the shuffle."""
+    order = Window.partitionBy("search_id").orderBy("page_no")
+    reached = (found.select("search_id", "page_no").distinct()
+               .withColumn("_n", F.row_number().over(order) - 1)
+               .where(F.col("_n") == F.col("page_no")).drop("_n"))
+    ranked = Window.partitionBy("search_id").orderBy("page_no", "pos")
+    return (found.join(reached, ["search_id", "page_no"]).withColumn("rank", F.row_number().over(ranked))
+            .where(F.col("rank") <= max_results))

@@ -1,10 +1,13 @@
 """Incremental page ingest with Structured Streaming.
 
-New landed page files → embedded-JSON extraction with card-markup fallback →
-greedy de-dup within the micro-batch → insert-if-absent into the job store.
-The store write is idempotent (known ids are skipped), so a micro-batch that
-is replayed after a failure adds nothing twice; the stream's own progress
-lives in ``checkpointLocation`` on the shared file system.
+New landed page files -> embedded-JSON extraction with card-markup fallback -> greedy de-dup
+within each search -> insert-if-absent into the job store.
+
+A search is the unit of de-dup (all keys carry its id), and a search's pages land in one file, so
+a micro-batch holds whole searches and the set of stored ids doesn't depend on how files are
+grouped into batches.  The store write is idempotent (known ids are skipped), so a micro-batch
+that is replayed after a failure adds nothing twice; the stream's progress lives in
+``checkpointLocation`` on the shared file system.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from jobloom.functions.dates import as_of_col
+from jobloom.functions.text import fuzzy_key
 from jobloom.operators.dedup import greedy_dedup
 from jobloom.operators.store import insert_new
+from jobloom.session import materialize
 from jobloom.sources import embedded, html, pages
 
 PAGE_SCHEMA = T.StructType([
@@ -21,43 +26,52 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("page_no", T.IntegerType()), T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType())])
 
-STORE_COLUMNS = ["id", "seq", "title", "company", "location", "description", "url",
-                 "posted_date", "scraped_at", "board_source", "remote_type"]
+STORE_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("search_id", T.StringType()),
+    T.StructField("title", T.StringType()), T.StructField("company", T.StringType()),
+    T.StructField("location", T.StringType()), T.StructField("description", T.StringType()),
+    T.StructField("url", T.StringType()), T.StructField("posted_date", T.TimestampNTZType()),
+    T.StructField("scraped_at", T.TimestampNTZType()), T.StructField("board_source", T.StringType()),
+    T.StructField("remote_type", T.StringType())])
+
+
+def jobs_of_pages(pg: DataFrame, as_of) -> DataFrame:
+    """Job rows of landed pages with ``search_id`` and a unique ``seq`` in page order."""
+    columns = ["page_id", "pos", "id", "title", "company", "location", "description", "url",
+               "posted_date", "board_source", "remote_type"]
+    primary = embedded.embedded_jobs(pg, as_of).select(*columns)
+    found = pages.with_fallback(primary, pg, lambda rest: html.dom_to_jobs(
+        html.extract_cards(rest, "dom"), as_of).select(*columns))
+    of_search = found.join(pg.select("page_id", "search_id"), "page_id")
+    # written once, as ids given after a sort have to stay as they are
+    return materialize(of_search.orderBy("page_id", "pos").select(
+        "*", F.monotonically_increasing_id().alias("seq"), as_of_col(as_of).alias("scraped_at")),
+        "ingest")
 
 
-def _jobs_of_pages(pg: DataFrame, as_of) -> DataFrame:
-    from jobloom.functions.dates import relative_date_a
-    from jobloom.functions.text import job_id
-    from jobloom.functions.web import job_url_from_key, remote_type
+def dedup_searches(jobs: DataFrame) -> DataFrame:
+    """Greedy de-dup of each search by itself: a key of one search never equals another's."""
+    mark = lambda c: F.concat_ws("|", F.col("search_id"), c)
+    keyed = jobs.withColumns({
+        "_id": F.when(F.col("id").isNotNull(), mark(F.col("id"))),
+        "_fuzzy": mark(fuzzy_key("company", "title")),
+        "_url": F.when(F.coalesce("url", F.lit("")) != "", mark(F.col("url")))})
+    kept = greedy_dedup(keyed, id_col="_id", url_col="_url", fuzzy_col="_fuzzy")
+    return kept.drop("_id", "_fuzzy", "_url")
 
-    primary = embedded.embedded_jobs(pg, as_of).select(
-        "page_id", "pos", "id", "title", "company", "location", "description", "url",
-        "posted_date", "board_source", "remote_type")
 
-    def dom(rest):
-        c = html.extract_cards(rest, "dom")
-        k = F.col("job_key")
-        return c.select("page_id", "pos", job_id("company", "title", "location", k).alias("id"),
-                        "title", "company", "location", "description",
-                        job_url_from_key(k).alias("url"),
-                        relative_date_a("posted_text", as_of).alias("posted_date"),
-                        F.lit("indeed").alias("board_source"),
-                        remote_type("location").alias("remote_type"))
-    out = pages.with_fallback(primary, pg, dom)
-    return out.select("*", (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
-                      as_of_col(as_of).alias("scraped_at"))
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def make_batch_writer(spark: SparkSession, store_dir: str, as_of):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        jobs = _jobs_of_pages(batch, as_of)
-        kept = greedy_dedup(jobs)
-        try:
-            stored = spark.read.parquet(store_dir).select("id")
-        except Exception:  # noqa: BLE001 - first batch: the store does not exist yet
-            stored = kept.select("id").limit(0)
-        new = insert_new(stored, kept.select(*STORE_COLUMNS))
-        new.write.mode("append").parquet(store_dir)
+        kept = dedup_searches(jobs_of_pages(batch, as_of))
+        known = (spark.read.schema(STORE_SCHEMA).parquet(store_dir).select("id")
+                 if _exists(spark, store_dir) else kept.select("id").limit(0))
+        new = insert_new(known, kept.select(*STORE_SCHEMA.names, "seq"))
+        new.select(*STORE_SCHEMA.names).write.mode("append").parquet(store_dir)
     return write
 
 

@@ -19,7 +19,7 @@ def con():
     return duck(SF_SMALL)
 
 
-NO_ORACLE = {"stream_ingest"}  # streaming: checked against batch runs in test_streaming
+NO_ORACLE: set = set()
 
 
 def test_every_query_has_an_oracle():
