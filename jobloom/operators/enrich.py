@@ -93,3 +93,11 @@ def match_employers(companies: DataFrame, people: DataFrame, targets=TARGET_COUN
            .where(F.col("_dom").isNotNull()))
     matched = exp.join(companies.select("company_id", F.col(domain_col).alias("_dom")), "_dom")
     return matched.drop("_dom").dropDuplicates(["company_id", "person_id"])
+
+
+def people_of_employer(people: DataFrame, employer: str, targets=TARGET_COUNTRIES,
+                       name_col: str = "employer") -> DataFrame:
+    """the flat form of the vendor query: people in the target countries (compared in lower
+    case) whose current employer has this name.  Both predicates reach the scan of a people table."""
+    lower = [t.lower() for t in targets]
+    return people.where(F.lower("country").isin(lower) & (F.col(name_col) == employer))

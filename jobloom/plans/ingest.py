@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobloom.functions.text import py_strip
 from jobloom.plans import base
-from jobloom.sources import embedded, extracted, html, landed, pages
+from jobloom.sources import boards, embedded, extracted, html, landed, pages
 from jobloom.sources.html import dom_to_jobs as _dom_to_jobs
 from jobloom.sources.tables import read_table
 
@@ -37,17 +37,8 @@ def dom_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def selector_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """S6 + S8: declarative selector extraction, then the item mapping."""
-    cards = html.extract_cards(_search_pages(spark, sf), "selector", pages.CARD_SELECTOR_SPEC)
-    null = F.lit(None)
-    it = F.struct(
-        F.col("title"), F.col("company"), F.col("location"), F.col("description"),
-        F.col("job_key"), F.col("job_url"), F.col("posted_text").alias("posted_date"),
-        F.col("salary"), null.cast("string").alias("salary_text"),
-        null.cast("string").alias("salary_min"), null.cast("string").alias("salary_max"),
-        null.cast("string").alias("is_remote"), F.col("company_url"),
-        null.cast("string").alias("company_url_direct"))
-    items = cards.select("page_id", "pos", it.alias("it"))
-    return extracted.items_to_jobs(items, AS_OF).select(*JOB_COLS, "company_website")
+    return boards.get_extractor("css")(_search_pages(spark, sf), AS_OF).select(
+        *JOB_COLS, "company_website")
 
 
 def extracted_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,14 +82,17 @@ def blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Embedded JSON where present, card markup for the other pages."""
-    sp = _search_pages(spark, sf)
-    primary = embedded.embedded_jobs(sp, AS_OF).select(
-        "page_id", "pos", "id", "title", "company", "location").withColumn("source", F.lit("embedded"))
-    fb = pages.with_fallback(
-        primary, sp,
-        lambda rest: _dom_to_jobs(html.extract_cards(rest, "dom"), AS_OF).select(
-            "page_id", "pos", "id", "title", "company", "location").withColumn("source", F.lit("dom")))
-    return fb
+    return pages.jobs_or_cards(_search_pages(spark, sf), AS_OF).select(
+        "page_id", "pos", "id", "title", "company", "location", "source")
+
+
+def hybrid_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The css rows of a page where it has any, else the rows of its extraction payload."""
+    sp = _search_pages(spark, sf).select(
+        "page_id", F.when(F.col("page_no") % 3 != 2, F.col("html")).otherwise(F.lit("")).alias("html"))
+    pay = landed.extraction_payloads(base.jobs(spark, sf)).select("page_id", "payload")
+    out = boards.get_extractor("hybrid")(sp.join(pay, "page_id", "left"), AS_OF)
+    return out.select(*JOB_COLS)
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:

@@ -561,6 +561,16 @@ SELECT page_id, pos, {s_id('x_company', 'x_title', 'x_location')} AS id, x_title
   CASE WHEN gmin IS NOT NULL THEN gmin WHEN len(sv) > 0 THEN list_min(sv) END AS salary_min,
   CASE WHEN gmin IS NOT NULL THEN coalesce(nullif(gmax, 0), gmin) WHEN len(sv) > 0 THEN list_max(sv) END AS salary_max
 FROM ex WHERE x_title <> ''""")
+# Pages whose number is 2 of 3 have no cards and take their payload's items.
+_cols = "page_id, pos, id, title, company, location, description, url, posted_date, remote_type"
+_sel = ORACLE["selector_jobs"].split(EMB_CTE, 1)[1]
+_ext = ORACLE["extracted_jobs"].split(EMB_CTE, 1)[1]
+_ex_cte, _ex_body = _ext.split("\nSELECT page_id, pos", 1)
+_ex_cte = _ex_cte.replace("AND (page_id % 2 = 0 OR page_id % 4 <> 3)", "")
+register("hybrid_jobs", f"""{EMB_CTE}{_ex_cte}
+SELECT {_cols} FROM ({_sel}) WHERE (page_id % 10) % 3 <> 2
+UNION ALL SELECT {_cols} FROM (SELECT page_id, pos{_ex_body}) WHERE (page_id % 10) % 3 = 2""")
+
 # Lists with explicit nulls: a null stays null, and seq % 10 in (3, 6) is no object.
 DIRTY_CTE = EMB_CTE + """, dirty AS (
   SELECT *, CASE WHEN seq % 11 <> 0 THEN raw_title END AS n_title,
@@ -682,3 +692,17 @@ register("saved_search", f"""SELECT seq, id, smin AS salary_min, smax AS salary_
 FROM (SELECT *, CASE WHEN len(v) > 0 THEN list_min(v) END AS smin, CASE WHEN len(v) > 0 THEN list_max(v) END AS smax
       FROM (SELECT *, {s_salary_vals('salary_text')} AS v FROM enriched))
 WHERE coalesce(smax, smin) >= 60000 AND {s_days('posted_date')} <= 14 AND coalesce(region_team_count, 0) >= 1""")
+
+# ------------------------------------------- registry, flat filter, rule sets
+register("vendor_people", f""", {CAPPED}
+SELECT v AS vendor, company_id, CAST(row_number() OVER (PARTITION BY v, company_id ORDER BY id) - 1 AS INTEGER) AS pos, name
+FROM capped, (VALUES ('a'), ('b')) t(v)""")
+register("people_by_employer", """SELECT t.id, t.company_id, t.country FROM team_members t
+JOIN companies c ON c.id = t.company_id WHERE c.name = 'Supplier#000000000'
+  AND country IN ('Taiwan', 'China', 'Singapore', 'Hong Kong')
+QUALIFY row_number() OVER (PARTITION BY t.company_id ORDER BY t.id) <= 100""")
+register("company_websites_labelled", """SELECT CAST(id AS BIGINT) AS page_id,
+  'https://www.linkedin.com/company/' || id AS website FROM companies""")
+register("company_websites_plain", """SELECT CAST(id AS BIGINT) AS page_id,
+  CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'https://www.' || website || '/about'
+       WHEN 1 THEN 'https://' || website END AS website FROM companies""")

@@ -72,6 +72,7 @@ QUERIES = {
     "dom_jobs": ingest.dom_jobs,
     "selector_jobs": ingest.selector_jobs,
     "extracted_jobs": ingest.extracted_jobs,
+    "hybrid_jobs": ingest.hybrid_jobs,
     "embedded_dirty": ingest.embedded_dirty,
     "embedded_rejects": ingest.embedded_rejects,
     "extracted_dirty": ingest.extracted_dirty,
@@ -89,6 +90,10 @@ QUERIES = {
     "company_metadata": vendor.company_metadata,
     "employer_match": vendor.employer_match,
     "people_cap": vendor.people_cap,
+    "vendor_people": vendor.vendor_people,
+    "people_by_employer": vendor.people_by_employer,
+    "company_websites_labelled": vendor.company_websites_labelled,
+    "company_websites_plain": vendor.company_websites_plain,
     "company_websites": vendor.company_websites,
     "company_page_links": vendor.company_page_links,
     # streaming ingest (no SQL oracle: micro-batch boundaries are part of the semantics)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.operators.enrich import match_employers
+from jobloom.operators.enrich import match_employers, people_of_employer
 from jobloom.operators.serve import top_per_group
 from jobloom.plans import base
 from jobloom.sources import vendor
@@ -61,6 +61,25 @@ def employer_match(spark: SparkSession, sf: str) -> DataFrame:
     return match_employers(companies, people).select("company_id", "person_id", "name", "country")
 
 
+def vendor_people(spark: SparkSession, sf: str) -> DataFrame:
+    """People of both vendors through the registry, each from its own bodies."""
+    m, out = base.members(spark, sf), None
+    for name in ("a", "b"):
+        _, people = vendor.get_vendor(name)
+        rows = people(vendor.people_responses(m, name)).select(
+            F.lit(name).alias("vendor"), "company_id", "pos", "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def people_by_employer(spark: SparkSession, sf: str) -> DataFrame:
+    """F6 + O7: people in the target countries at one employer, 100 at most."""
+    m = base.members(spark, sf).join(base.companies(spark, sf).select(
+        F.col("id").alias("company_id"), F.col("name").alias("employer")), "company_id")
+    found = people_of_employer(m, "Supplier#000000000")
+    return top_per_group(found, "company_id", [F.col("id")], 100).select("id", "company_id", "country")
+
+
 def people_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most 100 matched people per company (person id order)."""
     return top_per_group(employer_match(spark, sf), "company_id", [F.col("person_id")], 100)
@@ -74,6 +93,23 @@ def company_websites(spark: SparkSession, sf: str) -> DataFrame:
     return company_website(pg, html.extract_links(pg))
 
 
+def _websites(spark, sf, ruleset):
+    from jobloom.operators.website import company_website
+    from jobloom.sources import html, landed
+    pg = landed.company_pages(base.companies(spark, sf))
+    return company_website(pg, html.extract_links(pg), ruleset)
+
+
+def company_websites_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """X25, second rule set: label text, info sections, test ids; the raw url."""
+    return _websites(spark, sf, "labelled")
+
+
+def company_websites_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """X25, third rule set: the first absolute link to no known site; the raw url."""
+    return _websites(spark, sf, "plain")
+
+
 def company_page_links(spark: SparkSession, sf: str) -> DataFrame:
     """Company-page link of every landed job page."""
     from jobloom.operators.website import company_page_link

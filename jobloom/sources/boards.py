@@ -10,21 +10,28 @@ fallback).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from jobloom.sources import embedded, extracted, html, pages
+from jobloom.functions.text import py_strip
+from jobloom.sources import extracted, html, pages
+
+
+def _item(c) -> Column:
+    """The extraction item of a selected card."""
+    null = F.lit(None).cast("string")
+    return F.struct(*[c[n].alias(n) for n in ("title", "company", "location", "description",
+                                              "job_key", "job_url")],
+                    c["posted_text"].alias("posted_date"), c["salary"].alias("salary"),
+                    *[null.alias(n) for n in ("salary_text", "salary_min", "salary_max", "is_remote")],
+                    c["company_url"].alias("company_url"),
+                    c["company_url_direct"].alias("company_url_direct"))
 
 
 def _css(pg: DataFrame, as_of) -> DataFrame:
-    cards = html.extract_cards(pg, "selector", pages.CARD_SELECTOR_SPEC)
-    null = F.lit(None)
-    it = F.struct(F.col("title"), F.col("company"), F.col("location"), F.col("description"),
-                  F.col("job_key"), F.col("job_url"), F.col("posted_text").alias("posted_date"),
-                  F.col("salary"), null.cast("string").alias("salary_text"),
-                  null.cast("string").alias("salary_min"), null.cast("string").alias("salary_max"),
-                  null.cast("string").alias("is_remote"), F.col("company_url"),
-                  null.cast("string").alias("company_url_direct"))
-    return extracted.items_to_jobs(cards.select("page_id", "pos", it.alias("it")), as_of)
+    cards = html.with_cards(pg, "selector", pages.CARD_SELECTOR_SPEC)
+    rows = cards.select("page_id", F.explode("cards").alias("c"))
+    return extracted.items_to_jobs(
+        rows.select("page_id", F.col("c.pos").alias("pos"), _item(F.col("c")).alias("it")), as_of)
 
 
 def _llm(payloads: DataFrame, as_of) -> DataFrame:
@@ -33,15 +40,20 @@ def _llm(payloads: DataFrame, as_of) -> DataFrame:
 
 
 def _hybrid(pg: DataFrame, as_of) -> DataFrame:
-    """CSS rows where a page has any, else the LLM rows of that page."""
-    css = _css(pg, as_of)
-    return pages.with_fallback(css, pg, lambda rest: _llm(rest, as_of))
+    """CSS rows where a page has any that count, else the items of its payload (S15), in one
+    pass over the pages: both are arrays of a page, and the page takes one of them."""
+    p = html.with_cards(pg.select("page_id", "payload", "html"), "selector", pages.CARD_SELECTOR_SPEC)
+    css = F.filter(F.transform("cards", lambda c: F.struct(c["pos"].alias("pos"), _item(c).alias("it"))),
+                   lambda r: F.coalesce(py_strip(r["it"]["title"]), F.lit("")) != "")
+    p = p.withColumn("css", css).withColumn("use_llm", F.lit(True))
+    rest = extracted.payload_items(F.when(F.size("css") == 0, F.col("payload")), F.col("use_llm"))
+    rows = p.select("page_id", F.explode(F.concat("css", rest)).alias("r"))
+    return extracted.items_to_jobs(
+        rows.select("page_id", F.col("r.pos").alias("pos"), F.col("r.it").alias("it")), as_of)
 
 
 def _embedded(pg: DataFrame, as_of) -> DataFrame:
-    primary = embedded.embedded_jobs(pg, as_of)
-    return pages.with_fallback(
-        primary, pg, lambda rest: html.dom_to_jobs(html.extract_cards(rest, "dom"), as_of))
+    return pages.jobs_or_cards(pg, as_of)
 
 
 EXTRACTORS = {"embedded": _embedded, "css": _css, "llm": _llm, "hybrid": _hybrid}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jobloom.constants import EMBEDDED_MARKER_PATTERN
 from jobloom.functions.dates import relative_date_a
@@ -24,11 +24,19 @@ PAYLOAD = T.StructType([T.StructField("metaData", T.StructType([
             T.StructField("jobCount", T.IntegerType())])))]))]))])
 
 
+def _model(html: Column) -> Column:
+    raw = F.regexp_extract(html, "(?s)" + EMBEDDED_MARKER_PATTERN, 1)
+    parsed = F.from_json(F.nullif(raw, F.lit("")), PAYLOAD, {"mode": "PERMISSIVE"})
+    return parsed.getField("metaData").getField("mosaicProviderJobCardsModel")
+
+
+def _results(html: Column) -> Column:
+    return _model(html).getField("results")
+
+
 def embedded_payload(pages: DataFrame) -> DataFrame:
     """S2 + S3: the parsed model of each page (null when absent or not JSON)."""
-    raw = F.regexp_extract(F.col("html"), "(?s)" + EMBEDDED_MARKER_PATTERN, 1)
-    parsed = F.from_json(F.nullif(raw, F.lit("")), PAYLOAD, {"mode": "PERMISSIVE"})
-    model = parsed.getField("metaData").getField("mosaicProviderJobCardsModel")
+    model = _model(F.col("html"))
     total = F.aggregate(F.transform(F.coalesce(model.getField("tierSummaries"),
                                                F.array().cast("array<struct<jobCount:int>>")),
                                     lambda t: F.coalesce(t.jobCount, F.lit(0))),
@@ -37,17 +45,16 @@ def embedded_payload(pages: DataFrame) -> DataFrame:
                         total.alias("total_count"))
 
 
-def embedded_items(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, it, reason): every element of every page's list in page order.
+def _item(raw: Column) -> Column:
+    """(it, reason) of one element's JSON.
 
     A key that is missing takes its default; a key that is there with null stays null.  ``reason``
     says why an element can't become a job (null: it can): it is no object, its location is null
     without a remote flag, its time is null, or it has neither snippet nor snippet items.
     """
-    p = embedded_payload(pages).select("page_id", F.posexplode("results").alias("pos", "raw"))
-    p = p.select("page_id", "pos", "raw", F.from_json("raw", ITEM).alias("j"),
-                 F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")).alias("k"))
-    j, has = F.col("j"), lambda k: F.array_contains("k", k)
+    j = F.from_json(raw, ITEM)
+    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    has = lambda k: F.array_contains(keys, k)
 
     def given(default, *names):
         out = F.lit(default)
@@ -56,20 +63,47 @@ def embedded_items(pages: DataFrame) -> DataFrame:
         return out
     remote = truthy(given(None, "remoteLocation"))
     snippet, time = given("", "snippet"), given("", "formattedRelativeTime")
-    items = j.getField("jobSnippetHtmlItems")
+    items, location = j.getField("jobSnippetHtmlItems"), given(
+        "Remote", "formattedLocation", "jobLocationCity")
     broken = F.when(has("jobSnippetHtmlItems"), items.isNull() | F.exists(
         F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNull())).otherwise(False)
     it = F.struct(
         given("", "jobkey").alias("key"), given("", "title", "displayTitle").alias("title"),
-        given("Unknown", "company").alias("company"),
-        given("Remote", "formattedLocation", "jobLocationCity").alias("location"),
+        given("Unknown", "company").alias("company"), location.alias("location"),
         remote.alias("remote"), snippet_fallback(snippet, items).alias("description"),
         time.alias("time"), j.getField("extractedSalary").alias("salary"))
-    reason = (F.when(~F.coalesce(F.col("raw").startswith("{"), F.lit(False)), "no object")
+    reason = (F.when(~F.coalesce(raw.startswith("{"), F.lit(False)), "no object")
               .when((F.coalesce(snippet, F.lit("")) == "") & broken, "null snippet items")
               .when(time.isNull(), "null time")
-              .when(it["location"].isNull() & ~remote, "null location"))
-    return p.select("page_id", "pos", it.alias("it"), reason.alias("reason"))
+              .when(location.isNull() & ~remote, "null location"))
+    return F.struct(it.alias("it"), reason.alias("reason"))
+
+
+def embedded_items(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, it, reason): every element of every page's list in page order."""
+    p = embedded_payload(pages).select("page_id", F.posexplode("results").alias("pos", "raw"))
+    p = p.select("page_id", "pos", _item(F.col("raw")).alias("x"))
+    return p.select("page_id", "pos", "x.it", "x.reason")
+
+
+def job_of(it: Column, as_of, board: str = "indeed") -> list[Column]:
+    """The job columns of a usable item."""
+    return [job_id(it.company, it.title, it.location, it.key).alias("id"),
+            it.title.alias("title"), it.company.alias("company"), it.location.alias("location"),
+            it.description.alias("description"), job_url_from_key(it.key).alias("url"),
+            relative_date_a(it.time, as_of).alias("posted_date"),
+            F.lit(board).alias("board_source"),
+            remote_type(it.location, it.remote).alias("remote_type")]
+
+
+def with_jobs(pages: DataFrame, as_of, board: str = "indeed", column: str = "jobs") -> DataFrame:
+    """``pages`` with an array of the jobs of each page's list (empty without any): the list is
+    parsed once for a page, and a page's jobs are as many as it shows."""
+    raw = F.coalesce(_results(F.col("html")), F.array().cast("array<string>"))
+    numbered = F.transform(raw, lambda r, i: F.struct(i.alias("pos"), _item(r).alias("x")))
+    usable = F.filter(numbered, lambda r: r["x"]["reason"].isNull())
+    return pages.withColumn(column, F.transform(usable, lambda r: F.struct(
+        r["pos"].alias("pos"), *job_of(r["x"]["it"], as_of, board))))
 
 
 def embedded_rejects(pages: DataFrame) -> DataFrame:
@@ -81,12 +115,6 @@ def embedded_jobs(pages: DataFrame, as_of, board: str = "indeed") -> DataFrame:
     """S2 + S4: one job row per usable embedded item, in page order (``pos``)."""
     it = F.col("it")
     return embedded_items(pages).where("reason IS NULL").select(
-        "page_id", "pos",
-        job_id(it.company, it.title, it.location, it.key).alias("id"),
-        it.title.alias("title"), it.company.alias("company"), it.location.alias("location"),
-        it.description.alias("description"), job_url_from_key(it.key).alias("url"),
-        relative_date_a(it.time, as_of).alias("posted_date"),
-        F.lit(board).alias("board_source"),
-        remote_type(it.location, it.remote).alias("remote_type"),
+        "page_id", "pos", *job_of(it, as_of, board),
         it.salary.getField("min").try_cast("double").alias("salary_min"),
         it.salary.getField("max").try_cast("double").alias("salary_max"))

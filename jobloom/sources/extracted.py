@@ -29,20 +29,33 @@ def raw_items(items: Column) -> Column:
                     lambda r: r["raw"].startswith("{"))
 
 
-def parse_payload(payloads: DataFrame) -> DataFrame:
-    """A JSON list of items, or ``{"jobs": [...]}`` when the LLM flag is set;
-    anything else ('' / null / bad JSON / other shapes) yields no rows.  An element that is no
-    object, or whose given salary is no number, is left out; the others stay."""
-    text = F.nullif(py_strip(F.col("payload")), F.lit(""))
+def payload_items(payload: Column, use_llm: Column) -> Column:
+    """(pos, it) of the usable items of a payload, in order; an empty array if there is none.
+
+    A payload is a JSON list of items, or ``{"jobs": [...]}`` when the LLM flag is set; anything
+    else ('' / null / bad JSON / other shapes) has no items.  An element that is no object, or
+    whose given salary is no number, is left out; the others stay."""
+    text = F.nullif(py_strip(payload), F.lit(""))
     as_list = F.when(text.startswith("["), F.from_json(text, RAW_ITEMS))
-    wrapped = F.when(text.startswith("{") & F.col("use_llm"),
-                     F.from_json(text, T.StructType([T.StructField("jobs", RAW_ITEMS)])).jobs)
-    rows = payloads.select("page_id", F.explode(raw_items(F.coalesce(as_list, wrapped))).alias("r"))
-    it = rows.select("page_id", F.col("r.pos").alias("pos"), F.from_json("r.raw", ITEM).alias("it"))
-    low, high = F.col("it.salary_min"), F.nullif(F.col("it.salary_max"), F.lit(""))
-    number = lambda c: c.try_cast("double")
-    bad = low.isNotNull() & (number(low).isNull() | (high.isNotNull() & number(high).isNull()))
-    return it.where(~bad)
+    wrapped = F.when(text.startswith("{") & use_llm, F.from_json(
+        text, T.StructType([T.StructField("jobs", RAW_ITEMS)])).getField("jobs"))
+    raw = F.coalesce(as_list, wrapped, F.array().cast("array<string>"))
+    items = F.transform(raw_items(raw), lambda r: F.struct(
+        r["pos"].alias("pos"), F.from_json(r["raw"], ITEM).alias("it")))
+
+    def usable(r):
+        low, high = r["it"]["salary_min"], F.nullif(r["it"]["salary_max"], F.lit(""))
+        bad = low.isNotNull() & (low.try_cast("double").isNull()
+                                 | (high.isNotNull() & high.try_cast("double").isNull()))
+        return ~bad
+    return F.filter(items, usable)
+
+
+def parse_payload(payloads: DataFrame) -> DataFrame:
+    """(page_id, pos, it) of all usable items."""
+    rows = payloads.select("page_id", F.explode(
+        payload_items(F.col("payload"), F.col("use_llm"))).alias("r"))
+    return rows.select("page_id", F.col("r.pos").alias("pos"), F.col("r.it").alias("it"))
 
 
 def items_to_jobs(items: DataFrame, as_of, board: str = "indeed") -> DataFrame:

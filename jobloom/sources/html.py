@@ -5,7 +5,7 @@ Pages are parsed inside Spark tasks with the standard-library HTML parser
 queried with a small CSS subset: ``tag``, ``.class``, ``[attr]``,
 ``[attr=v]``, ``[attr*=v]``, descendant combinator and ``,`` lists.
 Only pages that the native (JVM) extractors could not handle should reach
-these functions (see ``pages.with_fallback``).
+these functions (see ``pages.jobs_or_cards``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jobloom.functions.dates import relative_date_a
 from jobloom.functions.text import job_id
@@ -195,6 +195,7 @@ CARD_SCHEMA = T.StructType([
     T.StructField("salary", T.StringType()),
     T.StructField("job_url", T.StringType()),
     T.StructField("company_url", T.StringType()),
+    T.StructField("company_url_direct", T.StringType()),
 ])
 
 _CARD_CLASS = re.compile(r"job_seen_beacon")
@@ -259,11 +260,16 @@ def _field_value(node, compiled, kind, attribute):
     return hit.get_text()
 
 
-def _selector_cards(root: Node, spec):
+def _compiled(spec):
+    """A selector spec with its selectors compiled, once for a task."""
+    return compile_selector(spec["base"]), [
+        (f["name"], compile_selector(f["selector"]), f.get("type", "text"), f.get("attribute"))
+        for f in spec["fields"]]
+
+
+def _selector_cards(root: Node, compiled):
     """Declarative fields relative to every base element."""
-    base = compile_selector(spec["base"])
-    fields = [(f["name"], compile_selector(f["selector"]), f.get("type", "text"),
-               f.get("attribute")) for f in spec["fields"]]
+    base, fields = compiled
     out = []
     for el in select(root, base):
         item = {name: _field_value(el, sel, kind, attr) for name, sel, kind, attr in fields}
@@ -272,6 +278,7 @@ def _selector_cards(root: Node, spec):
 
 
 def _cards_batches(batches, mode, spec):
+    spec = _compiled(spec) if spec else None
     names = [f.name for f in CARD_SCHEMA.fields]
     arrow_schema = pa.schema([pa.field("page_id", pa.int64()), pa.field("pos", pa.int32())] +
                              [pa.field(n, pa.string()) for n in names[2:]])
@@ -297,14 +304,48 @@ def extract_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None)
     return pages.select("page_id", "html").mapInArrow(fn, CARD_SCHEMA)
 
 
+CARD = T.StructType([T.StructField("pos", T.IntegerType()), *CARD_SCHEMA.fields[2:]])
+
+
+def with_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None,
+               column: str = "cards") -> DataFrame:
+    """``pages`` without ``html`` and with an array of its job cards; a null html isn't parsed."""
+    keep = [f for f in pages.schema.fields if f.name not in ("html", column)]
+    names = [f.name for f in CARD.fields]
+    kind = pa.list_(pa.struct([pa.field("pos", pa.int32()), *(pa.field(n, pa.string()) for n in names[1:])]))
+
+    def run(batches):
+        compiled = _compiled(spec) if spec else None
+        for batch in batches:
+            cards = []
+            for html in batch.column("html").to_pylist():
+                if html is None:
+                    cards.append([])
+                    continue
+                root = parse(html)
+                found = _dom_cards(root) if mode == "dom" else _selector_cards(root, compiled)
+                cards.append([{"pos": i, **{n: c.get(n) for n in names[1:]}}
+                              for i, c in enumerate(found)])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in keep), pa.array(cards, kind)],
+                names=[*(f.name for f in keep), column])
+    return pages.select(*[f.name for f in keep], "html").mapInArrow(
+        run, T.StructType([*keep, T.StructField(column, T.ArrayType(CARD))]))
+
+
+def card_job(c: Column, as_of, board: str = "indeed") -> list[Column]:
+    """The job columns of a card."""
+    return [job_id(c.company, c.title, c.location, c.job_key).alias("id"), c.title.alias("title"),
+            c.company.alias("company"), c.location.alias("location"),
+            c.description.alias("description"), job_url_from_key(c.job_key).alias("url"),
+            relative_date_a(c.posted_text, as_of).alias("posted_date"),
+            F.lit(board).alias("board_source"), remote_type(c.location).alias("remote_type")]
+
+
 def dom_to_jobs(cards: DataFrame, as_of, board: str = "indeed") -> DataFrame:
     """Job rows of the extracted cards."""
-    key = F.col("job_key")
-    return cards.select(
-        "page_id", "pos", job_id("company", "title", "location", key).alias("id"),
-        "title", "company", "location", "description", job_url_from_key(key).alias("url"),
-        relative_date_a("posted_text", as_of).alias("posted_date"),
-        F.lit(board).alias("board_source"), remote_type("location").alias("remote_type"))
+    c = F.struct(*[F.col(n) for n in cards.columns])
+    return cards.select("page_id", "pos", *card_job(c, as_of, board))
 
 
 # ------------------------------------------------------------------ link list
@@ -315,6 +356,8 @@ LINK_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("testid", T.StringType()),
     T.StructField("container", T.StringType()),
+    T.StructField("parent_text", T.StringType()),
+    T.StructField("sections", T.StringType()),
 ])
 
 
@@ -328,12 +371,22 @@ def _container(node):
     return None
 
 
+def _sections(node):
+    """Classes of all enclosing div and section elements, innermost first, one a line."""
+    out, p = [], node.parent
+    while p is not None:
+        if p.tag in ("div", "section") and p.attrs.get("class"):
+            out.append(p.attrs["class"])
+        p = p.parent
+    return "\n".join(out)
+
+
 def _links_batches(batches):
+    names = [f.name for f in LINK_SCHEMA.fields]
     arrow_schema = pa.schema([pa.field("page_id", pa.int64()), pa.field("pos", pa.int32()),
-                              pa.field("href", pa.string()), pa.field("text", pa.string()),
-                              pa.field("testid", pa.string()), pa.field("container", pa.string())])
+                              *(pa.field(n, pa.string()) for n in names[2:])])
     for batch in batches:
-        out = {k: [] for k in ("page_id", "pos", "href", "text", "testid", "container")}
+        out = {k: [] for k in names}
         for pid, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
             pos = 0
             for n in parse(html).iter():
@@ -345,6 +398,8 @@ def _links_batches(batches):
                 out["text"].append(n.get_text())
                 out["testid"].append(n.attrs.get("data-testid"))
                 out["container"].append(_container(n))
+                out["parent_text"].append(n.parent.get_text() if n.parent is not None else "")
+                out["sections"].append(_sections(n))
                 pos += 1
         yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 

@@ -27,6 +27,8 @@ CARD_SELECTOR_SPEC = {
         {"name": "job_url", "selector": "h2.jobTitle a, a[data-jk]", "type": "attribute",
          "attribute": "href"},
         {"name": "company_url", "selector": "a[href*='/cmp/']", "type": "attribute", "attribute": "href"},
+        {"name": "company_url_direct", "selector": "div.job_seen_beacon, div[data-testid='job-card']",
+         "type": "attribute", "attribute": "data-company-url"},
     ],
 }
 
@@ -59,12 +61,19 @@ def blocked_flags(pages: DataFrame, n_jobs_col: str | None = None) -> DataFrame:
                         (challenge | phrase | captcha_el | blocked_el).alias("blocked"))
 
 
-def with_fallback(primary: DataFrame, pages: DataFrame, fallback_fn) -> DataFrame:
-    """Primary rows, plus fallback rows for pages where the primary gave none.
-    The costly fallback only runs on the pages left after the anti join."""
-    done = primary.select("page_id").distinct()
-    rest = pages.join(done, "page_id", "left_anti")
-    return primary.unionByName(fallback_fn(rest), allowMissingColumns=True)
+def jobs_or_cards(pages: DataFrame, as_of) -> DataFrame:
+    """S15 in one pass: the jobs of a page's embedded list, or those of its cards if it has none.
+
+    The list is parsed once into an array; only a page without jobs keeps its html for the card
+    parser.  No join and no shuffle.  ``source`` says which it was."""
+    from jobloom.sources import embedded, html
+    p = embedded.with_jobs(pages, as_of)
+    p = p.withColumn("html", F.when(F.size("jobs") == 0, F.col("html")))
+    p = html.with_cards(p, "dom")
+    cards = F.transform("cards", lambda c: F.struct(c["pos"].alias("pos"), *html.card_job(c, as_of)))
+    return p.select("page_id", *[c for c in ("search_id", "page_no") if c in pages.columns],
+                    F.when(F.size("jobs") > 0, "embedded").otherwise("dom").alias("source"),
+                    F.explode(F.concat("jobs", cards)).alias("j")).select("*", "j.*").drop("j")
 
 
 def search_results(found: DataFrame, max_results: int) -> DataFrame:

@@ -62,7 +62,7 @@ def vendor_b_companies(responses: DataFrame) -> DataFrame:
     the one that was asked for."""
     b = F.from_json(F.col("body"), B_COMPANY)
     rows = responses.select("requested_name", "website", b.alias("b")).where(
-        F.col("b").isNotNull() & (py_strip(F.col("body")) != "{}"))
+        F.col("b").isNotNull() & (F.size(F.json_object_keys("body")) > 0))
     d = F.col("b")
     return rows.select(
         F.coalesce(d.id, F.lit("")).alias("id"),
@@ -114,6 +114,17 @@ def region_head_count(members: DataFrame) -> DataFrame:
     return members.groupBy("company_id").agg(F.count(F.lit(1)).cast("int").alias("region_team_count"))
 
 
+# A vendor turns company bodies and people bodies into rows.
+VENDORS = {"a": (vendor_a_companies, vendor_a_people), "b": (vendor_b_companies, vendor_b_people)}
+
+
+def get_vendor(name: str):
+    """(companies, people) functions of a vendor; an unknown name raises ValueError."""
+    if name not in VENDORS:
+        raise ValueError(f"Unknown service: {name}")
+    return VENDORS[name]
+
+
 # ------------------------------------------------------------ landed payloads
 def company_responses_a(companies: DataFrame) -> DataFrame:
     """Vendor A company bodies for every company (every 8th: not found)."""

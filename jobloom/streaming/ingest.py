@@ -19,7 +19,7 @@ from jobloom.functions.text import fuzzy_key
 from jobloom.operators.dedup import greedy_dedup
 from jobloom.operators.store import insert_new
 from jobloom.session import materialize
-from jobloom.sources import embedded, html, pages
+from jobloom.sources import pages
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("search_id", T.StringType()),
@@ -34,18 +34,15 @@ STORE_SCHEMA = T.StructType([
     T.StructField("scraped_at", T.TimestampNTZType()), T.StructField("board_source", T.StringType()),
     T.StructField("remote_type", T.StringType())])
 
+STORE_COLUMNS = [n for n in STORE_SCHEMA.names if n != "scraped_at"]
+
 
 def jobs_of_pages(pg: DataFrame, as_of) -> DataFrame:
     """Job rows of landed pages with ``search_id`` and a unique ``seq`` in page order."""
-    columns = ["page_id", "pos", "id", "title", "company", "location", "description", "url",
-               "posted_date", "board_source", "remote_type"]
-    primary = embedded.embedded_jobs(pg, as_of).select(*columns)
-    found = pages.with_fallback(primary, pg, lambda rest: html.dom_to_jobs(
-        html.extract_cards(rest, "dom"), as_of).select(*columns))
-    of_search = found.join(pg.select("page_id", "search_id"), "page_id")
+    of_search = pages.jobs_or_cards(pg, as_of)
     # written once, as ids given after a sort have to stay as they are
     return materialize(of_search.orderBy("page_id", "pos").select(
-        "*", F.monotonically_increasing_id().alias("seq"), as_of_col(as_of).alias("scraped_at")),
+        *STORE_COLUMNS, F.monotonically_increasing_id().alias("seq"), as_of_col(as_of).alias("scraped_at")),
         "ingest")
 
 

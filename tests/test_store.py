@@ -176,3 +176,43 @@ def test_results_stop_at_the_first_empty_page_and_at_the_limit(spark):
     df = spark.createDataFrame(found, "search_id string, page_no int, pos int")
     got = sorted((r["rank"], r["page_no"], r["pos"]) for r in rows(pages.search_results(df, 6)))
     assert got == [(1, 0, 0), (2, 0, 1), (3, 0, 2), (4, 0, 3), (5, 1, 0), (6, 1, 1)]
+
+
+def test_hybrid_takes_one_source_a_page(spark):
+    card = ('<div class="job_seen_beacon" data-company-url="https://direct.example"><h2 class="jobTitle">'
+            '<a data-jk="k" href="/viewjob?jk=k">Card</a></h2></div>')
+    pay = '[{"title": "Item"}, 3]'
+    df = spark.createDataFrame([(1, card, pay), (2, "<p></p>", pay), (3, card, None), (4, None, None)],
+                               "page_id long, html string, payload string")
+    got = rows(boards.get_extractor("hybrid")(df, AS_OF))
+    assert sorted((r["page_id"], r["title"]) for r in got) == [(1, "Card"), (2, "Item"), (3, "Card")]
+    with pytest.raises(ValueError):
+        boards.get_extractor("nobody")
+
+
+def test_plans_parse_pages_once(spark):
+    df = spark.createDataFrame([(1, "<p></p>", "[]")], "page_id long, html string, payload string")
+    for name in ("hybrid", "embedded"):
+        plan = boards.get_extractor(name)(df, AS_OF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_vendor_registry():
+    from jobloom.sources import vendor
+    assert vendor.get_vendor("a")[0] is vendor.vendor_a_companies
+    with pytest.raises(ValueError):
+        vendor.get_vendor("c")
+
+
+@pytest.mark.parametrize("ruleset,site", [("full", "site.example"), ("labelled", "https://site.example/x"),
+                                          ("plain", "https://other.example")])
+def test_website_rule_sets(spark, ruleset, site):
+    from jobloom.operators.website import company_website
+    from jobloom.sources import html
+    page = ('<body><a href="https://other.example">Other</a><p>Website <a href="https://site.example/x">go</a></p>'
+            '<ul><li data-testid="companyInfo-companyWebsite"><a href="https://www.site.example/">Visit</a></li></ul>'
+            '</body>')
+    page = page if ruleset != "labelled" else page.replace('<a href="https://other.example">Other</a>', "")
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    got = company_website(df, html.extract_links(df), ruleset).collect()
+    assert [r["website"] for r in got] == [site]
