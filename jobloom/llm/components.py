@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.session import materialize
+from .scratch import Scratch
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -38,16 +38,18 @@ def _state(links: DataFrame) -> tuple:
                  .first())
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): every node that has a link, with the smallest node of its component.
 
     ``links`` has two long columns a and b; direction, repeats and self links don't matter.
     """
-    now = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .where("a <> b").distinct(), name)
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    now = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                       .where("a <> b").distinct(), "links")
     state = _state(now)
     while True:
-        now = materialize(_small_star(_large_star(now)), name)
+        last, now = now, scratch.keep(_small_star(_large_star(now)), "stars")
+        scratch.drop(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -10,10 +10,13 @@ slot matters, so generation stops early.
 
 Bands of the signature give candidate buckets.  Candidates are verified exactly (sizes of
 the intersection and union of the multisets), links of at least THRESHOLD are kept, and a
-document's class is its connected component.  Pairs inside a bucket aren't enumerated:
-every bucket is first compared with its smallest member; then only members outside a
-bucket's largest class so far are compared with members of other classes.  A pair left
-out is inside one class already, so the classes are those of all candidate pairs.
+document's class is its connected component.  Pairs inside a bucket aren't emitted:
+every bucket is first compared with its smallest member.  Buckets that share members form a
+family; only the members outside a family's largest class so far, its strays, are compared with
+members of other classes, in blocks: a task holds BLOCK members and lets the strays pass by, looks
+at equal signature slots first, verifies what comes near, and hands back one link for each stray and
+class.  Any pair left out is inside one class already, so the classes are those of all
+candidate pairs (a pair at the threshold has so few equal slots with a chance below 1e-6).
 
 Defined cases: equal texts are one node whatever their number; a text of one to four words is
 one shingle of all its words; a text without words (null, empty) has no shingle and is alone;
@@ -30,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.session import materialize
-
 from .components import components
+from .scratch import Scratch
 from .words import blocks, inside_text, join_hash, mix, window_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 30
 ROWS = 5                   # slots of a band: 0.8**5 a band, missed by all 30 with 7e-6
+BLOCK = 256                # members of a family that a task holds against the strays
+NEAR = 0.65                # share of equal slots below which a pair isn't verified: 4.6 sigma
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,21 +146,67 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
         run, "doc_id long, text_key binary, weight long, bands array<long>")
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """(node, units): sorted distinct hashes of (shingle, occurrence), eight bytes each."""
+def unit_table(docs: DataFrame, slots: int = BANDS * ROWS) -> DataFrame:
+    """(node, units, slots): sorted distinct hashes of (shingle, occurrence), eight bytes each, and
+    one byte of each signature slot."""
     def run(batches):
         for block, data, off in blocks(batches, "text"):
             n = len(off) - 1
-            own, x, _, _, rank = counted(*shingles(data, off))
+            own, x, first, count, rank = counted(*shingles(data, off))
+            sig = signatures(own[first], x[first], count, n, slots)
+            low = (mix(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
             u = join_hash(x, rank.astype(np.uint64))
             order = np.lexsort((u, own))
             own, u = own[order], u[order]
             at = np.searchsorted(own, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays([
                 block.column(0),
-                pa.array([u[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                names=["node", "units"])
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, units binary")
+                pa.array([u[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                pa.array([r.tobytes() for r in low], pa.binary())],
+                names=["node", "units", "slots"])
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "node long, units binary, slots binary")
+
+
+def _similarity(p: np.ndarray, q: np.ndarray) -> float:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / max(1, len(p) + len(q) - both)
+
+
+def _strays_against_members(threshold: float):
+    """Rows come ordered by block: up to BLOCK members, then the strays of their family."""
+    def run(batches):
+        at, nodes, roots, units, slots = None, [], [], [], []
+        held = None
+        for batch in batches:
+            key, part, stray, node, root, unit, slot = (c.to_pylist() for c in batch.columns)
+            links = []
+            for i in range(batch.num_rows):
+                if (key[i], part[i]) != at:
+                    at, nodes, roots, units, slots, held = (key[i], part[i]), [], [], [], [], None
+                if not stray[i]:
+                    nodes.append(node[i])
+                    roots.append(root[i])
+                    units.append(np.frombuffer(unit[i], np.uint64))
+                    slots.append(np.frombuffer(slot[i], np.uint8))
+                    continue
+                if not nodes:
+                    continue
+                if held is None:
+                    held = np.stack(slots), np.array(roots), np.array(list(map(len, units)))
+                own = np.frombuffer(unit[i], np.uint64)
+                least = np.minimum(held[2], len(own)) >= threshold * np.maximum(held[2], len(own))
+                near = (held[0] == np.frombuffer(slot[i], np.uint8)).mean(1)
+                met = set()
+                for j in np.flatnonzero(least & (near >= NEAR) & (held[1] != root[i])).tolist():
+                    if roots[j] not in met and _similarity(own, units[j]) >= threshold:
+                        met.add(roots[j])
+                        links.append((node[i], nodes[j]))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
 
 
 def overlaps(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -165,9 +215,7 @@ def overlaps(pairs: DataFrame, units: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / max(1, len(p) + len(q) - both))
+                out.append(_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.float64())],
                 names=["a", "b", "similarity"])
@@ -185,51 +233,56 @@ def _fits(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): one row a row of ``docs``; class_id is its class's smallest id."""
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
     known = docs.select("doc_id", "text")
-    sig = materialize(signature_table(known, bands, rows), "bagminhash")
+    sig = scratch.keep(signature_table(known, bands, rows), "signatures")
     nodes = sig.where("doc_id IS NOT NULL AND weight > 0").groupBy("text_key").agg(
         F.min("doc_id").alias("node"))
-    member = sig.where("doc_id IS NOT NULL").join(nodes, "text_key", "left").select(
-        "doc_id", F.coalesce("node", "doc_id").alias("node"), "weight", "bands")
-    bucket = materialize(
+    member = scratch.keep(sig.where("doc_id IS NOT NULL").join(nodes, "text_key", "left").select(
+        "doc_id", F.coalesce("node", "doc_id").alias("node"), "weight", "bands"), "members")
+    bucket = scratch.keep(
         member.where("doc_id = node AND weight > 0").select(
             "node", "weight", F.explode("bands").alias("band")).distinct(), "buckets")
     shared = bucket.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("_x")) \
         .where("lead <> _x").drop("_x")
-    crowded = materialize(bucket.join(shared, "band"), "crowded")
-    weights = crowded.groupBy("node").agg(F.max("weight").alias("weight"))
-
-    lead = weights.select(F.col("node").alias("a"), F.col("weight").alias("wa"))
-    star = (crowded.where("node <> lead").select(
+    crowded = scratch.keep(bucket.join(shared, "band").where("node <> lead").select(
         F.col("lead").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb"))
-        .distinct().join(lead, "a").where(_fits(threshold)).select("a", "b"))
-    units = materialize(unit_table(
-        known.join(weights.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])), "units")
-    links = materialize(overlaps(star, units).where(F.col("similarity") >= threshold), "links")
-    roots = materialize(components(links.select("a", "b")), "roots")
-
-    # Members outside the largest class of their bucket meet the members of other classes.
-    placed = crowded.join(roots.select("node", "root"), "node", "left").select(
-        "band", "node", "weight", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("band").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    split = placed.join(most.where("classes > 1").select(
-        "band", F.col("most.root").alias("main")), "band")
-    rest = split.where("root <> main").select(
-        "band", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
-    others = split.select(
-        "band", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"),
-        (F.col("root") == F.col("main")).alias("in_main"))
-    cross = (rest.join(others, "band")
-             .where((F.col("ra") != F.col("rb")) & _fits(threshold)
-                    & (F.col("in_main") | (F.col("a") < F.col("b"))))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = materialize(overlaps(cross, units).where(F.col("similarity") >= threshold), "links")
+        .distinct(), "crowded")
+    scratch.drop(sig, bucket)
+    families = components(crowded.select("a", "b"), scratch).withColumnRenamed("root", "family")
+    units = scratch.keep(unit_table(
+        known.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"]), bands * rows), "units")
+    lead = member.where("doc_id = node").groupBy("node").agg(F.max("weight").alias("wa")) \
+        .withColumnRenamed("node", "a")
+    star = crowded.join(lead, "a").where(_fits(threshold)).select("a", "b")
+    links = scratch.keep(overlaps(star, units).where(F.col("similarity") >= threshold)
+                         .select("a", "b"), "links")
+    roots = components(links, scratch)
+
+    # The strays of each family meet the members of its other classes, in blocks.
+    placed = scratch.keep(families.join(roots, "node", "left").select(
+        "family", "node", F.coalesce("root", "node").alias("root")), "placed")
+    sizes = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("classes")).where("classes > 1 AND n > 2").select(
+        "family", F.col("most.root").alias("main"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    split = placed.join(main, "family").join(units, "node")
+    held = split.select(
+        "family", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"),
+        F.lit(False).alias("stray"), "node", "root", "units", "slots")
+    strays = split.where("root <> main").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
+        F.lit(True).alias("stray"), "node", "root", "units", "slots")
+    more = scratch.keep(
+        held.unionByName(strays).repartition("family", "part")
+        .sortWithinPartitions("family", "part", "stray")
+        .mapInArrow(_strays_against_members(threshold), "a long, b long"), "more")
     if not more.isEmpty():
-        roots = materialize(components(links.unionByName(more).select("a", "b")), "roots")
+        roots = components(links.unionByName(more), scratch)
+    scratch.drop(units, crowded, placed)
     classes = roots.select("node", F.col("root").alias("_root"))
     found = member.select("doc_id", "node").join(classes, "node", "left").select(
         "doc_id", F.coalesce("_root", "node").alias("class_id"))
