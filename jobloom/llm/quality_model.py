@@ -39,37 +39,54 @@ QUANTILE = 0.995
 _U = np.uint64
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The key of the ORDER bytes that end at each byte; zeros stand before a text."""
-    key = data.astype(np.uint64)
-    out = key.copy()
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for j in range(1, ORDER):
-        before = np.zeros_like(key)
-        before[j:] = key[:-j]
-        before[place < j] = 0
-        out |= before << _U(8 * j)
-    return out
+def ngrams(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20):
+    """Pieces (first byte, keys, texts): the key of the ORDER bytes that end at each byte and the
+    text it is in; zeros stand before a text."""
+    for at in range(0, len(data), piece):
+        to, low = min(at + piece, len(data)), max(at - ORDER + 1, 0)
+        where = np.arange(low, to)
+        text = np.searchsorted(offsets, where, side="right") - 1
+        place = (where - offsets[text])[at - low:]
+        raw = data[low:to].astype(np.uint64)
+        out = raw[at - low:].copy()
+        for j in range(1, ORDER):
+            before = np.zeros(to - at, np.uint64)
+            some = place >= j
+            before[some] = raw[np.flatnonzero(some) + (at - low) - j]
+            out |= before << _U(8 * j)
+        yield at, out, text[at - low:]
 
 
 def shard_of(key: np.ndarray, shards: int = SHARDS) -> np.ndarray:
     return (mix(((key >> _U(8)) & _U(0xFFFF)) + _U(1)) % _U(shards)).astype(np.int64)
 
 
-def distinct(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20):
+def distinct(data: np.ndarray, offsets: np.ndarray):
     """Distinct keys of a block of texts, ordered by shard and key, with their numbers."""
-    key = ngrams(data, offsets)
-    some, n = [], []
-    for at in range(0, len(key), piece):
-        k, c = np.unique(key[at:at + piece], return_counts=True)
+    some, n = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for _, key, _ in ngrams(data, offsets):
+        k, c = np.unique(key, return_counts=True)
         some.append(k)
         n.append(c)
-    key, n = _summed(np.concatenate(some) if some else key,
-                     np.concatenate(n) if n else np.zeros(0, np.int64))
+    key, n = _summed(np.concatenate(some), np.concatenate(n))
     order = np.lexsort((key, shard_of(key)))
     return key[order], n[order]
 
 
+def _packed(key: np.ndarray) -> bytes:
+    """Rising keys as byte planes of their gaps: the high planes are zeros that the shuffle's
+    compression removes."""
+    gaps = np.diff(key, prepend=_U(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :ORDER].T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // ORDER
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :ORDER] = np.frombuffer(raw, np.uint8).reshape(ORDER, n).T
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def _summed(key: np.ndarray, n: np.ndarray):
     some, at = np.unique(key, return_inverse=True)
     return some, np.bincount(at, n, len(some)).astype(np.int64)
@@ -210,7 +227,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        pack, part, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        pack, part, k = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId(), 0
         for rows, data, off in blocks(batches, "text", BLOCK):
             sink = pa.BufferOutputStream()
             out = pa.RecordBatch.from_arrays(
@@ -255,7 +272,7 @@ def _requests(stored: DataFrame) -> DataFrame:
                 for shard, part in _by_shard(key):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard], pa.int32()), pa.array([block], pa.int64()),
-                         pa.array([key[part].tobytes()], pa.binary())],
+                         pa.array([_packed(key[part])], pa.binary())],
                         names=["shard", "block", "keys"])
     return stored.mapInArrow(run, "shard int, block long, keys binary")
 
@@ -288,16 +305,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
         for batch in batches:
             s, copy, block, keys, n = (c.to_pylist() for c in batch.columns)
             for i in range(batch.num_rows):
-                key = np.frombuffer(keys[i], _U)
+                mine = block[i] < 0
                 if (s[i], copy[i]) != at:
                     at = s[i], copy[i]
-                    mine = block[i] < 0
-                    shard = Shard(low, key if mine else key[:0],
-                                  np.frombuffer(n[i], np.int64) if mine else np.zeros(0, np.int64))
-                if block[i] >= 0:
+                    shard = Shard(low, *(np.frombuffer(keys[i], _U), np.frombuffer(n[i], np.int64))
+                                  if mine else (np.zeros(0, _U), np.zeros(0, np.int64)))
+                if not mine:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block[i]], pa.int64()), pa.array([s[i]], pa.int32()),
-                         pa.array([shard(key).tobytes()], pa.binary())],
+                         pa.array([shard(_unpacked(keys[i])).tobytes()], pa.binary())],
                         names=["block", "shard", "rows"])
     answers = (ask.unionByName(know).repartition(SHARDS * copies, "shard", "copy")
                .sortWithinPartitions("shard", "copy", "block")
@@ -316,16 +332,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
             sums = np.zeros(len(off) - 1)
             order = np.argsort(key)
             sorted_key, sorted_log = key[order], logs[order]
-            edge = np.searchsorted(off, np.arange(0, off[-1] + (1 << 20), 1 << 20), "left")
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                b = min(b, len(off) - 1)
-                if b <= a:
-                    continue
-                part = off[a:b + 1]
-                k = ngrams(data[part[0]:part[-1]], part - part[0])
+            for _, k, text in ngrams(data, off):
                 logp = sorted_log[np.searchsorted(sorted_key, k)].astype(float)
-                total = np.concatenate([[0.0], np.cumsum(logp)])
-                sums[a:b] = np.diff(total[part - part[0]])
+                sums += np.bincount(text, logp, len(sums))
             out = [r.column(i) for i in range(len(columns))]
             return pa.RecordBatch.from_arrays(
                 [*out, pa.array(np.diff(off)), pa.array(sums)],
