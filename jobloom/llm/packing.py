@@ -5,10 +5,12 @@ ones are cut into groups of equal cardinality and their lengths rounded up to th
 largest, which leaves few sizes; the best configurations of these sizes come from the
 cutting-stock linear programme, solved by column generation on the driver.  Actual documents
 then take the places of rounded ones, and the rest (small ones and the fractions of
-configurations) go best-fit, longest first, into what is free.
+configurations) go best-fit, longest first, into what is free.  How full a configuration must be
+to be used depends on the lengths, so the whole plan is made for each limit of ``FILLS``, from
+all configurations to none (plain best fit), and the one with the fewest sequences is taken.
 
 The driver never sees a document: it works on the histogram of lengths (one count for each of
-``capacity`` lengths) and later on the histogram of free space.  Its answer is a list of ranges,
+``capacity`` lengths), from which the free space of each plan follows.  Its answer is a list of ranges,
 "places q to q+n of the rest go to bins i to i+n with r tokens free", whose length is bounded by
 the square of the number of lengths whatever the number of documents.  Documents know their place from a rank
 within their length, numbered by the task that wrote them and shifted by the counts of earlier
@@ -37,7 +39,8 @@ CAPACITY = 2048
 END = 0                          # id after each document
 GROUPS = 192                     # of equal cardinality among the large pieces
 LARGE = 4                        # large: longer than CAPACITY / LARGE
-FILL = 1.0                       # a configuration is used if its rounded sizes fill so much
+# A configuration is used if its rounded sizes fill so much; the limit with fewest sequences wins.
+FILLS = (1.0, 0.999, 0.995, 0.99, 0.98, 0.95, 0.9, 0.0, float("inf"))
 MEMO = 300_000                   # word encodings that a worker remembers
 # Fixed value: the pre-tokenizer pattern of the byte-level BPE vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -188,10 +191,10 @@ class _Prices:
         return float(worth[self.capacity]), config
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int,
-                   rounds: int = 600, fill: float = FILL) -> list[tuple[np.ndarray, int]]:
-    """Configurations and whole numbers of uses for the rounded sizes; what the fractions of the
-    linear programme leave over stays unplaced, and so do configurations that waste room."""
+def programme(sizes: np.ndarray, counts: np.ndarray, capacity: int,
+              rounds: int = 600) -> list[tuple[np.ndarray, int]]:
+    """Configurations of the cutting-stock linear programme with their uses rounded down, the
+    most used ones first."""
     k = len(sizes)
     if not k:
         return []
@@ -206,19 +209,31 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int,
         ratio = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = config
     uses = np.floor(np.linalg.solve(basis, counts.astype(float)) + 1e-6).astype(np.int64)
+    return [(np.rint(basis[:, j]).astype(np.int64), int(uses[j])) for j in np.argsort(-uses)]
+
+
+def filled(found: list[tuple[np.ndarray, int]], sizes: np.ndarray, counts: np.ndarray,
+           capacity: int, fill: float) -> list[tuple[np.ndarray, int]]:
+    """The configurations that fill so much of a sequence, used as often as the pieces allow."""
     out, left = [], counts.astype(np.int64).copy()
-    for j in np.argsort(-uses):
-        config = np.rint(basis[:, j]).astype(np.int64)
+    for config, uses in found:
         if (config * sizes).sum() < fill * capacity:
-            continue                     # its documents fit better one by one
+            continue                     # its documents go one by one
         some = config > 0
-        n = int(min(uses[j], (left[some] // config[some]).min()))
+        n = int(min(uses, (left[some] // config[some]).min()))
         if n > 0:
             out.append((config, n))
             left -= n * config
     return out
 
 
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600,
+                   fill: float = FILLS[0]) -> list[tuple[np.ndarray, int]]:
+    """Configurations and whole numbers of uses for the rounded sizes; what the fractions of the
+    linear programme leave over stays unplaced, and so do configurations below ``fill``."""
+    return filled(programme(sizes, counts, capacity, rounds), sizes, counts, capacity, fill)
+
+
 @dataclass
 class Large:
     """Places of the large pieces, in the order of falling length.
@@ -231,36 +246,103 @@ class Large:
     bins: int
 
 
-def plan_large(counts: np.ndarray, capacity: int, groups: int = GROUPS, large: int = LARGE) -> Large:
-    """Groups, rounds and configures the large pieces of a histogram of lengths."""
+def large_classes(counts: np.ndarray, capacity: int, groups: int, large: int):
+    """(edges, sizes): the large pieces of a histogram of lengths, grouped and rounded up; no
+    length is rounded if there are no more of them than groups."""
     lengths = np.arange(capacity, 0, -1)
     n_of = counts[lengths]
     ends = np.cumsum(n_of)
-    total = int(ends[-1])
-    n_large = int(n_of[lengths > capacity // large].sum())
+    some = (lengths > capacity // large) & (n_of > 0)
+    n_large = int(n_of[some].sum())
+    if some.sum() <= groups:
+        return np.append(ends[some] - n_of[some], n_large), lengths[some]
     width = max(1, -(-n_large // groups))
     firsts = np.arange(0, n_large, width)
     rounded = lengths[np.searchsorted(ends, firsts, side="right")] if len(firsts) else firsts
     keep = np.ones(len(firsts), bool)
     keep[1:] = rounded[1:] != rounded[:-1]
-    edges = np.append(firsts[keep], n_large)
-    sizes = rounded[keep]
+    return np.append(firsts[keep], n_large), rounded[keep]
+
+
+def lay(edges: np.ndarray, configs: list[tuple[np.ndarray, int]], total: int) -> Large:
+    """Deals the places of each class out to the configurations."""
     n_class = np.diff(edges)
-    runs: list[list] = [[] for _ in sizes]
-    taken = np.zeros(len(sizes), np.int64)
+    runs: list[list] = [[] for _ in n_class]
+    taken = np.zeros(len(n_class), np.int64)
     bins = 0
-    for config, uses in configurations(sizes, n_class, capacity):
+    for config, uses in configs:
         for i in np.flatnonzero(config):
             runs[i].append((int(taken[i]), int(uses * config[i]), int(config[i]), bins))
             taken[i] += uses * config[i]
         bins += uses
-    rest = [(int(edges[i] + taken[i]), int(edges[i + 1])) for i in range(len(sizes))
+    rest = [(int(edges[i] + taken[i]), int(edges[i + 1])) for i in range(len(n_class))
             if taken[i] < n_class[i]]
-    if n_large < total:
-        rest.append((n_large, total))
+    if edges[-1] < total:
+        rest.append((int(edges[-1]), total))
     return Large(edges, runs, rest, bins)
 
 
+def free_space(p: Large, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """How many bins of the configurations have each number of tokens free.
+
+    Between places where the length changes all bins of a configuration hold the same lengths,
+    so a bin of each such stretch stands for all of it."""
+    lengths = np.arange(capacity, 0, -1)
+    ends = np.append(0, np.cumsum(counts[lengths]))
+    tokens = np.append(0, np.cumsum(counts[lengths] * lengths))
+
+    def before(place):                   # tokens of all pieces ahead of a place
+        i = np.minimum(np.searchsorted(ends, place, side="right") - 1, capacity - 1)
+        return tokens[i] + (place - ends[i]) * lengths[i]
+
+    items: dict[int, list] = {}
+    for i, runs in enumerate(p.runs):
+        for first, n, per, base in runs:
+            items.setdefault(base, []).append((int(p.edges[i]) + first, n // per, per))
+    out = np.zeros(capacity + 1, np.int64)
+    for parts in items.values():
+        uses = parts[0][1]
+        cuts = [np.array([0, uses])]
+        for start, _, per in parts:
+            at = (ends[(ends > start) & (ends < start + uses * per)] - start) // per
+            cuts += [at, at + 1]
+        cuts = np.unique(np.concatenate(cuts))
+        cuts = cuts[cuts <= uses]
+        o = cuts[:-1]
+        load = sum(before(start + (o + 1) * per) - before(start + o * per)
+                   for start, _, per in parts)
+        np.add.at(out, capacity - load, np.diff(cuts))
+    return out
+
+
+@dataclass
+class Plan:
+    """Places of the large pieces, best-fit ranges of the rest, and how many sequences result."""
+    large: Large
+    ranges: list[tuple[int, int, int, int]]
+    sequences: int
+
+
+def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, large: int = LARGE,
+         fills: tuple[float, ...] = FILLS) -> Plan:
+    """The plan with the fewest sequences over the fill limits; the first of equal ones."""
+    edges, sizes = large_classes(counts, capacity, groups, large)
+    n_class, total = np.diff(edges), int(counts[1:].sum())
+    found = programme(sizes, n_class, capacity)
+    lengths = np.arange(capacity, 0, -1)
+    ends = np.cumsum(counts[lengths])
+    starts = ends - counts[lengths]
+    best = None
+    for fill in fills:
+        p = lay(edges, filled(found, sizes, n_class, capacity, fill), total)
+        left = sum((np.maximum(0, np.minimum(ends, b) - np.maximum(starts, a)) for a, b in p.rest),
+                   np.zeros(capacity, np.int64))
+        ranges, new = best_fit(lengths, left, free_space(p, counts, capacity), capacity)
+        if best is None or p.bins + new < best.sequences:
+            best = Plan(p, ranges, p.bins + new)
+    return best
+
+
 def place_large(p: Large, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bin or -1, place among the rest or -1) of pieces by their place."""
     bins = np.full(len(place), -1, np.int64)
@@ -329,13 +411,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         return cut.select("doc_id", "piece", "start", "length", "ids_crc32",
                           F.lit(0).cast("long").alias("sequence_id"),
                           F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
-    plan = plan_large(counts, capacity, groups)
+    chosen = plan(counts, capacity, groups)
+    ranges, placed = chosen.ranges, chosen.large
     longer = np.concatenate([np.cumsum(counts[::-1])[::-1][1:], [0]])   # pieces longer than each
 
     @F.pandas_udf("bin long, q long")
     def find(length, rank):
         import pandas as pd
-        bins, q = place_large(plan, longer[length.to_numpy()] + rank.to_numpy())
+        bins, q = place_large(placed, longer[length.to_numpy()] + rank.to_numpy())
         return pd.DataFrame({"bin": bins, "q": q})
 
     ranked = scratch.keep(_global_rank(cut, "length").withColumn("_f", find("length", "rank"))
@@ -360,14 +443,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     used = ranked.where("bin >= 0").groupBy("bin").agg(
         (F.lit(capacity) - F.sum("length")).cast("long").alias("room"))
     rooms = scratch.keep(used.mapInArrow(number, "bin long, room long, part int, rank long"), "rooms")
-    free = _histogram(rooms, "room", capacity)
-
-    lengths = np.arange(capacity, 0, -1)
-    ends = np.cumsum(counts[lengths])
-    starts = ends - counts[lengths]
-    left = sum((np.maximum(0, np.minimum(ends, b) - np.maximum(starts, a)) for a, b in plan.rest),
-               np.zeros(capacity, np.int64))
-    ranges, _ = best_fit(lengths, left, free, capacity)
     at = np.array([x[0] for x in ranges], np.int64)
     name = np.array([x[2] for x in ranges], np.int64)
     first = np.array([x[3] for x in ranges], np.int64)
@@ -383,7 +458,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     rest = ranked.where("bin < 0").withColumn("_f", fit("q")).withColumns(
         {"room": F.col("_f.room"), "rank": F.col("_f.rank")}).drop("_f", "bin", "q")
-    opened = rest.where("room < 0").withColumn("sequence_id", F.lit(plan.bins) + F.col("rank"))
+    opened = rest.where("room < 0").withColumn("sequence_id", F.lit(placed.bins) + F.col("rank"))
     named = _global_rank(rooms, "room").select("room", "rank", F.col("bin").alias("sequence_id"))
     filled = rest.where("room >= 0").join(named, ["room", "rank"])
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",

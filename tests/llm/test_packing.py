@@ -116,3 +116,37 @@ def test_equal_lengths_and_empty(spark, tokenizer):
     n, total = check(packed, data, tokenizer, 16)
     assert len(ids_of(tokenizer, "same text here")) == 4 and n == 500 // 4 + 1
     assert P.pack(empty(spark)).count() == 0
+
+
+def test_configurations_that_waste_a_token_are_used(spark, tokenizer):
+    data = [(i, " ".join(["a"] * (25 if i % 3 == 0 else 18)), "en", "a", 1) for i in range(180)]
+    packed = P.pack(frame(spark, data), capacity=65).collect()      # 26 + 19 + 19 = 64
+    n, _ = check(packed, data, tokenizer, 65)
+    assert {r.length for r in packed} == {26, 19} and n == 60       # best fit: 30 + 40
+
+
+def test_plan_has_the_fewest_sequences_of_all_limits():
+    hot = np.zeros(2049, np.int64)
+    hot[819], hot[614] = 6000, 12000
+    assert P.plan(hot, 2048).sequences == 6000                      # best fit: 7000
+    rng = np.random.default_rng(9)
+    for cap, top in ((2048, 2048), (100, 100), (100, 40), (97, 60)):
+        lengths = np.arange(cap, 0, -1)
+        for mult in (1, 3):
+            counts = np.bincount(rng.integers(1, top // mult, 3000) * mult, minlength=cap + 1)
+            got = P.plan(counts, cap)
+            plain = P.best_fit(lengths, counts[lengths], np.zeros(cap + 1, np.int64), cap)[1]
+            only = [P.plan(counts, cap, fills=(f,)).sequences for f in P.FILLS]
+            assert got.sequences == min(only) <= plain
+
+
+def test_free_space_is_that_of_the_placed_pieces():
+    rng = np.random.default_rng(4)
+    for cap, groups in ((100, 6), (100, 40), (64, 12)):
+        counts = np.bincount(rng.integers(1, cap + 1, 2000), minlength=cap + 1)
+        for fill in (0.0, 0.9, 1.0):
+            p = P.plan(counts, cap, groups, fills=(fill,)).large
+            length = np.repeat(np.arange(cap, 0, -1), counts[np.arange(cap, 0, -1)])
+            bins, _ = P.place_large(p, np.arange(len(length)))
+            load = np.bincount(bins[bins >= 0], length[bins >= 0], p.bins).astype(int)
+            assert (P.free_space(p, counts, cap) == np.bincount(cap - load, minlength=cap + 1)).all()
