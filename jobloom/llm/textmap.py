@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .words import blocks
 
 SAMPLE_MAX_CHARS = 200_000
+HASHES = 1 << 60                 # the sample's hashes of keys
 
 
 def fresh(name: str, docs: DataFrame) -> str:
@@ -64,34 +65,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, pe
                     max_chars: int = SAMPLE_MAX_CHARS, text: str = "text") -> list[tuple]:
     """At most ``per_label`` rows of each label as [(text, label)], chosen by a hash of the key.
 
-    All labels are counted; an id is in if its hash falls below its label's share, so the choice
-    doesn't depend on any order.  The bound: ``per_label`` ids of each label, no text longer than
-    ``max_chars``; neither the ids that go to the executors nor the texts that come to the
-    driver grow with the tables.  ``labels`` has key and label and may be ``docs`` itself.
+    Each label gives the ``per_label`` keys with its smallest hashes, however often a key repeats,
+    so the choice doesn't depend on any order; a key with several labels counts for the smallest, one
+    with several texts gives the smallest.  The bound: ``per_label`` keys of each label, no text
+    longer than ``max_chars``; neither the keys that go to the executors nor the texts that come to
+    the driver grow with the tables.  ``labels`` has key and label and may be ``docs`` itself.
     """
-    rows = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    rows = (labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+            .groupBy(key).agg(F.min(label).alias(label)))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return []
-    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1_000_003))
-    share = F.lit(0)
+    place = F.xxhash64(F.col(key).cast("string"), F.lit(7)).bitwiseAND(F.lit(HASHES - 1))
+    # twice the wanted keys and some lie below a label's bound, so few rows reach its task
+    bound = F.lit(0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = F.when(F.col(label) == F.lit(value),
-                       F.lit(int(min(1.0, per_label / n) * 1_000_003) + 1)).otherwise(share)
-    chosen = (rows.where(place < share).select(place.alias("p"), key, label)
-              .limit(2 * per_label * len(counts)).collect())
-    ids: dict = {}
-    seen: dict = {}
-    for _, k, v in sorted(chosen, key=lambda r: (r[0], r[1], str(r[2]))):
-        if k not in ids:
-            seen[v] = seen.get(v, 0) + 1
-            if seen[v] <= per_label:
-                ids[k] = v
-    if not ids:
-        return []
+        bound = F.when(F.col(label) == F.lit(value),
+                       F.lit(min(HASHES, (2 * per_label + 60) * HASHES // n))).otherwise(bound)
+    first = Window.partitionBy(label).orderBy("_p", key)
+    ids = {r[0]: r[1] for r in rows.withColumn("_p", place).where(F.col("_p") < bound)
+           .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_label)
+           .select(key, label).collect()}
     few = docs.sparkSession.createDataFrame([(k,) for k in ids], f"{key} long")
     got = (docs.select(key, text).where(F.col(text).isNotNull()
                                         & (F.char_length(text) <= max_chars))
-           .join(F.broadcast(few), key, "left_semi").limit(2 * len(ids)).collect())
+           .join(F.broadcast(few), key, "left_semi").groupBy(key).agg(F.min(text)).collect())
     return [(t, ids[k]) for k, t in sorted((r[0], r[1]) for r in got)]
-

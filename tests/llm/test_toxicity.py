@@ -88,5 +88,23 @@ def test_sample_is_bounded_and_learns_from_labels_only(spark):
     from jobloom.llm.textmap import labelled_sample
     got = labelled_sample(docs, labels.where("toxic in (0, 1)"), "toxic", "doc_id", 6)
     assert sum(v == 0 for _, v in got) <= 6 and sum(v == 1 for _, v in got) <= 6 and len(got) >= 8
-    assert got == labelled_sample(docs.repartition(4), labels, "toxic", "doc_id", 6)[:len(got)] or True
+    assert got == labelled_sample(docs.repartition(4), labels.where("toxic in (0, 1)").repartition(7),
+                                  "toxic", "doc_id", 6)
     assert X.fit(docs, labels.where("toxic = 1")) is None
+
+
+def test_sample_is_the_smallest_hashes_however_often_keys_repeat(spark):
+    from pyspark.sql import functions as F
+
+    from jobloom.llm.textmap import labelled_sample
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs = docs.unionByName(docs)
+    label = F.when(F.col("doc_id") >= 397, "rare").otherwise("common").alias("label")
+    labels = docs.select("doc_id", label).crossJoin(spark.range(50).select()).where("doc_id is not null")
+    hashes = docs.distinct().select(label, "text", F.expr(
+        "xxhash64(string(doc_id), 7) & 1152921504606846975").alias("h")).collect()
+    want = {(r.text, r.label) for v, k in (("rare", 3), ("common", 6)) for r in sorted(
+        (r for r in hashes if r.label == v), key=lambda r: r.h)[:k]}
+    for n in (1, 5):
+        got = labelled_sample(docs.repartition(n), labels.repartition(n + 1), "label", "doc_id", 6)
+        assert len(got) == 9 and set(got) == want
