@@ -84,6 +84,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -95,4 +100,5 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op13_simhash_near_duplicates": op13_simhash_near_duplicates,
 }
