@@ -84,6 +84,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import run_digests
+    return run_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -100,5 +105,6 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_simhash_near_duplicates": op13_simhash_near_duplicates,
 }
