@@ -56,4 +56,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m"""
 
 
-ORACLE = {"op5_quality_rules": _op5()}
+# Rows that agree in id, label and vector are one row; all vectors are of one length.
+_OP12 = """
+WITH e AS (SELECT DISTINCT vec_id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+                  embedding, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+             list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0
+       AND NOT (a.vec_id = b.vec_id AND a.label = b.label AND a.embedding = b.embedding)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+ORACLE = {"op5_quality_rules": _op5(), "op12_hard_negatives": _OP12}

@@ -89,6 +89,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives, quantised
+    rows = quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), "vec_id % 100 = 0")
+
+
 def op13_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -106,5 +113,6 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_simhash_near_duplicates": op13_simhash_near_duplicates,
 }
