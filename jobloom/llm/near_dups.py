@@ -11,16 +11,18 @@ slot matters, so generation stops early.
 Bands of the signature give candidate buckets.  Candidates are verified exactly (sizes of
 the intersection and union of the multisets), links of at least THRESHOLD are kept, and a
 document's class is its connected component.  Pairs inside a bucket aren't emitted:
-every bucket is first compared with its smallest member.  Buckets that share members form a
+every bucket is first compared with its smallest member (in SALT parts, so that a bucket with a
+third of all texts is dealt to many tasks).  Buckets that share members form a
 family; only the members outside a family's largest class so far, its strays, are compared with
 members of other classes, in blocks: a task holds BLOCK members and lets the strays pass by, looks
 at equal signature slots first, verifies what comes near, and hands back one link for each stray and
 class.  Any pair left out is inside one class already, so the classes are those of all
 candidate pairs (a pair at the threshold has so few equal slots with a chance below 1e-6).
 
-Defined cases: equal texts are one node whatever their number; a text of one to four words is
-one shingle of all its words; a text without words (null, empty) has no shingle and is alone;
-rows with the same id are one document; a null id gives a null class; extra columns are the
+Defined cases: equal texts are one node whatever their number and ids; a text of one to four words
+is one shingle of all its words; a text without words (null, empty) has no shingle and is alone;
+different texts under one id are judged apart (a class is named by its smallest id); a row without
+an id takes part and never names a class (null where no member has an id); extra columns are the
 caller's to join; an empty table gives an empty table.
 """
 
@@ -30,17 +32,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
+from .textmap import fresh
 from .words import blocks, inside_text, join_hash, mix, window_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 30
 ROWS = 5                   # slots of a band: 0.8**5 a band, missed by all 30 with 7e-6
+SALT = 64                  # parts of a bucket
 BLOCK = 256                # members of a family that a task holds against the strays
 NEAR = 0.65                # share of equal slots below which a pair isn't verified: 4.6 sigma
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -230,45 +234,76 @@ def _fits(threshold: float):
     return F.least("wa", "wb") >= F.lit(threshold) * F.greatest("wa", "wb")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id): one row a row of ``docs``; class_id is its class's smallest id."""
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(a, wa, b, wb): each member of a bucket with its smallest member, in two steps.
+
+    A bucket is dealt in SALT parts; members meet the smallest of their part, and the smallest ones
+    of the parts meet the smallest of all, so a band that very many texts share is no heavy key.
+    """
+    member = nodes.where("weight > 0").select(
+        F.struct("node", "weight").alias("m"), F.explode("bands").alias("band"),
+        F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int").alias("salt"))
+    part = member.withColumn("lead", F.min("m").over(Window.partitionBy("band", "salt")))
+    top = part.where("m = lead").select("band", "m").withColumn(
+        "lead", F.min("m").over(Window.partitionBy("band")))
+    both = part.where("m <> lead").select("lead", "m").union(
+        top.where("m <> lead").select("lead", "m"))
+    return both.select(F.col("lead.node").alias("a"), F.col("lead.weight").alias("wa"),
+                       F.col("m.node").alias("b"), F.col("m.weight").alias("wb")).distinct()
+
+
+def _classes(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, rows: int):
+    """The signature row of each row of ``docs``; (text_key, doc_id, class_id, first_key) of each
+    distinct text with words: its smallest id, the smallest id of its class and the key of the
+    text that stands for the class."""
     known = docs.select("doc_id", "text")
     sig = scratch.keep(signature_table(known, bands, rows), "signatures")
-    nodes = sig.where("doc_id IS NOT NULL AND weight > 0").groupBy("text_key").agg(
-        F.min("doc_id").alias("node"))
-    member = scratch.keep(sig.where("doc_id IS NOT NULL").join(nodes, "text_key", "left").select(
-        "doc_id", F.coalesce("node", "doc_id").alias("node"), "weight", "bands"), "members")
-    bucket = scratch.keep(
-        member.where("doc_id = node AND weight > 0").select(
-            "node", "weight", F.explode("bands").alias("band")).distinct(), "buckets")
-    shared = bucket.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("_x")) \
-        .where("lead <> _x").drop("_x")
-    crowded = scratch.keep(bucket.join(shared, "band").where("node <> lead").select(
-        F.col("lead").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb"))
-        .distinct(), "crowded")
-    scratch.drop(sig, bucket)
+    nodes = scratch.keep(sig.where("weight > 0").groupBy("text_key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"),
+        F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
+        "nodes")
+    sig = sig.select("doc_id", "text_key", "weight")
+    crowded = scratch.keep(_buckets(nodes), "crowded")
     families = components(crowded.select("a", "b"), scratch).withColumnRenamed("root", "family")
-    units = scratch.keep(unit_table(
-        known.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]), bands * rows), "units")
-    lead = member.where("doc_id = node").groupBy("node").agg(F.max("weight").alias("wa")) \
-        .withColumnRenamed("node", "a")
-    star = crowded.join(lead, "a").where(_fits(threshold)).select("a", "b")
+    wanted = nodes.join(families, "node", "left_semi").select("text_key", "doc_id", "node")
+    texts = known.select(F.col("doc_id").alias("id"), "text", F.unhex(
+        F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"))
+    chosen = texts.join(wanted, (F.col("key") == F.col("text_key"))
+                        & F.col("id").eqNullSafe(F.col("doc_id")))
+    # repeated rows of one id and text give equal units
+    units = scratch.keep(unit_table(chosen.dropDuplicates(["key", "id"]).select(
+        F.col("node").alias("doc_id"), "text"), bands * rows), "units")
+    star = crowded.where(_fits(threshold)).select("a", "b")
     links = scratch.keep(overlaps(star, units).where(F.col("similarity") >= threshold)
                          .select("a", "b"), "links")
     roots = components(links, scratch)
-
-    # The strays of each family meet the members of its other classes, in blocks.
+    more = _stray_links(families, roots, units, scratch, threshold)
+    if more is not None:
+        roots = components(links.unionByName(more), scratch)
+    scratch.drop(units, crowded)
+    placed = nodes.select("text_key", "doc_id", "node").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    # ids first: a text that has one stands before those that have none
+    first = placed.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("first"))
+    return sig, scratch.keep(placed.join(first, "root").select(
+        "text_key", "doc_id", F.col("first.doc_id").alias("class_id"),
+        F.col("first.text_key").alias("first_key")), "classes")
+
+
+def _stray_links(families: DataFrame, roots: DataFrame, units: DataFrame, scratch: Scratch,
+                 threshold: float) -> DataFrame | None:
+    """Links of the strays of each family with the members of its other classes, in blocks."""
     placed = scratch.keep(families.join(roots, "node", "left").select(
         "family", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("family").agg(
+    main = scratch.keep(sizes.groupBy("family").agg(
         F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("classes")).where("classes > 1 AND n > 2").select(
         "family", F.col("most.root").alias("main"),
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    if main.isEmpty():
+        return None
     split = placed.join(main, "family").join(units, "node")
     held = split.select(
         "family", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"),
@@ -280,11 +315,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         held.unionByName(strays).repartition("family", "part")
         .sortWithinPartitions("family", "part", "stray")
         .mapInArrow(_strays_against_members(threshold), "a long, b long"), "more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), scratch)
-    scratch.drop(units, crowded, placed)
-    classes = roots.select("node", F.col("root").alias("_root"))
-    found = member.select("doc_id", "node").join(classes, "node", "left").select(
-        "doc_id", F.coalesce("_root", "node").alias("class_id"))
-    return found.unionByName(docs.where("doc_id IS NULL").select(
-        "doc_id", F.lit(None).cast("long").alias("class_id")))
+    scratch.drop(placed, main)
+    return None if more.isEmpty() else more
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
+                    rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id): one row a row of ``docs``; class_id is its class's smallest id."""
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    sig, classes = _classes(docs, scratch, threshold, bands, rows)
+    found = sig.where("weight > 0").join(classes.select("text_key", "class_id"), "text_key")
+    return found.select("doc_id", "class_id").union(
+        sig.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
+                rows: int = ROWS) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the smallest id stays (of equal
+    ids the one with the smallest digest of the text, of repeated rows one).  Rows without words
+    stay."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    _, classes = _classes(docs, scratch, threshold, bands, rows)
+    key, first, own = fresh("_key", docs), fresh("_first", docs), fresh("_own", docs)
+    stay = classes.where("text_key = first_key").select(
+        F.col("text_key").alias(first), F.col("class_id").alias(own))
+    keyed = docs.withColumn(key, F.when(
+        F.col("text").rlike(r"[^\x20\x09-\x0D]"),
+        F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))))
+    worded = keyed.where(F.col(key).isNotNull()).join(
+        stay, (F.col(key) == F.col(first)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    return worded.dropDuplicates([key, "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]).union(
+        keyed.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -16,23 +16,26 @@ def multiset(text):
 
 
 def brute(data, threshold=0.8):
-    """Smallest id of the component of every id, all pairs compared."""
-    data = [r for r in data if r[0] is not None]
-    root = {r[0]: r[0] for r in data}
+    """Smallest id of the component of every row, all pairs of rows compared."""
+    root = list(range(len(data)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
-    sets = [(r[0], multiset(r[1])) for r in data]
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
+    sets = [multiset(r[1]) for r in data]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
             both = sum((x & y).values())
             union = sum(x.values()) + sum(y.values()) - both
             if union and both >= threshold * union:
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
-    return {i: find(i) for i in root}
+    least = {}
+    for i, r in enumerate(data):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(r[0], least.get(find(i))) for i, r in enumerate(data)]
 
 
 def near(rng, text, share):
@@ -63,9 +66,7 @@ def test_classes_against_brute_force(spark):
     data += [(300 + i, base if i % 2 else base + " tail", "en", "a", i) for i in range(20)]
     df = frame(spark, data, clashes=True)
     got = N.near_duplicates(df).collect()
-    want = brute(data)
-    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(
-        (r[0], want.get(r[0])) for r in data)
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(brute(data))
 
 
 def test_members_outside_the_first_star_are_compared(spark):
@@ -80,7 +81,25 @@ def test_members_outside_the_first_star_are_compared(spark):
             w[j] = f"x{i}_{j}"
         last = " ".join(w)
     got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, data)).collect()}
-    assert got == brute(data) and set(got.values()) == {1}
+    assert got == dict(brute(data)) and set(got.values()) == {1}
+
+
+def test_texts_under_one_id_and_texts_without_id(spark):
+    """Only copies go: unlike texts under one id stay, and so do unlike texts without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, a, "en", "s", 3), (3, b + " more", "en", "s", 4),
+            (None, c, "en", "s", 5), (None, c, "en", "s", 6), (None, a, "en", "s", 7), (4, None, None, None, 8),
+            (4, "", None, None, 9), (1, a, "en", "s", 1)]
+    data += [(None, f"text number {i} of many " * 5, "en", "s", 10 + i) for i in range(300)]
+    df = frame(spark, data, clashes=True)
+    got = N.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(brute(data))
+    kept = N.one_of_each(df)
+    assert kept.columns == df.columns
+    stay = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert stay[1, a] == stay[1, b] == stay[None, c] == stay[4, None] == stay[4, ""] == 1
+    assert sum(stay.values()) == 305 and not {(2, a), (3, b + " more"), (None, a)} & set(stay)
+    assert stay == Counter((r.doc_id, r.text) for r in N.one_of_each(df.repartition(7)).collect())
 
 
 def test_empty_and_wordless(spark):
