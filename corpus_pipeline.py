@@ -3,8 +3,8 @@
 Each stage takes all rows its predecessor kept and its decisions take effect: rejected documents
 and copies go, repeated passages are cut out of the text, the mix repeats or leaves out documents,
 and the last stage returns the pieces of the packed sequences.  All stages but the last return the
-columns of ``documents`` (``n_chars`` follows the text).  Rows without an id are never copies of
-others; rows with the same id are one document to the near-duplicate stage.
+columns of ``documents`` (``n_chars`` follows the text).  Only copies go in the near-duplicate
+stage: unlike texts under one id stay, and rows without an id give way to copies that have one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.mixing import emit
-from jobloom.llm.near_dups import near_duplicates
+from jobloom.llm.near_dups import one_of_each
 from jobloom.llm.packing import pack
 from jobloom.llm.quality_rules import keep_good
 from jobloom.llm.scratch import Scratch
@@ -27,9 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest id."""
-    stay = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
