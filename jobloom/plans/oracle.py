@@ -415,6 +415,12 @@ register_store("store_jobs_list", f"""SELECT {LIST} FROM st_upd
 WHERE enriched_at IS NOT NULL AND region_team_count >= 1 ORDER BY {O1} LIMIT 100""")
 register_store("ui_jobs", f"SELECT {LIST} FROM st_upd WHERE region_team_count >= 0 ORDER BY {O1} LIMIT 100")
 register_store("keyword_search", f"SELECT {LIST} FROM st_upd WHERE {SEARCH_WHERE} ORDER BY {O1} LIMIT 100")
+INDEXED_TERMS = ("ring", "economy", "sma%brand#1", "5_low", "d wid", "zzzz", "m ")
+register_store("keyword_search_indexed", " UNION ALL ".join(
+    f"(SELECT '{shown}' AS term, {LIST} FROM st_upd WHERE " + " OR ".join(
+        ASCII_LOWER.format(f) + f" LIKE '%{q}%'" for f in ("title", "company", "description"))
+    + f" ORDER BY {O1} LIMIT 100)" for q, shown in
+    ((q, "ECONOMY" if q == "economy" else q) for q in INDEXED_TERMS)))
 register_store("search_result_count", f"""SELECT count(*) AS n_results FROM
   (SELECT id FROM st_upd WHERE {SEARCH_WHERE} ORDER BY {O1} LIMIT 100)""")
 register_store("job_by_id", f"SELECT {LIST} FROM st_upd WHERE id = (SELECT arg_min(id, seq) FROM st_upd)")

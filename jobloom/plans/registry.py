@@ -40,6 +40,7 @@ QUERIES = {
     "store_jobs_list": serving.store_jobs_list,
     "ui_jobs": serving.ui_jobs,
     "keyword_search": serving.keyword_search,
+    "keyword_search_indexed": serving.keyword_search_indexed,
     "search_result_count": serving.search_result_count,
     "job_by_id": serving.job_by_id,
     "company_by_id": serving.company_by_id,
@@ -96,6 +97,6 @@ QUERIES = {
     "company_websites_plain": vendor.company_websites_plain,
     "company_websites": vendor.company_websites,
     "company_page_links": vendor.company_page_links,
-    # streaming ingest (no SQL oracle: micro-batch boundaries are part of the semantics)
+    # streaming ingest: the stored ids don't depend on how files fall into micro-batches
     "stream_ingest": streaming.stream_ingest,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobloom.operators.enrich import enrich_jobs
@@ -40,7 +42,7 @@ def ranked_with_targets(spark: SparkSession, sf: str) -> DataFrame:
 from pyspark.sql import Window  # noqa: E402
 
 from jobloom.functions.text import ascii_lower, like_escape  # noqa: E402
-from jobloom.operators import serve  # noqa: E402
+from jobloom.operators import search_index, serve  # noqa: E402
 from jobloom.plans import stored  # noqa: E402
 
 SEARCH_TERM = "ring"
@@ -70,6 +72,18 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return s.orderBy(*serve.o1()).limit(100).select(*serve.LIST_COLUMNS)
 
 
+# Whole words, upper case, wildcards, a term that matches nothing and one too short for an index.
+INDEXED_TERMS = ("ring", "ECONOMY", "sma%brand#1", "5_low", "d wid", "zzzz", "m ")
+
+
+def keyword_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 + O1 through the trigram index: the first 100 rows of each of several terms."""
+    folder = stored.job_index(spark, sf)
+    found = [search_index.search(spark, folder, q).orderBy(*serve.o1()).limit(100)
+             .select(F.lit(q).alias("term"), *serve.LIST_COLUMNS) for q in INDEXED_TERMS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def search_result_count(spark: SparkSession, sf: str) -> DataFrame:
     """Number of rows of the limited search result."""
     return keyword_search(spark, sf).agg(F.count(F.lit(1)).alias("n_results"))

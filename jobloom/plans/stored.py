@@ -1,12 +1,22 @@
-"""The three stored tables (jobs, companies, members): written once for a state of the given
-tables, then read by every serving query with declared schemas."""
+"""The stored tables (jobs, companies, members) and the search index: written once for a state of
+the given tables and of this package, then read by every serving query with declared schemas.
+
+A table is written under a name of its own and renamed when it is whole, so a run that dies half
+way blocks nobody, and of two first callers the later one takes the table of the earlier one.
+"""
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import jobloom
+from jobloom.operators import search_index
 from jobloom.plans import base, maintenance
 from jobloom.session import shared_dir
 from jobloom.sources.tables import read_stored, write_stored
@@ -14,29 +24,64 @@ from jobloom.sources.tables import read_stored, write_stored
 INPUTS = ("orders", "part", "supplier", "customer", "nation")
 
 
-def _state(spark: SparkSession, sf: str) -> str:
-    """Names the state of the input tables: lengths, file counts and last changes."""
-    jvm, conf, parts = spark._jvm, spark._jsc.hadoopConfiguration(), [sf]
+@functools.cache
+def _build() -> str:
+    """Names the code that makes the tables: a digest of this package's sources."""
+    digest = hashlib.sha256()
+    for folder, _, names in sorted(os.walk(os.path.dirname(os.path.abspath(jobloom.__file__)))):
+        for name in sorted(n for n in names if n.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as f:
+                digest.update(name.encode() + f.read())
+    return digest.hexdigest()
+
+
+def _files(fs, path) -> list[tuple]:
+    """(path, length, time) of every file below a path; hidden ones don't count."""
+    found, todo = [], [path]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            if s.getPath().getName().startswith(("_", ".")):
+                continue
+            if s.isDirectory():
+                todo.append(s.getPath())
+            else:
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
+def state(spark: SparkSession, sf: str) -> str:
+    """Names the state of the input files and of the code."""
+    jvm, conf, parts = spark._jvm, spark._jsc.hadoopConfiguration(), [_build()]
     for t in INPUTS:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/{t}.parquet")
-        fs = path.getFileSystem(conf)
-        size = fs.getContentSummary(path)
-        parts += [size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()]
+        parts += _files(path.getFileSystem(conf), path)
     return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:24]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def published(spark: SparkSession, folder: str, name: str, write: Callable[[str, str], None]) -> str:
+    """The path of a whole table; the run that finds none has ``write(folder, name)`` make it."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    final = path_of(f"{folder}/{name}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = path_of(final, "_WHOLE")
+    if not fs.exists(done):
+        own = f"_{name}-{uuid.uuid4().hex}"
+        write(folder, own)
+        fs.create(path_of(f"{folder}/{own}/_WHOLE")).close()
+        if fs.exists(final) and not fs.exists(done):
+            fs.delete(final, True)                   # left by a run that died
+        if not fs.exists(final):
+            fs.rename(path_of(f"{folder}/{own}"), final)
+        fs.delete(path_of(f"{folder}/{own}"), True)  # another caller was first
+    return final.toString()
 
 
 def store(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One stored table; the run that finds it missing writes it."""
-    folder = shared_dir(spark, f"jobloom/store-{_state(spark, sf)}")
-    if not _exists(spark, f"{folder}/{name}/_SUCCESS"):
-        build = {"jobs": maintenance.enriched_store, "companies": base.companies,
-                 "members": base.members}[name]
-        write_stored(build(spark, sf), folder, name)
+    """One stored table."""
+    build = {"jobs": maintenance.enriched_store, "companies": base.companies,
+             "members": base.members}[name]
+    folder = shared_dir(spark, f"jobloom/store-{state(spark, sf)}")
+    published(spark, folder, name, lambda at, own: write_stored(build(spark, sf), at, own, name))
     return read_stored(spark, folder, name)
 
 
@@ -50,3 +95,10 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     return store(spark, sf, "members")
+
+
+def job_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the search index over the stored jobs."""
+    folder = shared_dir(spark, f"jobloom/store-{state(spark, sf)}")
+    return published(spark, folder, "job-index",
+                     lambda at, own: search_index.add(jobs(spark, sf), f"{at}/{own}"))

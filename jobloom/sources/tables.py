@@ -34,9 +34,10 @@ STORED = {
 }
 
 
-def write_stored(df: DataFrame, folder: str, name: str) -> None:
-    """Writes a stored table with its declared columns and types."""
-    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in STORED[name].fields]) \
+def write_stored(df: DataFrame, folder: str, name: str, table: str | None = None) -> None:
+    """Writes ``folder/name`` with the declared columns and types of ``table`` (by default
+    ``name``)."""
+    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in STORED[table or name].fields]) \
         .write.mode("error").parquet(f"{folder}/{name}")
 
 
