@@ -30,6 +30,7 @@ FIELDS = ("title", "company", "description")
 SHARDS = 64
 BLOCK_BITS = 14           # documents of a posting block: 2**14
 RAREST = 3                # trigrams whose lists are intersected
+POSTINGS = "gram string, block long, n int, gaps array<int>, gen int, shard int"
 
 
 def _shard(gram):
@@ -55,9 +56,11 @@ def add(rows: DataFrame, folder: str, fields=FIELDS, generation: int = 0) -> Non
     """
     spark = rows.sparkSession
     at = f"{folder}/rows/gen={generation}"
+    # an empty file with the columns, as no row may be there to tell them
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{folder}/columns")
     numbered = rows.withColumn("doc", F.monotonically_increasing_id())
     numbered.withColumn("part", F.shiftright("doc", 33).cast("int")).write.partitionBy("part").parquet(at)
-    grams = spark.read.parquet(at).select("doc", F.explode(trigrams(fields)).alias("gram"))
+    grams = spark.read.schema(numbered.schema).parquet(at).select("doc", F.explode(trigrams(fields)).alias("gram"))
     width = F.lit(1 << BLOCK_BITS)
     blocks = grams.groupBy("gram", F.shiftright("doc", BLOCK_BITS).alias("block")).agg(
         F.sort_array(F.collect_list((F.col("doc") % width).cast("int"))).alias("at"))
@@ -81,7 +84,7 @@ def posting_blocks(spark: SparkSession, folder: str, grams: list[str]) -> DataFr
     # the same hash as the writer's, evaluated once for the few trigrams of a term
     shards = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string")
               .select(_shard("gram")).distinct().collect()]
-    return (spark.read.parquet(f"{folder}/postings")
+    return (spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
             .where(F.col("shard").isin(shards) & F.col("gram").isin(grams)))
 
 
@@ -114,7 +117,9 @@ def candidates(spark: SparkSession, folder: str, grams: list[str]) -> DataFrame
 
 
 def indexed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/rows")
+    columns = spark.read.parquet(f"{folder}/columns").schema
+    return spark.read.schema(columns.add("doc", "long").add("gen", "int").add("part", "int")) \
+        .parquet(f"{folder}/rows")
 
 
 def search(spark: SparkSession, folder: str, q: str, min_team: int = 0,

@@ -75,7 +75,14 @@ def test_lists_are_gaps_of_sorted_numbers(spark, index):
     assert all(len(b.gaps) == b.n and min(b.gaps[1:], default=1) > 0 for b in blocks)
 
 
-def test_empty_index(spark):
+def test_index_without_rows(spark):
+    folder = shared_dir(spark, f"jobloom/test-index-{uuid.uuid4().hex}")
+    S.add(spark.createDataFrame([], SCHEMA), folder)
+    for q in ("abc", "ab", ""):
+        assert S.search(spark, folder, q).count() == 0
+
+
+def test_index_without_trigrams(spark):
     folder = shared_dir(spark, f"jobloom/test-index-{uuid.uuid4().hex}")
     S.add(spark.createDataFrame([("1", None, "ab", "", 1)], SCHEMA), folder)
     assert S.search(spark, folder, "abc").count() == 0 and S.search(spark, folder, "ab").count() == 1
