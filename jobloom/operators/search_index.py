@@ -118,7 +118,7 @@ def candidates(spark: SparkSession, folder: str, grams: list[str]) -> DataFrame
 
 def indexed_rows(spark: SparkSession, folder: str) -> DataFrame:
     columns = spark.read.parquet(f"{folder}/columns").schema
-    return spark.read.schema(columns.add("doc", "long").add("gen", "int").add("part", "int")) \
+    return spark.read.schema(columns.add("doc", "long").add("gen", "integer").add("part", "integer")) \
         .parquet(f"{folder}/rows")
 
 

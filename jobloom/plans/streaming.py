@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from jobloom.plans import base
 from jobloom.session import shared_dir
 from jobloom.sources import landed
-from jobloom.streaming.ingest import PAGE_SCHEMA, STORE_SCHEMA, run_ingest
+from jobloom.streaming.ingest import PAGE_SCHEMA, STORED, run_ingest
 
 
 def land_pages(spark: SparkSession, sf: str, landing_dir: str, files: int = 8) -> None:
-    """Search pages in ``files`` files; the pages of one search are in one file, as a page
-    fetcher drops them when a search is done."""
-    pg = landed.search_pages(base.jobs(spark, sf)).select(*[f.name for f in PAGE_SCHEMA.fields])
-    pg.repartition(files, F.col("search_id")).write.mode("error").parquet(landing_dir)
+    """Search pages in ``files`` files, as fetchers drop them page by page: the pages of a search
+    lie in several files; its last page is marked."""
+    of_search = Window.partitionBy("search_id")          # PAGES_PER_SEARCH pages at most
+    pg = landed.search_pages(base.jobs(spark, sf)).withColumn(
+        "last", F.col("page_no") == F.max("page_no").over(of_search))
+    pg.select(*PAGE_SCHEMA.names).repartition(files, "page_id").write.mode("error").parquet(landing_dir)
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,4 +27,4 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     land_pages(spark, sf, f"{run}/landing")
     run_ingest(spark, f"{run}/landing", f"{run}/store", f"{run}/_checkpoint", base.AS_OF,
                files_per_trigger=4)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{run}/store").select("id").distinct()
+    return spark.read.schema(STORED).parquet(f"{run}/store").select("id").distinct()

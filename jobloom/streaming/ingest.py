@@ -1,13 +1,16 @@
 """Incremental page ingest with Structured Streaming.
 
-New landed page files -> embedded-JSON extraction with card-markup fallback -> greedy de-dup
-within each search -> insert-if-absent into the job store.
-
-A search is the unit of de-dup (all keys carry its id), and a search's pages land in one file, so
-a micro-batch holds whole searches and the set of stored ids doesn't depend on how files are
-grouped into batches.  The store write is idempotent (known ids are skipped), so a micro-batch
-that is replayed after a failure adds nothing twice; the stream's progress lives in
-``checkpointLocation`` on the shared file system.
+New landed page files -> whole searches (state) -> embedded-JSON extraction with card-markup
+fallback -> greedy de-dup within each search -> insert-if-absent into the job store.
+
+A search is the unit of de-dup (all keys carry its id).  Its pages may land in any files: the
+stateful step holds them until the search is whole, so a micro-batch hands out whole searches and
+the set of stored ids doesn't depend on how files are grouped into batches.  The store write is
+idempotent (known ids are skipped), so a micro-batch that is replayed after a failure adds nothing
+twice; the stream's progress and state live in ``checkpointLocation`` on the shared file system.
+
+The store is partitioned by a hash of the id.  A batch lists its hash buckets (BUCKETS at most) and
+looks for known ids in those alone, so a small batch doesn't read the ids of the whole store.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from jobloom.functions.dates import as_of_col
 from jobloom.functions.text import fuzzy_key
 from jobloom.operators.dedup import greedy_dedup
 from jobloom.operators.store import insert_new
-from jobloom.session import materialize
+from jobloom.session import discard, materialize
 from jobloom.sources import pages
+from jobloom.streaming.searches import state_on_disk, whole_searches
+
+BUCKETS = 64
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("search_id", T.StringType()),
     T.StructField("page_no", T.IntegerType()), T.StructField("url", T.StringType()),
-    T.StructField("html", T.StringType())])
+    T.StructField("html", T.StringType()), T.StructField("last", T.BooleanType())])
 
 STORE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("search_id", T.StringType()),
@@ -34,6 +40,7 @@ STORE_SCHEMA = T.StructType([
     T.StructField("scraped_at", T.TimestampNTZType()), T.StructField("board_source", T.StringType()),
     T.StructField("remote_type", T.StringType())])
 
+STORED = T.StructType([*STORE_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
 STORE_COLUMNS = [n for n in STORE_SCHEMA.names if n != "scraped_at"]
 
 
@@ -41,9 +48,11 @@ def jobs_of_pages(pg: DataFrame, as_of) -> DataFrame:
     """Job rows of landed pages with ``search_id`` and a unique ``seq`` in page order."""
     of_search = pages.jobs_or_cards(pg, as_of)
     # written once, as ids given after a sort have to stay as they are
-    return materialize(of_search.orderBy("page_id", "pos").select(
+    out = materialize(of_search.orderBy("page_id", "pos").select(
         *STORE_COLUMNS, F.monotonically_increasing_id().alias("seq"), as_of_col(as_of).alias("scraped_at")),
         "ingest")
+    out.ingested = out
+    return out
 
 
 def dedup_searches(jobs: DataFrame) -> DataFrame:
@@ -62,21 +71,50 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def bucket_of(key) -> F.Column:
+    """The store folder of an id; a null id has one as well."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def known_ids(spark: SparkSession, store_dir: str, buckets: list[int]) -> DataFrame:
+    """The stored ids of some hash buckets: the others' folders are not read."""
+    return spark.read.schema(STORED).parquet(store_dir).where(
+        F.col("bucket").isin(buckets)).select("id")
+
+
+def add_to_store(spark: SparkSession, store_dir: str, jobs: DataFrame) -> None:
+    """K1: rows whose id the store doesn't have, first per id in the order of ``seq``."""
+    rows = materialize(jobs.select(*STORE_SCHEMA.names, "seq").withColumn("bucket", bucket_of("id")),
+                       "ingest-batch")
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]     # BUCKETS at most
+    if touched:
+        known = (known_ids(spark, store_dir, touched) if _exists(spark, store_dir)
+                 else rows.select("id").limit(0))
+        insert_new(known, rows).select(*STORED.names).repartition("bucket").write \
+            .partitionBy("bucket").mode("append").parquet(store_dir)
+    discard(rows)
+
+
 def make_batch_writer(spark: SparkSession, store_dir: str, as_of):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        kept = dedup_searches(jobs_of_pages(batch, as_of))
-        known = (spark.read.schema(STORE_SCHEMA).parquet(store_dir).select("id")
-                 if _exists(spark, store_dir) else kept.select("id").limit(0))
-        new = insert_new(known, kept.select(*STORE_SCHEMA.names, "seq"))
-        new.select(*STORE_SCHEMA.names).write.mode("append").parquet(store_dir)
+        # the stateful step runs once: what it hands out is written before it is used
+        released = materialize(batch, "released")
+        if not released.isEmpty():
+            found = jobs_of_pages(released, as_of)
+            add_to_store(spark, store_dir, dedup_searches(found))
+            discard(found.ingested)
+        discard(released)
     return write
 
 
 def run_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str,
                as_of, files_per_trigger: int = 1) -> None:
-    """Drain every landed file now (``availableNow``) and stop."""
+    """Drain every landed file now (``availableNow``) and stop.  Searches that aren't whole stay in
+    the state of ``checkpoint`` for the next run."""
     src = (spark.readStream.schema(PAGE_SCHEMA)
            .option("maxFilesPerTrigger", files_per_trigger).parquet(landing_dir))
-    q = (src.writeStream.foreachBatch(make_batch_writer(spark, store_dir, as_of))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_on_disk(spark):
+        q = (whole_searches(src).writeStream
+             .foreachBatch(make_batch_writer(spark, store_dir, as_of))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()

@@ -1,13 +1,17 @@
 """The streamed store doesn't depend on how landed files are grouped into batches."""
 
+import io
 import os
 import uuid
+from contextlib import redirect_stdout
 
 import pytest
 
 from jobloom.plans import base, streaming
 from jobloom.session import shared_dir
+from jobloom.streaming import ingest
 from jobloom.streaming.ingest import dedup_searches, jobs_of_pages, run_ingest
+from jobloom.streaming.searches import is_whole, state_on_disk, whole_searches
 from tests.conftest import SF_SMALL
 
 
@@ -28,6 +32,8 @@ def test_any_batching_gives_the_batch_result(spark, landing):
     folder = f"{landing}/landing".removeprefix("file:")
     assert sum(n.startswith("part-") for n in os.listdir(folder)) >= 6
     pages = spark.read.parquet(f"{landing}/landing")
+    spread = pages.select("search_id", "_metadata.file_path").distinct().groupBy("search_id").count()
+    assert spread.where("count > 1").count() >= 6            # searches lie in several files
     want = {r.id for r in dedup_searches(jobs_of_pages(pages, base.AS_OF)).select("id").collect()}
     for files in (1, 4, 100):
         run_ingest(spark, f"{landing}/landing", f"{landing}/store{files}", f"{landing}/ckpt{files}",
@@ -37,3 +43,77 @@ def test_any_batching_gives_the_batch_result(spark, landing):
     run_ingest(spark, f"{landing}/landing", f"{landing}/store4", f"{landing}/ckpt4", base.AS_OF)
     run_ingest(spark, f"{landing}/landing", f"{landing}/store4", f"{landing}/other", base.AS_OF, 3)
     assert ids(spark, f"{landing}/store4") == want
+
+
+def test_a_search_is_whole():
+    assert is_whole({0, 1, 2}, {2}) and not is_whole({0, 2}, {2}) and not is_whole({0, 1}, set())
+    assert is_whole(set(range(10)), set()) and not is_whole({9}, set()) and is_whole({0}, {0})
+    assert is_whole({0, 1, 5}, {1}) and is_whole({0, 1, 2}, {1, 2}) and is_whole({0, 1}, set(), cap=2)
+
+
+PAGES = "page_id long, search_id string, page_no int, html string, last boolean"
+
+
+def page(i, search, no, last=False):
+    return (i, search, no, "x", last)
+
+
+def released(spark, files, tmp, patience_ms):
+    """What each run hands out when the files come one by one."""
+    out = []
+    for rows in files:
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        out.append([])
+        with state_on_disk(spark):
+            src = spark.readStream.schema(PAGES).parquet(f"{tmp}/in")
+            q = (whole_searches(src, patience_ms=patience_ms).writeStream.foreachBatch(
+                lambda b, _: out[-1].extend((r.search_id, r.page_no) for r in b.collect()))
+                .option("checkpointLocation", f"{tmp}/ckpt").trigger(availableNow=True).start())
+            q.awaitTermination()
+    return [sorted(x, key=str) for x in out]
+
+
+FILES = [[page(1, "a", 2, True), page(2, "b", 0)],                     # the end comes first
+         [page(3, "a", 0), page(4, "b", 0), page(5, None, 0, True)],   # b's page again
+         [page(6, "a", 1), page(7, "c", None), page(8, "b", 1)]]       # a page without a number
+
+
+def test_pages_wait_until_their_search_is_whole(spark, tmp_path):
+    assert released(spark, FILES, tmp_path, 3_600_000) == [
+        [], [(None, 0)], [("a", 0), ("a", 1), ("a", 2)]]
+
+
+def test_lost_ends_go_out_by_the_timer(spark, tmp_path):
+    files = [FILES[0][1:], [page(9, "d", 0, True)], [page(10, "b", 1)], [page(11, "e", 0, True)]]
+    got = released(spark, files, tmp_path, 1)
+    assert got[0] == [] and [x for g in got for x in g if x[0] == "b"] == [("b", 0), ("b", 1)]
+    assert got[1] == [("b", 0), ("d", 0)] and got[3] == [("b", 1), ("e", 0)]
+
+
+def explained(df):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_known_ids_are_read_from_the_touched_buckets(spark):
+    store = shared_dir(spark, f"jobloom/test-store-{uuid.uuid4().hex}")
+
+    def rows(keys):
+        return spark.createDataFrame(
+            [(k, i, *[None] * (len(ingest.STORE_SCHEMA) - 1)) for i, k in enumerate(keys)],
+            "id string, seq long, " + ", ".join(
+                f"{f.name} {f.dataType.simpleString()}" for f in ingest.STORE_SCHEMA.fields if f.name != "id"))
+    ingest.add_to_store(spark, store, rows([f"k{i}" for i in range(500)]))
+    folders = [n for n in os.listdir(store.removeprefix("file:")) if n.startswith("bucket=")]
+    assert len(folders) == ingest.BUCKETS
+    again = rows(["k1", "new", "new", None])
+    ingest.add_to_store(spark, store, again)
+    touched = [r[0] for r in again.select(ingest.bucket_of("id")).distinct().collect()]
+    known = ingest.known_ids(spark, store, touched)
+    plan = explained(known)
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:80]
+    assert known.count() < 60
+    stored = [r.id for r in spark.read.parquet(store).select("id").collect()]
+    assert len(stored) == 502 and stored.count("new") == 1 and stored.count(None) == 1
