@@ -11,26 +11,31 @@ in rounds without ever materialising the graph:
 * a job is kept when it holds the best priority in every one of its key
   groups (partial aggregation ``min`` per group, then a count per job);
 * every undecided job sharing a group with a kept job is dropped;
+* after PLAIN such rounds, a job with a single better undecided neighbour is kept exactly if that
+  one isn't, so chains of such jobs are decided at once by pointer doubling over the composed
+  keep/drop flips, whatever their length;
 * repeat until nothing is undecided.  Each round's state is written as Parquet
   to the shared checkpoint folder so lineage stays short and a lost executor
   only recomputes one round.
 
 No group is ever collected: hot keys (one company or URL holding a third of
-the rows) are handled by map-side partial aggregation and AQE's skew-join
-split of the semi join.  Rows are never dropped to save work; the loop
-fails loudly past ``max_rounds`` instead of truncating.
+the rows) are handled by map-side group limits, partial aggregation and AQE's skew-join
+split of the semi join.  Rows are never dropped to save work.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from jobloom.functions.text import fuzzy_key
 from jobloom.session import checkpoint_dir, discard, materialize
 
 KEY_ID, KEY_FUZZY, KEY_URL = 0, 1, 2
+PLAIN = 8                 # rounds without pointer doubling
+JUMPS = 3                 # pointer doublings in one job
 
 
 @dataclass
@@ -92,14 +97,62 @@ def _fates(e: DataFrame) -> DataFrame:
         F.max("gk").alias("hit"))
 
 
+def _standing(e: DataFrame) -> DataFrame:
+    """(p, o, best, other) of every undecided job: its best undecided neighbour that comes before it
+    (null: none, it is kept), and whether it has another one.
+
+    In a group only the first two jobs can have at most one better neighbour; both are top-k rows,
+    limited before the shuffle.
+    """
+    by = Window.partitionBy("kt", "kv").orderBy("p")
+    two = (e.select("kt", "kv", "p").withColumn("_rn", F.row_number().over(by)).where("_rn <= 2")
+           .groupBy("kt", "kv").agg(F.min("p").alias("m1"), F.max("p").alias("m2")))
+    better = F.when(F.col("p") > F.col("m1"), F.col("m1"))
+    return e.join(two, ["kt", "kv"]).groupBy("p").agg(
+        F.max("o").alias("o"), F.min(better).alias("best"),
+        (F.bool_or(F.col("p") > F.col("m2"))
+         | F.coalesce(F.min(better) < F.max(better), F.lit(False)))
+        .alias("other"))
+
+
+def _chains(fates: DataFrame) -> DataFrame:
+    """(p, o, to, flip, root): where the chain of single better neighbours leads from a job that has
+    none or one.  It is kept if ``root AND NOT flip``.
+
+    A job with a single better neighbour is kept if and only if that one isn't, so a step along the
+    chain flips keep and drop.  Steps are composed by pointer doubling, JUMPS doublings a written
+    table; a chain of n jobs takes about log2(n) / JUMPS of them.  ``root`` is false where the chain ends
+    at a job that is still open.
+    """
+    now = fates.where("NOT other").select(
+        "p", "o", F.coalesce("best", "p").alias("to"), F.col("best").isNotNull().alias("flip"),
+        F.col("best").isNull().alias("root"))
+    last = None
+    while True:
+        for _ in range(JUMPS):
+            step = now.select(F.col("p").alias("to"), F.col("to").alias("_to"),
+                              F.col("flip").alias("_flip"), F.col("root").alias("_root"))
+            now = now.join(step, "to", "left").select(
+                "p", "o", F.coalesce("_to", "to").alias("to"),
+                (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"),
+                F.coalesce("_root", "root").alias("root"),
+                F.coalesce(F.col("_to") != F.col("to"), F.lit(False)).alias("moved"))
+        seen = Observation()
+        now = materialize(now.observe(seen, F.count_if("moved").alias("n")), "dedup-chains")
+        if last is not None:
+            discard(last)
+        if not seen.get.get("n"):
+            return now
+        last = now
+
+
 def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "seq",
                  id_col: str = "id", url_col: str = "url", fuzzy_col: str | None = None,
-                 max_rounds: int = 1000, stats: DedupStats | None = None) -> DataFrame:
+                 stats: DedupStats | None = None) -> DataFrame:
     """Keep the greedy-first row of every duplicate cluster.
 
-    ``order_col`` must be unique (input order).  Returns the kept input rows.  Rounds follow
-    the longest chain of jobs that alternate as duplicates in time, which the data decide;
-    ``max_rounds`` is a guard far beyond any chain seen (under 20), and it fails, never truncates.
+    ``order_col`` must be unique (input order).  Returns the kept input rows.  Every round decides at
+    least the best job of each open cluster, so the rounds end.
     """
     spark = jobs.sparkSession
     checkpoint_dir(spark)
@@ -112,19 +165,31 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
     everyone = first.select("o").distinct()
     kept_parts = [everyone.join(e.select("o"), "o", "left_anti")]
     rounds = 0
-    while not e.isEmpty():
-        if rounds >= max_rounds:
-            raise RuntimeError(f"greedy de-dup did not converge in {max_rounds} rounds")
-        fates = materialize(_fates(e), f"dedup-round{rounds + 1}")
-        kept_parts.append(fates.where("won").select("o"))
-        last, e = e, materialize(e.join(fates.where("NOT hit"), "p", "left_semi"), "dedup-open")
+    left = not e.isEmpty()
+    while left:
+        # most clusters end within a few plain rounds; what is left then are chains
+        if rounds < PLAIN:
+            made = materialize(_fates(e), "dedup-round")
+            kept_parts.append(made.where("won").select("o"))
+            after = e.join(made.where("NOT hit"), "p", "left_semi")
+        else:
+            fates = materialize(_standing(e), "dedup-round")
+            made = _chains(fates)
+            discard(fates)
+            kept = made.where("root AND NOT flip")
+            kept_parts.append(kept.select("o"))
+            # groups of kept jobs: all their members are decided
+            won = e.join(kept.select("p"), "p", "left_semi").select("kt", "kv").distinct()
+            hit = e.join(won, ["kt", "kv"], "left_semi").select("p").distinct()
+            after = e.join(hit, "p", "left_anti")
+        seen = Observation()
+        last, e = e, materialize(after.observe(seen, F.count(F.lit(1)).alias("n")), "dedup-open")
+        left = bool(seen.get.get("n"))
         # the first table of open keys also tells who was alone; later ones are done with
         if rounds:
             discard(last)
         rounds += 1
-    kept_all = kept_parts[0]
-    for k in kept_parts[1:]:
-        kept_all = kept_all.unionByName(k)
+    kept_all = functools.reduce(DataFrame.unionByName, kept_parts)
     if stats is not None:
         stats.rounds = rounds
         stats.input_rows = everyone.count()

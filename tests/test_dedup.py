@@ -108,3 +108,25 @@ def test_exact_id_keeps_newest(spark):
     jobs = [dict(url="", scraped_at=NOW - dt.timedelta(days=1)), dict(url="", scraped_at=NOW)]
     out = exact_id_dedup(frame(spark, jobs)).collect()
     assert [r["seq"] for r in out] == [1]
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    """5,000 jobs that alternate as duplicates of the one before: every second one is kept."""
+    n = 5000
+    jobs = [dict(title=f"T{(i + 1) // 2}", company="X", location=f"L{i}", url=f"u{i // 2}",
+                 scraped_at=NOW - dt.timedelta(minutes=i)) for i in range(n)]
+    stats = DedupStats()
+    got = sorted(r["seq"] for r in greedy_dedup(frame(spark, jobs), stats=stats).select("seq").collect())
+    assert got == list(range(0, n, 2)) and stats.rounds <= 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_doubling_alone_gives_the_greedy_set(spark, monkeypatch, seed):
+    from jobloom.operators import dedup
+    monkeypatch.setattr(dedup, "PLAIN", 0)
+    rnd = random.Random(100 + seed)
+    jobs = [dict(title=f"T{rnd.randrange(45)}", company="X", location=f"L{rnd.randrange(9)}",
+                 url=rnd.choice(["", *[f"u{k}" for k in range(45)]]),
+                 scraped_at=NOW - dt.timedelta(hours=rnd.randint(0, 30))) for _ in range(120)]
+    got = sorted(r["seq"] for r in greedy_dedup(frame(spark, jobs)).select("seq").collect())
+    assert_greedy(spark, jobs, got)
