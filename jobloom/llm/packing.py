@@ -5,9 +5,10 @@ ones are cut into groups of equal cardinality and their lengths rounded up to th
 largest, which leaves few sizes; the best configurations of these sizes come from the
 cutting-stock linear programme, solved by column generation on the driver.  Actual documents
 then take the places of rounded ones, and the rest (small ones and the fractions of
-configurations) go best-fit, longest first, into what is free.  How full a configuration must be
-to be used depends on the lengths, so the whole plan is made for each limit of ``FILLS``, from
-all configurations to none (plain best fit), and the one with the fewest sequences is taken.
+configurations) go best-fit, longest first, into what is free.  A gap that a configuration leaves is
+lost if no small piece fits it, and best fit needs some large pieces left to end evenly; both depend
+on the lengths, so the whole plan is made for each limit of ``GAPS`` and each share of ``SHARES``,
+and of those with the fewest sequences the one with most sequences from configurations is taken.
 
 The driver never sees a document: it works on the histogram of lengths (one count for each of
 ``capacity`` lengths), from which the free space of each plan follows.  Its answer is a list of ranges,
@@ -23,6 +24,7 @@ ids are packed like others; an empty table gives an empty table.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import zlib
 from dataclasses import dataclass
@@ -39,8 +41,9 @@ CAPACITY = 2048
 END = 0                          # id after each document
 GROUPS = 192                     # of equal cardinality among the large pieces
 LARGE = 4                        # large: longer than CAPACITY / LARGE
-# A configuration is used if its rounded sizes fill so much; the limit with fewest sequences wins.
-FILLS = (1.0, 0.999, 0.995, 0.99, 0.98, 0.95, 0.9, 0.0, float("inf"))
+# A configuration is used if it leaves nothing free or at least so many tokens, ...
+GAPS = (0, 8, 32, 64, 128, CAPACITY)
+SHARES = (1.0, 0.7, 0.5)         # ... and, if it holds several pieces, in this share of its uses.
 MEMO = 300_000                   # word encodings that a worker remembers
 # Fixed value: the pre-tokenizer pattern of the byte-level BPE vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -212,15 +215,18 @@ def programme(sizes: np.ndarray, counts: np.ndarray, capacity: int,
     return [(np.rint(basis[:, j]).astype(np.int64), int(uses[j])) for j in np.argsort(-uses)]
 
 
-def filled(found: list[tuple[np.ndarray, int]], sizes: np.ndarray, counts: np.ndarray,
-           capacity: int, fill: float) -> list[tuple[np.ndarray, int]]:
-    """The configurations that fill so much of a sequence, used as often as the pieces allow."""
+def taken(found: list[tuple[np.ndarray, int]], sizes: np.ndarray, counts: np.ndarray,
+          capacity: int, gap: int = 0, share: float = 1.0) -> list[tuple[np.ndarray, int]]:
+    """The configurations that leave nothing or at least ``gap`` free, in ``share`` of their uses,
+    as often as the pieces allow."""
     out, left = [], counts.astype(np.int64).copy()
     for config, uses in found:
-        if (config * sizes).sum() < fill * capacity:
+        if 0 < capacity - (config * sizes).sum() < gap:
             continue                     # its documents go one by one
         some = config > 0
         n = int(min(uses, (left[some] // config[some]).min()))
+        if config.sum() > 1:
+            n = int(n * share)
         if n > 0:
             out.append((config, n))
             left -= n * config
@@ -228,10 +234,10 @@ def filled(found: list[tuple[np.ndarray, int]], sizes: np.ndarray, counts: np.nd
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600,
-                   fill: float = FILLS[0]) -> list[tuple[np.ndarray, int]]:
+                   gap: int = 0, share: float = 1.0) -> list[tuple[np.ndarray, int]]:
     """Configurations and whole numbers of uses for the rounded sizes; what the fractions of the
-    linear programme leave over stays unplaced, and so do configurations below ``fill``."""
-    return filled(programme(sizes, counts, capacity, rounds), sizes, counts, capacity, fill)
+    linear programme leave over stays unplaced."""
+    return taken(programme(sizes, counts, capacity, rounds), sizes, counts, capacity, gap, share)
 
 
 @dataclass
@@ -324,8 +330,9 @@ class Plan:
 
 
 def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, large: int = LARGE,
-         fills: tuple[float, ...] = FILLS) -> Plan:
-    """The plan with the fewest sequences over the fill limits; the first of equal ones."""
+         gaps: tuple[int, ...] = GAPS, shares: tuple[float, ...] = SHARES) -> Plan:
+    """The plan with the fewest sequences over all gaps and shares; of equal ones the one with the
+    most sequences from configurations."""
     edges, sizes = large_classes(counts, capacity, groups, large)
     n_class, total = np.diff(edges), int(counts[1:].sum())
     found = programme(sizes, n_class, capacity)
@@ -333,12 +340,12 @@ def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, large: int = L
     ends = np.cumsum(counts[lengths])
     starts = ends - counts[lengths]
     best = None
-    for fill in fills:
-        p = lay(edges, filled(found, sizes, n_class, capacity, fill), total)
+    for gap, share in itertools.product(gaps, shares):
+        p = lay(edges, taken(found, sizes, n_class, capacity, gap, share), total)
         left = sum((np.maximum(0, np.minimum(ends, b) - np.maximum(starts, a)) for a, b in p.rest),
                    np.zeros(capacity, np.int64))
         ranges, new = best_fit(lengths, left, free_space(p, counts, capacity), capacity)
-        if best is None or p.bins + new < best.sequences:
+        if best is None or (p.bins + new, -p.bins) < (best.sequences, -best.large.bins):
             best = Plan(p, ranges, p.bins + new)
     return best
 

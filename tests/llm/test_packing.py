@@ -136,7 +136,7 @@ def test_plan_has_the_fewest_sequences_of_all_limits():
             counts = np.bincount(rng.integers(1, top // mult, 3000) * mult, minlength=cap + 1)
             got = P.plan(counts, cap)
             plain = P.best_fit(lengths, counts[lengths], np.zeros(cap + 1, np.int64), cap)[1]
-            only = [P.plan(counts, cap, fills=(f,)).sequences for f in P.FILLS]
+            only = [P.plan(counts, cap, gaps=(g,)).sequences for g in P.GAPS]
             assert got.sequences == min(only) <= plain
 
 
@@ -144,9 +144,17 @@ def test_free_space_is_that_of_the_placed_pieces():
     rng = np.random.default_rng(4)
     for cap, groups in ((100, 6), (100, 40), (64, 12)):
         counts = np.bincount(rng.integers(1, cap + 1, 2000), minlength=cap + 1)
-        for fill in (0.0, 0.9, 1.0):
-            p = P.plan(counts, cap, groups, fills=(fill,)).large
+        for gap in (0, 9, cap):
+            p = P.plan(counts, cap, groups, gaps=(gap,)).large
             length = np.repeat(np.arange(cap, 0, -1), counts[np.arange(cap, 0, -1)])
             bins, _ = P.place_large(p, np.arange(len(length)))
             load = np.bincount(bins[bins >= 0], length[bins >= 0], p.bins).astype(int)
             assert (P.free_space(p, counts, cap) == np.bincount(cap - load, minlength=cap + 1)).all()
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.01", 481), ("sf0.1", 4936)])
+def test_half_of_the_sequences_come_from_configurations(spark, sf, most):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    counts = P._histogram(P.pieces(docs, P.default_tokenizer(), P.CAPACITY, False), "length", P.CAPACITY)
+    got = P.plan(counts, P.CAPACITY)
+    assert got.sequences <= most and 2 * got.large.bins >= got.sequences
