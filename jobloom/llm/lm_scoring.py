@@ -183,7 +183,7 @@ def stored_bigrams(blobs: DataFrame, folder: str, shards: int) -> DataFrame:
             key, c, w, n = _combined(*(np.concatenate(x) for x in zip(*parts)))
             del parts
             _write(f"{folder}/bigram-{shard}.key", key)
-            _write(f"{folder}/bigram-{shard}.n", np.minimum(n, 0xFFFFFFFF).astype("<u4"))
+            _write(f"{folder}/bigram-{shard}.n", n.astype("<u4" if n.max(initial=0) < 1 << 32 else "<u8"))
             ids, at = np.unique(c, return_inverse=True)
             sums = [np.bincount(at, x, len(ids)).astype(np.int64)
                     for x in (n.astype(float), n == 1, n == 2, n > 2)]
@@ -307,14 +307,17 @@ class _Shards:
         if shard not in self.maps:
             path = f"{self.folder}/{self.name}-{shard}"
             some = os.path.exists(f"{path}.key") and os.path.getsize(f"{path}.key") > 0
+            # counts are as wide as keys in a shard whose largest needs it
+            wide = some and os.path.getsize(f"{path}.{self.value}") == os.path.getsize(f"{path}.key")
             self.maps[shard] = (np.memmap(f"{path}.key", "<u8", "r"),
-                                np.memmap(f"{path}.{self.value}", self.kind, "r")) if some else \
+                                np.memmap(f"{path}.{self.value}", "<u8" if wide and self.kind == "<u4"
+                                          else self.kind, "r")) if some else \
                 (np.zeros(0, np.uint64), np.zeros(0, self.kind))
         return self.maps[shard]
 
     def look_up(self, shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key; keys of one shard are looked up in sorted order."""
-        out, found = np.zeros(len(key), self.kind), np.zeros(len(key), bool)
+        out, found = np.zeros(len(key), np.uint64 if self.kind == "<u4" else self.kind), np.zeros(len(key), bool)
         order = np.lexsort((key, shard))
         s = shard[order]
         cuts = np.flatnonzero(np.diff(s, prepend=-1))

@@ -225,22 +225,29 @@ def _by_array(p: Plan, values: dict):
     return out
 
 
-def mix(docs: DataFrame, cycle=WEIGHTS, repeats: int = MAX_REPEATS, shards: int = SHARDS,
-        seed: int = SEED) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``shards``."""
-    full = sized(docs, seed)
+def _mixed(docs: DataFrame, cycle, repeats: int, shards: int, seed: int) -> DataFrame:
+    """A row of ``docs`` as ``_row``, with what the mix makes of it."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                      "doc_id", "source", "text")
+    full = sized(row, seed)
     narrow = Scratch(docs.sparkSession, "mix").keep(full.select("source", "size", "_h"), "sizes")
     return placed(full, plan(narrow, cycle, repeats, shards, seed))
 
 
+def mix(docs: DataFrame, cycle=WEIGHTS, repeats: int = MAX_REPEATS, shards: int = SHARDS,
+        seed: int = SEED) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``shards`` (columns of
+    these names are replaced, all others pass through)."""
+    new = ("size", "source_size", "target", "copies", "shards")
+    return _mixed(docs, cycle, repeats, shards, seed).select(
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *new)
+
+
 def emit(docs: DataFrame, cycle=WEIGHTS, repeats: int = MAX_REPEATS, shards: int = SHARDS,
          seed: int = SEED) -> DataFrame:
     """The mix itself: one row a copy with the columns of ``docs``, one partition a shard (at
     least), shuffled within it."""
-    columns = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                      "doc_id", "source", "text")
-    copies = mix(row, cycle, repeats, shards, seed).select(
+    copies = _mixed(docs, cycle, repeats, shards, seed).select(
         "_row", "_h", F.posexplode("shards").alias("_copy", "_shard"))
     key = F.xxhash64(F.lit(seed + 1), "_h", "_copy")
     return (copies.withColumn("_key", key)

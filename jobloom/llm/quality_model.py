@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .lm_scoring import discounts
 from .scratch import Scratch
+from .textmap import fresh
 from .words import blocks, mix
 
 ORDER = 5
@@ -372,10 +373,11 @@ def classify(docs: DataFrame, trusted: DataFrame, held: Column, quantile: float
         "perplexities")
     judge = found.where(F.col("trusted") & held & F.col("perplexity").isNotNull())
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
-    by_lang = judge.groupBy(F.col(lang).alias("_lang")).agg(of.alias("_own"))
+    of_lang, own = fresh("_lang", found), fresh("_own", found)
+    by_lang = judge.groupBy(F.col(lang).alias(of_lang)).agg(of.alias(own))
     overall = judge.agg(of).first()[0]
-    out = found.join(by_lang, found[lang].eqNullSafe(by_lang["_lang"]), "left")
-    threshold = F.coalesce("_own", F.lit(overall).cast("double"))
+    out = found.join(by_lang, found[lang].eqNullSafe(by_lang[of_lang]), "left")
+    threshold = F.coalesce(own, F.lit(overall).cast("double"))
     return out.withColumn("threshold", threshold).withColumn("kept", F.coalesce(
         F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))).select(
         *[c for c in docs.columns if c != "text"], "trusted", "n_bytes", "perplexity",

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textmap import fresh
+
 # White space between words, symbols counted, stop words of en, fr, de, es.
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +36,7 @@ class Rule:
     metric: str
     low: float | None = None
     high: float | None = None
+    langs: tuple[str, ...] | None = None     # the languages it can judge, where one is known
 
 
 BASE_RULES = (
@@ -43,7 +46,7 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "mean_word_chars", low=2.5, high=12.0),
     Rule("symbols", "symbol_ratio", high=0.10),
-    Rule("stop_words", "stop_ratio", low=0.02),
+    Rule("stop_words", "stop_ratio", low=0.02, langs=("en", "fr", "de", "es")),
     Rule("capitals", "capital_ratio", high=0.30),
     Rule("stutter", "stutter_ratio", high=0.30),
     Rule("duplicate_lines", "dup_line_ratio", high=0.50),
@@ -119,7 +122,8 @@ def metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     for c in SPACES[:-1]:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    counted = docs.withColumn("_m", F.struct(
+    m = fresh("_m", docs)
+    counted = docs.withColumn(m, F.struct(
         _let(F.array_remove(F.split(spaced, " "), ""), lambda w: _word_counts(w, window)).alias("w"),
         _let(lines, lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
@@ -132,10 +136,10 @@ def metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         F.monotonically_increasing_id().alias("once"),
     ))
     counted = counted.withColumns({
-        **{c: F.col(f"_m.w.{c}") for c in
+        **{c: F.col(f"{m}.w.{c}") for c in
            ("n_words", "n_stop_words", "n_capitals", "n_stutters", "n_repeat_words")},
-        "n_lines": F.col("_m.l.n_lines"), "n_dup_lines": F.col("_m.l.n_dup_lines"),
-        "word_chars": F.col("_m.word_chars"), "n_symbols": F.col("_m.n_symbols"),
+        "n_lines": F.col(f"{m}.l.n_lines"), "n_dup_lines": F.col(f"{m}.l.n_dup_lines"),
+        "word_chars": F.col(f"{m}.word_chars"), "n_symbols": F.col(f"{m}.n_symbols"),
     })
     return counted.withColumns({
         "repeat_ratio": _ratio("n_repeat_words", "n_words"),
@@ -145,11 +149,12 @@ def metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         "capital_ratio": _ratio("n_capitals", "n_words"),
         "stutter_ratio": _ratio("n_stutters", "n_words"),
         "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-    }).drop("_m")
+    }).drop(m)
 
 
-def broken(rules: tuple[Rule, ...]) -> Column:
-    """Names of the rules that a row of metrics breaks, from the table, as one array column."""
+def broken(rules: tuple[Rule, ...], lang: str | None = None) -> Column:
+    """Names of the rules that a row of metrics breaks, from the table, as one array column.  With a
+    ``lang`` column a rule for some languages doesn't judge rows of another known one."""
     out = []
     for r in rules:
         bad = F.lit(False)
@@ -157,27 +162,32 @@ def broken(rules: tuple[Rule, ...]) -> Column:
             bad = bad | (F.col(r.metric) < F.lit(r.low))
         if r.high is not None:
             bad = bad | (F.col(r.metric) > F.lit(r.high))
+        if r.langs and lang:
+            bad = bad & F.coalesce(F.col(f"`{lang}`").isin(*r.langs), F.lit(True))
         out.append(F.when(bad, F.lit(r.name)))
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
 def apply_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES,
-                rules: tuple[Rule, ...] = RULES) -> DataFrame:
+                rules: tuple[Rule, ...] = RULES, lang: str | None = None) -> DataFrame:
     """Documents with all metrics, ``base_failed``, ``kept`` and ``failed_rules``.
 
     The share k/n > 0.30 decides like 100 * k > 30 * n: equal quotients round alike.
     """
     out = metrics(docs, text)
-    out = out.withColumn("_base", broken(base)).withColumn("_more", broken(rules))
-    return (out.withColumn("base_failed", F.size("_base") > 0)
-            .withColumn("failed_rules", F.concat("_base", "_more"))
+    first, more = fresh("_base", out), fresh("_more", out)
+    out = out.withColumn(first, broken(base, lang)).withColumn(more, broken(rules, lang))
+    return (out.withColumn("base_failed", F.size(first) > 0)
+            .withColumn("failed_rules", F.concat(first, more))
             .withColumn("kept", F.size("failed_rules") == 0)
-            .drop("_base", "_more"))
+            .drop(first, more))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Only the documents that break no rule, with the columns of ``docs``."""
+    """Only the documents that break no rule, with the columns of ``docs``.  Where ``docs`` has a
+    ``lang`` column, stop words judge only the languages whose stop words are known."""
     columns = docs.columns
+    lang = F.col("lang") if "lang" in columns else F.lit(None).cast("string")
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                        F.col(f"`{text}`").alias("text"))
-    return apply_rules(inner).where("kept").select("_row.*")
+                        F.col(f"`{text}`").alias("text"), lang.alias("lang"))
+    return apply_rules(inner, lang="lang").where("kept").select("_row.*")
