@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from jobloom.constants import DEFAULT_PREFERRED_CITIES, TARGET_COUNTRIES
 from jobloom.functions.dates import as_of_col
 from jobloom.functions.text import infer_website
+from jobloom.operators.skew import salted_join
 
 UNKNOWN_COMPANY = "Unknown"
 ENRICH_COLUMNS = ["company_id", "company_size", "industry", "headquarters_location",
@@ -32,13 +33,14 @@ def member_stats(members: DataFrame, preferred_cities=DEFAULT_PREFERRED_CITIES)
 
 def enrich_jobs(jobs: DataFrame, companies: DataFrame, members: DataFrame, as_of,
                 max_age_days: int = 30,
-                preferred_cities=DEFAULT_PREFERRED_CITIES) -> DataFrame:
+                preferred_cities=DEFAULT_PREFERRED_CITIES, salted: bool = False) -> DataFrame:
     """J1 + P2: left join jobs to fresh companies on the requested name.
 
     The newest fresh company of each ``requested_name`` is taken, so the join never fans out;
     the placeholder company 'Unknown' is nobody's name and isn't matched.
     The company side is small per key and AQE broadcasts it when its
-    measured size is under the threshold, else it is a sort-merge join.
+    measured size is under the threshold, else it is a sort-merge join; ``salted`` spreads the jobs
+    of a company that holds far more than others (one more read of the company column).
     """
     stats = member_stats(members, preferred_cities)
     fresh = fresh_companies(companies, as_of, max_age_days).select(
@@ -54,13 +56,25 @@ def enrich_jobs(jobs: DataFrame, companies: DataFrame, members: DataFrame, as_of
              .withColumn("member_count", F.coalesce("member_count", F.lit(0)))
              .withColumn("preferred_city_count", F.coalesce("preferred_city_count", F.lit(0))))
     drop = [c for c in ENRICH_COLUMNS if c in jobs.columns]
-    out = jobs.drop(*drop).join(fresh, F.col("company") == F.col("_cname"), "left").drop("_cname")
+    jobs = jobs.drop(*drop)
+    if salted:
+        out = salted_join(jobs, fresh.withColumnRenamed("_cname", "company"), "company", "left")
+    else:
+        out = jobs.join(fresh, F.col("company") == F.col("_cname"), "left").drop("_cname")
     return (out.withColumn("region_team_count", F.coalesce("region_team_count", F.lit(0)))
             .withColumn("member_count", F.coalesce("member_count", F.lit(0)))
             .withColumn("preferred_city_count", F.coalesce("preferred_city_count", F.lit(0)))
             .withColumnRenamed("_company_enriched_at", "enriched_at"))
 
 
+def job_team(enriched: DataFrame, members: DataFrame) -> DataFrame:
+    """The team members of every enriched job, as flat rows: no list is collected for a job
+    or a company, and the members of a company with a very large team are spread."""
+    team = members.select("company_id", F.col("id").alias("member_id"), "name", "title", "city", "country")
+    jobs = enriched.where(F.col("company_id").isNotNull()).select("company_id", F.col("id").alias("job_id"), "seq")
+    return salted_join(team, jobs, "company_id")
+
+
 def enrichment_work_list(jobs: DataFrame, companies: DataFrame, as_of,
                          max_age_days: int = 30, order_col: str = "seq",
                          website_col: str = "company_website") -> DataFrame:
@@ -84,14 +98,15 @@ def match_employers(companies: DataFrame, people: DataFrame, targets=TARGET_COUN
                     domain_col: str = "domain") -> DataFrame:
     """People whose experience names the company domain, in the target countries.
 
-    Past employers count, as in the reference.  One row per (company, person).
+    Past employers count, as in the reference.  One row per (company, person).  A domain that many
+    people name is spread over several tasks.
     """
     exp = (people.where(F.col("country").isin(list(targets)))
            .select("person_id", "name", "title", "location", "country", "url",
                    F.explode("experience").alias("x"))
            .select("*", F.col("x.company_website.domain_only").alias("_dom")).drop("x")
            .where(F.col("_dom").isNotNull()))
-    matched = exp.join(companies.select("company_id", F.col(domain_col).alias("_dom")), "_dom")
+    matched = salted_join(exp, companies.select("company_id", F.col(domain_col).alias("_dom")), "_dom")
     return matched.drop("_dom").dropDuplicates(["company_id", "person_id"])
 
 

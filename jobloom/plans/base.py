@@ -25,8 +25,8 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.companies(spark, sf, members(spark, sf))
 
 
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich_jobs(jobs(spark, sf), companies(spark, sf), members(spark, sf), AS_OF)
+def enriched(spark: SparkSession, sf: str, salted: bool = False) -> DataFrame:
+    return enrich_jobs(jobs(spark, sf), companies(spark, sf), members(spark, sf), AS_OF, salted=salted)
 
 
 def ranked(spark: SparkSession, sf: str, cfg: RankingConfig = DEFAULT_CFG) -> DataFrame:

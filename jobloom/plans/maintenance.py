@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from jobloom.operators import dedup, export, store
 from jobloom.operators.enrich import enrich_jobs
 from jobloom.operators.rank import rank_jobs
 from jobloom.plans import base
+from jobloom.session import discard, materialize
 from jobloom.sources import fixtures
 
 AS_OF = base.AS_OF
@@ -36,20 +37,24 @@ def dedup_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """K8: saved and skipped rows of the later run, expired rows, ranked and filtered jobs."""
-    landed = _landed(spark, sf)
-    early = landed.where(F.col("scraped_at") < F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
-    late = landed.where(F.col("scraped_at") >= F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
-    known = early.select("id").distinct()
+    """K8: saved and skipped rows of the later run, expired rows, ranked and filtered jobs.
+
+    All are observed on the run's own writes (the store's two inserts, the expiry, the ranking): no
+    job counts anything again."""
     n = F.count(F.lit(1))
-    saved = late.select("id").distinct().join(known, "id", "left_anti").select(n).scalar()
-    seen = late.select(n).scalar()
-    s = stored_jobs(spark, sf)
-    total, left = s.select(n).scalar(), store.expire(s, AS_OF, 30).select(n).scalar()
-    ranked = F.count_if(F.col("region_team_count") >= base.DEFAULT_CFG.min_team)
-    return base.enriched(spark, sf).agg(ranked.alias("ranked"), n.alias("_jobs")).select(
-        saved.alias("saved"), (seen - saved).alias("skipped"), (total - left).alias("deleted"),
-        "ranked", (F.col("_jobs") - F.col("ranked")).alias("filtered"))
+    seen, saved, total, left, jobs, ranked = (Observation() for _ in range(6))
+    early, late = _two_runs(spark, sf)
+    s1 = materialize(store.insert_new(early.limit(0), early), "run-first")
+    s2 = materialize(store.insert_new(s1, late.observe(seen, n.alias("n"))).observe(saved, n.alias("n")), "run-later")
+    s3 = materialize(store.expire(s1.unionByName(s2).observe(total, n.alias("n")), AS_OF, 30)
+                     .observe(left, n.alias("n")), "run-expired")
+    r = materialize(rank_jobs(base.enriched(spark, sf).observe(jobs, n.alias("n")), base.DEFAULT_CFG, AS_OF)
+                    .observe(ranked, n.alias("n")).select("seq", "ranking_score"), "run-ranked")
+    seen, saved, total, left, jobs, ranked = (o.get["n"] for o in (seen, saved, total, left, jobs, ranked))
+    for t in (s1, s2, s3, r):
+        discard(t)
+    return spark.createDataFrame([(saved, seen - saved, total - left, ranked, jobs - ranked)],
+                                 "saved long, skipped long, deleted long, ranked long, filtered long")
 
 
 def _landed(spark, sf):
@@ -57,13 +62,15 @@ def _landed(spark, sf):
                                        "url", "posted_date", "scraped_at", "board_source")
 
 
+def _two_runs(spark, sf):
+    landed, end = _landed(spark, sf), F.lit(FIRST_RUN_END).cast("timestamp_ntz")
+    return landed.where(F.col("scraped_at") < end), landed.where(F.col("scraped_at") >= end)
+
+
 def stored_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """K1 twice: the earlier run into an empty store, then the later run."""
-    landed = _landed(spark, sf)
-    early = landed.where(F.col("scraped_at") < F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
-    late = landed.where(F.col("scraped_at") >= F.lit(FIRST_RUN_END).cast("timestamp_ntz"))
-    empty = early.limit(0)
-    s1 = store.insert_new(empty, early)
+    early, late = _two_runs(spark, sf)
+    s1 = store.insert_new(early.limit(0), early)
     s2 = store.insert_new(s1, late)
     return s1.unionByName(s2)
 
@@ -95,7 +102,7 @@ def job_enrichment_update(spark: SparkSession, sf: str) -> DataFrame:
         "company_size", "industry", "headquarters_location")
 
 
-def _company_updates(spark, sf):
+def company_updates(spark, sf):
     """A later enrichment run: every third company re-fetched with new values (some twice: the
     later fetch counts), plus brand-new companies for suppliers never seen (ids shifted)."""
     c = base.companies(spark, sf)
@@ -116,14 +123,14 @@ def _company_updates(spark, sf):
 
 def company_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """K2: companies after the keyed merge of a re-enrichment run."""
-    merged = store.upsert(base.companies(spark, sf), _company_updates(spark, sf), "id", "fetch")
+    merged = store.upsert(base.companies(spark, sf), company_updates(spark, sf), "id", "fetch")
     return merged.select("id", "name", "industry", "enriched_at", "region_team_count")
 
 
-def member_replace(spark: SparkSession, sf: str) -> DataFrame:
-    """K3: re-fetched companies replace their members, unless the new list is empty."""
+def member_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The new member lists of re-fetched companies, and these companies with their lists' lengths."""
     m = base.members(spark, sf)
-    upd = _company_updates(spark, sf).select(F.col("id").alias("company_id")).distinct()
+    upd = company_updates(spark, sf).select(F.col("id").alias("company_id")).distinct()
     # new member lists: every member re-assigned by custkey; companies whose id
     # is divisible by 6 come back with an empty list
     fresh = (m.withColumn("company_id", (F.col("id") % F.lit(50)).cast("string"))
@@ -131,8 +138,12 @@ def member_replace(spark: SparkSession, sf: str) -> DataFrame:
              .join(upd, "company_id", "left_semi")
              .where(F.col("company_id").cast("long") % 6 != 0))
     counts = fresh.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_members"))
-    parents = upd.join(counts, "company_id", "left").fillna(0, ["n_members"])
-    out = store.replace_children(m, fresh, parents)
+    return fresh, upd.join(counts, "company_id", "left").fillna(0, ["n_members"])
+
+
+def member_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: re-fetched companies replace their members, unless the new list is empty."""
+    out = store.replace_children(base.members(spark, sf), *member_lists(spark, sf))
     return out.select("id", "company_id", "name", "city", "country")
 
 

@@ -712,3 +712,20 @@ register("company_websites_labelled", """SELECT CAST(id AS BIGINT) AS page_id,
 register("company_websites_plain", """SELECT CAST(id AS BIGINT) AS page_id,
   CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'https://www.' || website || '/about'
        WHEN 1 THEN 'https://' || website END AS website FROM companies""")
+
+# ----------------------------------------------- tables changed in place, flat members
+register_store("merge_partitions", "SELECT * FROM c_merged")
+register_store("replace_partitions", "SELECT * FROM m_out")
+register_store("expire_partitions", f"""SELECT id, seq, scraped_at FROM stored
+WHERE scraped_at IS NULL OR scraped_at >= {AS_OF_SQL} - INTERVAL 30 DAY""")
+register_store("company_360_incremental", f"""SELECT c.id AS company_id, c.name, c.industry, c.company_size, c.region_team_count,
+  coalesce(jc.n, 0) AS open_positions, coalesce(mc.n, 0) AS n_members, coalesce(mc.countries, '') AS countries
+FROM companies c
+LEFT JOIN (SELECT company_id, count(*) AS n FROM st_upd WHERE company_id IS NOT NULL
+  AND (scraped_at IS NULL OR scraped_at >= {AS_OF_SQL} - INTERVAL 30 DAY) GROUP BY company_id) jc ON jc.company_id = c.id
+LEFT JOIN (SELECT company_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(country))), ',') AS countries
+  FROM m_out GROUP BY company_id) mc ON mc.company_id = c.id""")
+register("saved_search_types", f"""SELECT seq, id, 'Remote' AS job_type, posted_date FROM enriched
+WHERE contains(lower(location), 'remote') AND {s_days('posted_date')} <= 30""")
+register("enriched_team", """SELECT e.seq, e.id AS job_id, m.id AS member_id, m.name, m.title, m.city, m.country
+FROM enriched e JOIN team_members m ON m.company_id = e.company_id""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.plans import ingest, maintenance as mt, scalars, serving, streaming, vendor
+from jobloom.plans import ingest, maintenance as mt, scalars, serving, streaming, upkeep, vendor
 
 QUERIES = {
     "ranked_top50": lambda spark, sf: serving.ranked_top(spark, sf, 50),
@@ -36,6 +36,11 @@ QUERIES = {
     "expire_jobs": mt.expire_jobs,
     "csv_jobs": mt.csv_jobs,
     "csv_enriched": mt.csv_enriched,
+    # stored tables changed in place, partition by partition
+    "merge_partitions": upkeep.merge_partitions,
+    "replace_partitions": upkeep.replace_partitions,
+    "expire_partitions": upkeep.expire_partitions,
+    "company_360_incremental": upkeep.company_360_incremental,
     # serving
     "store_jobs_list": serving.store_jobs_list,
     "ui_jobs": serving.ui_jobs,
@@ -67,6 +72,8 @@ QUERIES = {
     "enrichment_work_list": serving.enrichment_work_list,
     "digest_top10": serving.digest_top10,
     "saved_search": serving.saved_search,
+    "saved_search_types": serving.saved_search_types,
+    "enriched_team": serving.enriched_team,
     # landed pages and payloads
     "embedded_jobs": ingest.embedded_jobs,
     "page_totals": ingest.page_totals,

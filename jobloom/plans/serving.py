@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.operators.enrich import enrich_jobs
+from jobloom.operators.enrich import enrich_jobs, job_team
 from jobloom.operators.rank import RankingConfig, rank_jobs, rank_order
 from jobloom.plans import base
 
@@ -43,6 +43,7 @@ from pyspark.sql import Window  # noqa: E402
 
 from jobloom.functions.text import ascii_lower, like_escape  # noqa: E402
 from jobloom.operators import search_index, serve  # noqa: E402
+from jobloom.operators.skew import salted_join  # noqa: E402
 from jobloom.plans import stored  # noqa: E402
 
 SEARCH_TERM = "ring"
@@ -139,7 +140,7 @@ def list_view(spark: SparkSession, sf: str) -> DataFrame:
 
 def enriched_assembly(spark: SparkSession, sf: str) -> DataFrame:
     """Every landed job with its enrichment fields and defaults."""
-    return base.enriched(spark, sf).select(
+    return base.enriched(spark, sf, salted=True).select(
         "seq", "id", "company_id", "company_size", "industry", "headquarters_location",
         "region_team_count", "enriched_at")
 
@@ -177,7 +178,13 @@ def member_company(spark: SparkSession, sf: str) -> DataFrame:
     """Every member with its company's name."""
     m = stored.members(spark, sf).select("id", "company_id", "name")
     c = stored.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
-    return m.join(c, "company_id", "left")
+    return salted_join(m, c, "company_id", "left")
+
+
+def enriched_team(spark: SparkSession, sf: str) -> DataFrame:
+    """P2 + J2: the members behind every enriched job, as flat rows."""
+    return job_team(base.enriched(spark, sf), base.members(spark, sf)).select(
+        "seq", "job_id", "member_id", "name", "title", "city", "country")
 
 
 def company_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,3 +259,15 @@ def saved_search(spark: SparkSession, sf: str) -> DataFrame:
     e = e.withColumn("salary_min", s.salary_min).withColumn("salary_max", s.salary_max)
     out = serve.saved_search(e, base.AS_OF, min_salary=60000, posted_within_days=14, min_team=1)
     return out.select("seq", "id", "salary_min", "salary_max", "posted_date", "region_team_count")
+
+
+JOB_TYPES = ("Remote",)
+
+
+def saved_search_types(spark: SparkSession, sf: str) -> DataFrame:
+    """F13 with job types: landed remote jobs posted within 30 days.  Postings carry no other type
+    than the one found in the location (X9)."""
+    from jobloom.functions.web import remote_type
+    e = base.enriched(spark, sf).withColumn("job_type", remote_type("location"))
+    return serve.saved_search(e, base.AS_OF, job_types=JOB_TYPES, posted_within_days=30).select(
+        "seq", "id", "job_type", "posted_date")
