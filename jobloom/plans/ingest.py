@@ -97,7 +97,7 @@ def hybrid_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     """Every link of every landed driver page, in page order."""
-    return html.extract_links(read_table(spark, sf, "pages")).select("page_id", "pos", "href", "text")
+    return html.extract_links(read_table(spark, sf, "pages"), ["href", "text"])
 
 
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Arrow-batched HTML extraction (S5, S6, X24): the one place Python runs on rows.
-
-Pages are parsed inside Spark tasks with the standard-library HTML parser
-(``mapInArrow``: one Arrow batch in, one Arrow batch out), into a light tree
-queried with a small CSS subset: ``tag``, ``.class``, ``[attr]``,
-``[attr=v]``, ``[attr*=v]``, descendant combinator and ``,`` lists.
-Only pages that the native (JVM) extractors could not handle should reach
-these functions (see ``pages.jobs_or_cards``).
+"""HTML extraction (S5, S6, X24): Python splits pages into narrow rows, Spark chooses among them.
+
+``with_nodes`` hands out a page's elements and texts in document order (``mapInArrow``, standard-library
+parser, bounded batches).  A node knows its place ``pos``, the place ``end`` of the last node inside it
+and its ``parent``, so what lies inside an element is a slice.  Cards, fields and links are expressions
+on that array: no shuffle, and a column that nobody asks for isn't computed.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from html.parser import HTMLParser
 
@@ -20,317 +20,210 @@ from jobloom.functions.dates import relative_date_a
 from jobloom.functions.text import job_id
 from jobloom.functions.web import job_url_from_key, remote_type
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-        "source", "track", "wbr"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+# fixed values: elements that hold nothing
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+BATCH_NODES = 50_000
+_I, _S = T.IntegerType(), T.StringType()
+NODE = T.StructType([T.StructField(n, t) for n, t in (
+    ("pos", _I), ("end", _I), ("parent", _I), ("tag", _S), ("attrs", T.MapType(_S, _S)), ("text", _S),
+    ("up", T.ArrayType(_I)))])
+CARD_FIELDS = ["title", "job_key", "company", "location", "description", "posted_text", "salary", "job_url",
+               "company_url", "company_url_direct"]
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
+# ------------------------------------------------------------------ pages → nodes
+class _Splitter(HTMLParser):
+    """Appends a page's nodes to the columns of a batch.  An end tag ends all elements opened since its
+    start tag, one without a start tag is skipped, and the page's end ends the rest."""
 
-    def iter(self):
-        """Descendant elements in document order."""
-        stack = [iter(self.children)]
-        while stack:
-            for c in stack[-1]:
-                if isinstance(c, Node):
-                    yield c
-                    stack.append(iter(c.children))
-                    break
-            else:
-                stack.pop()
-
-    def texts(self):
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node):
-                stack.extend(reversed(n.children))
-            else:
-                yield n
+    def __init__(self, cols: dict):
+        super().__init__(convert_charrefs=True)
+        self.cols, self.first, self.open = cols, len(cols["pos"]), []
 
-    def get_text(self, strip=True):
-        if strip:
-            return "".join(t.strip() for t in self.texts() if t.strip())
-        return "".join(self.texts())
+    def _add(self, tag, attrs, text) -> int:
+        c, pos = self.cols, len(self.cols["pos"]) - self.first
+        # an element with a link names the elements around it that have attributes, innermost first
+        up = [p for p in reversed(self.open) if c["attrs"][self.first + p]] if "href" in attrs else ()
+        for name, v in zip(NODE.names, (pos, pos, self.open[-1] if self.open else -1, tag, attrs, text, up)):
+            c[name].append(v)
+        return pos
 
+    def _end(self, opened: list) -> None:
+        for p in opened:
+            self.cols["end"][self.first + p] = len(self.cols["pos"]) - self.first - 1
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("[document]", {}, None)
-        self.cur = self.root
+    def handle_startendtag(self, tag, attrs):
+        return self._add(tag, {k: v or "" for k, v in attrs}, None)
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
+        pos = self.handle_startendtag(tag, attrs)
         if tag not in VOID:
-            self.cur = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, {k: (v if v is not None else "") for k, v in attrs},
-                                      self.cur))
+            self.open.append(pos)
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        at = next((i for i in reversed(range(len(self.open)))
+                   if self.cols["tag"][self.first + self.open[i]] == tag), None)
+        if at is not None:
+            self._end(self.open[at:])
+            del self.open[at:]
 
     def handle_data(self, data):
-        self.cur.children.append(data)
+        if data.strip():
+            self._add(None, {}, data.strip())
+
+    def split(self, html: str) -> None:
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:      # the parser's answer to a broken declaration: what came before counts
+            pass
+        self._end(self.open)
+
+
+def _arrow(cols: dict, offsets: list) -> pa.Array:
+    """The nodes of a batch as an array column."""
+    def cuts(lists):
+        return pa.array(functools.reduce(lambda a, x: a.append(a[-1] + len(x)) or a, lists, [0]), pa.int32())
+    ints = [pa.array(cols[n], pa.int32()) for n in ("pos", "end", "parent")]
+    attrs = pa.MapArray.from_arrays(cuts(cols["attrs"]), pa.array([k for a in cols["attrs"] for k in a], pa.string()),
+                                    pa.array([v for a in cols["attrs"] for v in a.values()], pa.string()))
+    up = pa.ListArray.from_arrays(cuts(cols["up"]), pa.array([p for u in cols["up"] for p in u], pa.int32()))
+    values = [*ints, pa.array(cols["tag"], pa.string()), attrs, pa.array(cols["text"], pa.string()), up]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, NODE.names))
+
+
+def with_nodes(pages: DataFrame) -> DataFrame:
+    """``pages`` with an array of nodes for ``html``; a null html has none."""
+    keep = [f for f in pages.schema.fields if f.name not in ("html", "nodes")]
+
+    def run(batches):
+        for batch in batches:
+            start, cols, offsets = 0, {n: [] for n in NODE.names}, [0]
+            for i, html in enumerate(batch.column("html"), 1):
+                _Splitter(cols).split(html.as_py() or "")
+                offsets.append(len(cols["pos"]))
+                if offsets[-1] >= BATCH_NODES or i == batch.num_rows:
+                    part = batch.slice(start, i - start)
+                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), _arrow(cols, offsets)],
+                                                     names=[*(f.name for f in keep), "nodes"])
+                    start, cols, offsets = i, {n: [] for n in NODE.names}, [0]
+    return pages.select(*[f.name for f in keep], "html").mapInArrow(
+        run, T.StructType([*keep, T.StructField("nodes", T.ArrayType(NODE))]))
+
+
+# ------------------------------------------------------------------ expressions on nodes
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
 
 
-def parse(html: str) -> Node:
-    b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was parsed
-        pass
-    return b.root
+def inside(nodes: Column, el: Column) -> Column:
+    return F.slice(nodes, el["pos"] + 2, el["end"] - el["pos"])
 
 
-_COMPOUND = re.compile(r"([a-zA-Z0-9_-]+|\*)?((?:\.[\w-]+|\[[^\]]+\])*)")
-_PART = re.compile(r"\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)['\"]?([^'\"\]]*)['\"]?)?\]")
+def text_of(nodes: Column, el: Column) -> Column:
+    return F.array_join(F.transform(inside(nodes, el), lambda n: n["text"]), "")
 
 
-def _compile_compound(text):
-    m = _COMPOUND.fullmatch(text)
+def attr(n: Column, name: str) -> Column:
+    return n["attrs"][name]
+
+
+def is_a(tag: str | None = None, cls: str | None = None, **attrs: str):
+    """A test of a node: its tag, a class, attribute values (``_`` stands for ``-``)."""
+    def test(n):
+        tests = [n["tag"] == tag] if tag else [n["tag"].isNotNull()]
+        tests += [attr(n, "class").rlike(rf"(^|\s){re.escape(cls)}(\s|$)")] if cls else []
+        tests += [attr(n, k.replace("_", "-")) == v for k, v in attrs.items()]
+        return F.coalesce(functools.reduce(operator.and_, tests), F.lit(False))
+    return test
+
+
+_TESTS = {None: lambda a, v: a.isNotNull(), "=": lambda a, v: a == v, "*=": Column.contains,
+          "^=": Column.startswith, "$=": Column.endswith}
+
+
+def _compound(text: str):
+    """The test of ``tag.class[attr]``; an attribute may have a value with =, *=, ^= or $=."""
+    m = re.fullmatch(r"([\w-]+|\*)?((?:\.[\w-]+|\[[^\]]+\])*)", text)
     if not m:
         raise ValueError(f"unsupported selector: {text}")
-    tag = m.group(1) if m.group(1) and m.group(1) != "*" else None
-    classes, attrs = [], []
-    for p in _PART.finditer(m.group(2) or ""):
-        if p.group(1):
-            classes.append(p.group(1))
-        else:
-            attrs.append((p.group(2), p.group(3), p.group(4)))
-    return tag, classes, attrs
-
-
-def compile_selector(sel: str):
-    """Alternatives of chains; each chain item is (combinator, compound) where
-    the combinator links it to the item before it (' ' descendant, '>' child)."""
-    out = []
-    for alt in sel.split(","):
-        chain, comb = [], " "
-        for tok in alt.replace(">", " > ").split():
-            if tok == ">":
-                comb = ">"
-                continue
-            chain.append((comb, _compile_compound(tok)))
-            comb = " "
-        out.append(chain)
-    return out
-
-
-def _match_compound(node, comp):
-    tag, classes, attrs = comp
-    if tag and node.tag != tag:
-        return False
-    if classes:
-        have = node.classes()
-        if any(c not in have for c in classes):
-            return False
-    for name, op, val in attrs:
-        if name not in node.attrs:
-            return False
-        v = node.attrs[name]
-        if op == "=" and v != val:
-            return False
-        if op == "*=" and val not in v:
-            return False
-        if op == "^=" and not v.startswith(val):
-            return False
-        if op == "$=" and not v.endswith(val):
-            return False
-    return True
-
-
-def _match(node, chain, scope, i=None):
-    i = len(chain) - 1 if i is None else i
-    comb, comp = chain[i]
-    if not _match_compound(node, comp):
-        return False
-    if i == 0:
-        return True
-    anc = node.parent
-    if comb == ">":
-        return anc is not None and anc is not scope and _match(anc, chain, scope, i - 1)
-    while anc is not None and anc is not scope:
-        if _match(anc, chain, scope, i - 1):
-            return True
-        anc = anc.parent
-    return False
-
-
-def select(scope: Node, compiled) -> list:
-    return [n for n in scope.iter() if any(_match(n, alt, scope) for alt in compiled)]
-
-
-def select_one(scope: Node, compiled):
-    for n in scope.iter():
-        if any(_match(n, alt, scope) for alt in compiled):
-            return n
-    return None
-
-
-# ------------------------------------------------------------ card extraction
-CARD_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("job_key", T.StringType()),
-    T.StructField("company", T.StringType()),
-    T.StructField("location", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("posted_text", T.StringType()),
-    T.StructField("salary", T.StringType()),
-    T.StructField("job_url", T.StringType()),
-    T.StructField("company_url", T.StringType()),
-    T.StructField("company_url_direct", T.StringType()),
-])
-
-_CARD_CLASS = re.compile(r"job_seen_beacon")
-_TITLE = compile_selector("h2.jobTitle")
-_COMPANY = compile_selector("span[data-testid=company-name]")
-_LOCATION = compile_selector("div[data-testid=text-location]")
-_SNIPPET = compile_selector("div.job-snippet")
-_DATE = compile_selector("span.date")
-
-
-def _first_matches(card: Node) -> dict:
-    """One pass over a card: the first element of each card field (document order)."""
-    found = {}
-    for n in card.iter():
-        t = n.tag
-        if t == "h2" and "title" not in found and "jobTitle" in n.classes():
-            found["title"] = n
-        elif t == "span":
-            if "company" not in found and n.attrs.get("data-testid") == "company-name":
-                found["company"] = n
-            elif "date" not in found and "date" in n.classes():
-                found["date"] = n
-        elif t == "div":
-            if "location" not in found and n.attrs.get("data-testid") == "text-location":
-                found["location"] = n
-            elif "snippet" not in found and "job-snippet" in n.classes():
-                found["snippet"] = n
-    return found
-
-
-def _dom_cards(root: Node):
+    parts = re.findall(r"\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)['\"]?([^'\"\]]*)['\"]?)?\]", m[2])
+    tests = [is_a(None if m[1] in (None, "*") else m[1])]
+    tests += [is_a(cls=c) if c else
+              lambda n, a=a, op=op, v=v: F.coalesce(_TESTS[op or None](attr(n, a), v), F.lit(False))
+              for c, a, op, v in parts]
+    return lambda n: functools.reduce(operator.and_, [t(n) for t in tests])
+
+
+def select(nodes: Column, selector: str) -> Column:
+    """The nodes that a selector list names, in page order; ancestors count among ``nodes`` only."""
+    def below(above, child, test):
+        return lambda n: test(n) & F.exists(
+            above, lambda m: (n["parent"] == m["pos"]) if child else (m["pos"] < n["pos"]) & (n["pos"] <= m["end"]))
+
+    def steps(tokens, rest, tests, above=None):
+        """Binds the nodes that each step but the last finds, then tests all nodes once."""
+        child, tokens = tokens[0] == ">", tokens[tokens[0] == ">":]
+        test = _compound(tokens[0]) if above is None else below(above, child, _compound(tokens[0]))
+        if len(tokens) > 1:
+            return let(F.filter(nodes, test), lambda found: steps(tokens[1:], rest, tests, found))
+        if rest:
+            return steps(rest[0], rest[1:], [*tests, test])
+        return F.filter(nodes, lambda n: functools.reduce(operator.or_, [t(n) for t in [*tests, test]]))
+    lists = [alt.replace(">", " > ").split() for alt in selector.split(",")]
+    return steps(lists[0], lists[1:], [])
+
+
+# ------------------------------------------------------------------ cards
+def _card(get) -> Column:
+    return F.struct(*[F.coalesce(get.get(n, F.lit(None)), F.lit(None).cast("string")).alias(n) for n in CARD_FIELDS])
+
+
+def _dom_cards(nodes: Column) -> Column:
     """The search-page card rule; cards without a title link are skipped."""
-    out = []
-    for card in root.iter():
-        if card.tag != "div" or not any(_CARD_CLASS.search(c) for c in card.classes()):
-            continue
-        f = _first_matches(card)
-        h2 = f.get("title")
-        a = None
-        if h2 is not None:
-            a = next((n for n in h2.iter() if n.tag == "a"), None)
-        if a is None:
-            continue
-        key = a.attrs.get("data-jk") or a.attrs.get("id", "").replace("job_", "")
-        comp, loc, snip, date = f.get("company"), f.get("location"), f.get("snippet"), f.get("date")
-        out.append(dict(
-            title=a.get_text(), job_key=key or None,
-            company=comp.get_text() if comp is not None else "Unknown",
-            location=loc.get_text() if loc is not None else "Remote",
-            description=snip.get_text() if snip is not None else "",
-            posted_text=date.get_text() if date is not None else "",
-            salary=None, job_url=None, company_url=None))
-    return out
-
-
-def _field_value(node, compiled, kind, attribute):
-    hit = select_one(node, compiled)
-    if hit is None:
-        return None
-    if kind == "attribute":
-        return hit.attrs.get(attribute)
-    return hit.get_text()
-
-
-def _compiled(spec):
-    """A selector spec with its selectors compiled, once for a task."""
-    return compile_selector(spec["base"]), [
-        (f["name"], compile_selector(f["selector"]), f.get("type", "text"), f.get("attribute"))
-        for f in spec["fields"]]
-
-
-def _selector_cards(root: Node, compiled):
+    def card(el):
+        def of(inner):
+            text = lambda test, default: F.coalesce(text_of(nodes, first(F.filter(inner, test))), F.lit(default))
+            link = first(F.filter(inside(nodes, first(F.filter(inner, is_a("h2", "jobTitle")))), is_a("a")))
+            return let(link, lambda a: F.when(a.isNotNull(), _card({
+                "title": text_of(nodes, a),
+                "job_key": F.coalesce(F.nullif(attr(a, "data-jk"), F.lit("")),
+                                      F.nullif(F.replace(attr(a, "id"), F.lit("job_"), F.lit("")), F.lit(""))),
+                "company": text(is_a("span", data_testid="company-name"), "Unknown"),
+                "location": text(is_a("div", data_testid="text-location"), "Remote"),
+                "description": text(is_a("div", "job-snippet"), ""),
+                "posted_text": text(is_a("span", "date"), "")})))
+        return let(inside(nodes, el), of)
+    cards = F.filter(nodes, lambda n: (n["tag"] == "div") & attr(n, "class").contains("job_seen_beacon"))
+    return F.filter(F.transform(cards, card), lambda c: c.isNotNull())
+
+
+def _selector_cards(nodes: Column, spec: dict) -> Column:
     """Declarative fields relative to every base element."""
-    base, fields = compiled
-    out = []
-    for el in select(root, base):
-        item = {name: _field_value(el, sel, kind, attr) for name, sel, kind, attr in fields}
-        out.append(item)
-    return out
-
-
-def _cards_batches(batches, mode, spec):
-    spec = _compiled(spec) if spec else None
-    names = [f.name for f in CARD_SCHEMA.fields]
-    arrow_schema = pa.schema([pa.field("page_id", pa.int64()), pa.field("pos", pa.int32())] +
-                             [pa.field(n, pa.string()) for n in names[2:]])
-    for batch in batches:
-        cols = {n: [] for n in names}
-        ids = batch.column("page_id").to_pylist()
-        htmls = batch.column("html").to_pylist()
-        for pid, html in zip(ids, htmls):
-            root = parse(html)
-            items = _dom_cards(root) if mode == "dom" else _selector_cards(root, spec)
-            for pos, it in enumerate(items):
-                cols["page_id"].append(pid)
-                cols["pos"].append(pos)
-                for n in names[2:]:
-                    cols[n].append(it.get(n))
-        yield pa.RecordBatch.from_pydict(cols, schema=arrow_schema)
-
-
-def extract_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None) -> DataFrame:
-    """Job cards of every page: one row per card, in page order (``pos``)."""
-    def fn(batches):
-        return _cards_batches(batches, mode, spec)
-    return pages.select("page_id", "html").mapInArrow(fn, CARD_SCHEMA)
+    def field(inner, f):
+        value = (lambda hit: attr(hit, f["attribute"])) if f.get("type") == "attribute" \
+            else (lambda hit: text_of(nodes, hit))
+        return let(first(select(inner, f["selector"])), value)
+    return F.transform(select(nodes, spec["base"]), lambda el: let(
+        inside(nodes, el), lambda inner: _card({f["name"]: field(inner, f) for f in spec["fields"]})))
 
 
-CARD = T.StructType([T.StructField("pos", T.IntegerType()), *CARD_SCHEMA.fields[2:]])
+def with_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None, column: str = "cards") -> DataFrame:
+    """``pages`` without ``html`` and with an array of its job cards, each with its place ``pos``."""
+    keep = [c for c in pages.columns if c not in ("html", column)]
+    found = _dom_cards(F.col("nodes")) if mode == "dom" else _selector_cards(F.col("nodes"), spec)
+    placed = F.transform(found, lambda c, i: F.struct(i.alias("pos"), *[c[n].alias(n) for n in CARD_FIELDS]))
+    return with_nodes(pages).select(*keep, placed.alias(column))
 
 
-def with_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None,
-               column: str = "cards") -> DataFrame:
-    """``pages`` without ``html`` and with an array of its job cards; a null html isn't parsed."""
-    keep = [f for f in pages.schema.fields if f.name not in ("html", column)]
-    names = [f.name for f in CARD.fields]
-    kind = pa.list_(pa.struct([pa.field("pos", pa.int32()), *(pa.field(n, pa.string()) for n in names[1:])]))
-
-    def run(batches):
-        compiled = _compiled(spec) if spec else None
-        for batch in batches:
-            cards = []
-            for html in batch.column("html").to_pylist():
-                if html is None:
-                    cards.append([])
-                    continue
-                root = parse(html)
-                found = _dom_cards(root) if mode == "dom" else _selector_cards(root, compiled)
-                cards.append([{"pos": i, **{n: c.get(n) for n in names[1:]}}
-                              for i, c in enumerate(found)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in keep), pa.array(cards, kind)],
-                names=[*(f.name for f in keep), column])
-    return pages.select(*[f.name for f in keep], "html").mapInArrow(
-        run, T.StructType([*keep, T.StructField(column, T.ArrayType(CARD))]))
+def extract_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None) -> DataFrame:
+    """Job cards of every page: one row per card, in page order (``pos``)."""
+    return with_cards(pages.select("page_id", "html"), mode, spec).select("page_id", F.inline("cards"))
 
 
 def card_job(c: Column, as_of, board: str = "indeed") -> list[Column]:
@@ -349,61 +242,32 @@ def dom_to_jobs(cards: DataFrame, as_of, board: str = "indeed") -> DataFrame:
 
 
 # ------------------------------------------------------------------ link list
-LINK_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("href", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("testid", T.StringType()),
-    T.StructField("container", T.StringType()),
-    T.StructField("parent_text", T.StringType()),
-    T.StructField("sections", T.StringType()),
-])
-
-
-def _container(node):
-    """Nearest ancestor carrying a data-testid or class, as 'tag|testid|class'."""
-    p = node.parent
-    while p is not None and p.tag != "[document]":
-        if p.attrs.get("data-testid") or p.attrs.get("class"):
-            return f"{p.tag}|{p.attrs.get('data-testid', '')}|{p.attrs.get('class', '')}"
-        p = p.parent
-    return None
-
-
-def _sections(node):
-    """Classes of all enclosing div and section elements, innermost first, one a line."""
-    out, p = [], node.parent
-    while p is not None:
-        if p.tag in ("div", "section") and p.attrs.get("class"):
-            out.append(p.attrs["class"])
-        p = p.parent
-    return "\n".join(out)
-
-
-def _links_batches(batches):
-    names = [f.name for f in LINK_SCHEMA.fields]
-    arrow_schema = pa.schema([pa.field("page_id", pa.int64()), pa.field("pos", pa.int32()),
-                              *(pa.field(n, pa.string()) for n in names[2:])])
-    for batch in batches:
-        out = {k: [] for k in names}
-        for pid, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
-            pos = 0
-            for n in parse(html).iter():
-                if n.tag != "a" or "href" not in n.attrs:
-                    continue
-                out["page_id"].append(pid)
-                out["pos"].append(pos)
-                out["href"].append(n.attrs["href"])
-                out["text"].append(n.get_text())
-                out["testid"].append(n.attrs.get("data-testid"))
-                out["container"].append(_container(n))
-                out["parent_text"].append(n.parent.get_text() if n.parent is not None else "")
-                out["sections"].append(_sections(n))
-                pos += 1
-        yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
-
-
-def extract_links(pages: DataFrame) -> DataFrame:
-    """Every ``<a href>`` of every page with its text and context."""
-    return pages.select("page_id", "html").mapInArrow(_links_batches, LINK_SCHEMA)
+LINK_FIELDS = ["href", "text", "testid", "container", "parent_text", "sections"]
+
+
+def _link(nodes: Column, n: Column, columns: list[str]) -> Column:
+    some = lambda x, name: F.coalesce(attr(x, name), F.lit(""))
+    around = F.transform(n["up"], lambda i: F.get(nodes, i))
+    holder = first(F.filter(around, lambda m: (some(m, "data-testid") != "") | (some(m, "class") != "")))
+    boxes = F.filter(around, lambda m: m["tag"].isin("div", "section") & (some(m, "class") != ""))
+    page = F.struct(F.lit(-1).alias("pos"), (F.size(nodes) - 1).alias("end"))
+    parent = let(F.get(nodes, n["parent"]), lambda p: F.struct(
+        F.coalesce(p["pos"], page["pos"]).alias("pos"), F.coalesce(p["end"], page["end"]).alias("end")))
+    fields = {
+        "href": attr(n, "href"), "text": text_of(nodes, n), "testid": attr(n, "data-testid"),
+        "container": let(holder, lambda m: F.when(m.isNotNull(), F.concat_ws(
+            "|", m["tag"], some(m, "data-testid"), some(m, "class")))),
+        "parent_text": let(parent, lambda p: text_of(nodes, p)),
+        "sections": F.array_join(F.transform(boxes, lambda m: attr(m, "class")), "\n")}
+    return F.struct(*[fields[c].alias(c) for c in columns])
+
+
+def extract_links(pages: DataFrame, columns: list[str] = LINK_FIELDS) -> DataFrame:
+    """Every ``<a href>`` of every page with its text and context: ``container`` is the nearest
+    element around it with a test id or class, as 'tag|testid|class', and ``sections`` the classes of all
+    divs and sections around it, innermost first, one a line.  Only the wanted columns are computed."""
+    nodes = F.col("nodes")
+    links = F.filter(nodes, lambda x: (x["tag"] == "a") & attr(x, "href").isNotNull())
+    found = F.transform(links, lambda n: _link(nodes, n, columns))
+    return with_nodes(pages.select("page_id", "html")).select("page_id", F.posexplode(found).alias("pos", "l")) \
+        .select("page_id", "pos", "l.*")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from jobloom.sources import embedded, extracted, html, pages
 
 AS_OF = dt.datetime(2001, 9, 1, 12, 0)
@@ -91,3 +93,45 @@ def test_hybrid_mode_falls_back_per_page(spark):
                                "page_id long, html string, payload string")
     out = {(r.page_id, r.title) for r in get_extractor("hybrid")(df, AS_OF).collect()}
     assert out == {(1, "Data Engineer"), (2, "LLM Dev")}
+
+
+ODD = ('top<div class="a b"><section class="s"><p>one<p data-testid="t">two <a href="/x">li<br>nk</a></section>'
+       '<a href>no value</a></b></div><li class="l"><a class="k" href="/y"/>tail<a>no link</a>')
+
+
+def test_link_context(spark):
+    df = spark.createDataFrame([(1, ODD), (2, None), (3, ""), (4, "<![x y"), (5, "<p" * 50)], "page_id long, html string")
+    got = {(r.page_id, r.pos): r for r in html.extract_links(df).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2)]
+    x, empty, y = got[1, 0], got[1, 1], got[1, 2]
+    assert (x.href, x.text, x.container, x.sections, x.parent_text) == ("/x", "link", "p|t|", "s\na b", "twolink")
+    assert (empty.href, empty.text, empty.container, empty.sections) == ("", "no value", "div||a b", "a b")
+    assert empty.parent_text == "onetwolinkno value"
+    assert (y.href, y.text, y.container, y.parent_text, y.testid) == ("/y", "", "li||l", "tailno link", None)
+    top = spark.createDataFrame([(1, "a<a href=z>b</a>c")], "page_id long, html string")
+    assert [(r.container, r.parent_text, r.sections) for r in html.extract_links(top).collect()] == [(None, "abc", "")]
+
+
+def test_selector_lists(spark):
+    htm = ('<div class="list"><div id="1"><p class="x y">A</p></div><span><div id="2"></div></span></div>'
+           '<div id="3" data-k="pre-mid-post"><ul><i><li>B</li></i></ul></div>')
+    nodes = html.with_nodes(spark.createDataFrame([(1, htm)], "page_id long, html string"))
+
+    def ids(selector):
+        found = F.transform(html.select(F.col("nodes"), selector), lambda n: F.coalesce(
+            html.attr(n, "id"), html.attr(n, "class"), n["tag"]))
+        return nodes.select(found.alias("f")).first().f
+    assert ids("div.list > div") == ["1"]
+    assert ids("div.list div") == ["1", "2"]
+    assert ids("ul li, p.x, div.list > span") == ["x y", "span", "li"]
+    assert ids("p.y") == ["x y"] and ids("p.z") == [] and ids("ul > li") == []
+    assert ids("[data-k*='mid']") == ids("div[data-k^=pre]") == ids("*[data-k$=post]") == ["3"]
+    assert ids("[data-k=pre]") == [] and ids("div > p.x, div > p.y") == ["x y"]
+
+
+def test_batches_keep_rows_and_columns(spark, monkeypatch):
+    monkeypatch.setattr(html, "BATCH_NODES", 3)
+    df = spark.range(20).select(F.col("id").alias("page_id"), F.concat(
+        F.lit("<b>x</b>"), F.repeat(F.lit("<a href=u>t</a>"), (F.col("id") % 4).cast("int"))).alias("html"))
+    assert html.extract_links(df, ["href"]).groupBy("page_id").count().orderBy("page_id").collect() == [
+        (i, i % 4) for i in range(20) if i % 4]
