@@ -2,7 +2,7 @@
 
 ``with_nodes`` hands out a page's elements and texts in document order (``mapInArrow``, standard-library
 parser, bounded batches).  A node knows its place ``pos``, the place ``end`` of the last node inside it
-and its ``parent``, so what lies inside an element is a slice.  Cards, fields and links are expressions
+and its ``parent``, so what lies inside an element is a range.  Cards, fields and links are expressions
 on that array: no shuffle, and a column that nobody asks for isn't computed.
 """
 
@@ -12,6 +12,7 @@ import functools
 import operator
 import re
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -39,19 +40,23 @@ class _Splitter(HTMLParser):
     def __init__(self, cols: dict):
         super().__init__(convert_charrefs=True)
         self.cols, self.first, self.open = cols, len(cols["pos"]), []
+        self.pos, self.ends, self.parents, self.tags, self.attrs, self.texts, self.ups = (cols[n] for n in NODE.names)
+
+    def updatepos(self, i, j):
+        return j                                    # line numbers aren't asked for
 
     def _add(self, tag, attrs, text) -> int:
-        c, pos = self.cols, len(self.cols["pos"]) - self.first
+        pos, opened = len(self.pos) - self.first, self.open
+        self.pos.append(pos)
+        self.ends.append(pos)
+        self.parents.append(opened[-1] if opened else -1)
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.texts.append(text)
         # an element with a link names the elements around it that have attributes, innermost first
-        up = [p for p in reversed(self.open) if c["attrs"][self.first + p]] if "href" in attrs else ()
-        for name, v in zip(NODE.names, (pos, pos, self.open[-1] if self.open else -1, tag, attrs, text, up)):
-            c[name].append(v)
+        self.ups.append([p for p in reversed(opened) if self.attrs[self.first + p]] if "href" in attrs else ())
         return pos
 
-    def _end(self, opened: list) -> None:
-        for p in opened:
-            self.cols["end"][self.first + p] = len(self.cols["pos"]) - self.first - 1
-
     def handle_startendtag(self, tag, attrs):
         return self._add(tag, {k: v or "" for k, v in attrs}, None)
 
@@ -61,15 +66,18 @@ class _Splitter(HTMLParser):
             self.open.append(pos)
 
     def handle_endtag(self, tag):
-        at = next((i for i in reversed(range(len(self.open)))
-                   if self.cols["tag"][self.first + self.open[i]] == tag), None)
-        if at is not None:
-            self._end(self.open[at:])
-            del self.open[at:]
+        first, tags, last = self.first, self.tags, len(self.pos) - self.first - 1
+        for i in range(len(self.open) - 1, -1, -1):
+            if tags[first + self.open[i]] == tag:
+                for p in self.open[i:]:
+                    self.ends[first + p] = last
+                del self.open[i:]
+                return
 
     def handle_data(self, data):
-        if data.strip():
-            self._add(None, {}, data.strip())
+        text = data.strip()
+        if text:
+            self._add(None, {}, text)
 
     def split(self, html: str) -> None:
         try:
@@ -77,17 +85,19 @@ class _Splitter(HTMLParser):
             self.close()
         except AssertionError:      # the parser's answer to a broken declaration: what came before counts
             pass
-        self._end(self.open)
+        for p in self.open:
+            self.ends[self.first + p] = len(self.pos) - self.first - 1
 
 
 def _arrow(cols: dict, offsets: list) -> pa.Array:
     """The nodes of a batch as an array column."""
     def cuts(lists):
-        return pa.array(functools.reduce(lambda a, x: a.append(a[-1] + len(x)) or a, lists, [0]), pa.int32())
+        return pa.array(list(accumulate(map(len, lists), initial=0)), pa.int32())
+    flat = chain.from_iterable
     ints = [pa.array(cols[n], pa.int32()) for n in ("pos", "end", "parent")]
-    attrs = pa.MapArray.from_arrays(cuts(cols["attrs"]), pa.array([k for a in cols["attrs"] for k in a], pa.string()),
-                                    pa.array([v for a in cols["attrs"] for v in a.values()], pa.string()))
-    up = pa.ListArray.from_arrays(cuts(cols["up"]), pa.array([p for u in cols["up"] for p in u], pa.int32()))
+    attrs = pa.MapArray.from_arrays(cuts(cols["attrs"]), pa.array(list(flat(cols["attrs"])), pa.string()),
+                                    pa.array(list(flat(a.values() for a in cols["attrs"])), pa.string()))
+    up = pa.ListArray.from_arrays(cuts(cols["up"]), pa.array(list(flat(cols["up"])), pa.int32()))
     values = [*ints, pa.array(cols["tag"], pa.string()), attrs, pa.array(cols["text"], pa.string()), up]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, NODE.names))
 
@@ -121,12 +131,22 @@ def first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
 
+def _within(nodes: Column, el: Column, f, kind: T.DataType) -> Column:
+    """``f`` of each node inside an element, by places: the rest of the page isn't touched."""
+    def of(e):
+        places = F.sequence(e["pos"] + 1, e["end"])     # counts down where nothing is inside
+        return F.when(e["end"] > e["pos"], F.transform(places, lambda i: f(F.get(nodes, i)))) \
+            .when(e.isNotNull(), F.array().cast(T.ArrayType(kind)))
+    return let(el, of)
+
+
 def inside(nodes: Column, el: Column) -> Column:
-    return F.slice(nodes, el["pos"] + 2, el["end"] - el["pos"])
+    return _within(nodes, el, lambda n: n, NODE)
 
 
 def text_of(nodes: Column, el: Column) -> Column:
-    return F.array_join(F.transform(inside(nodes, el), lambda n: n["text"]), "")
+    """The joined texts inside an element; null without one."""
+    return F.array_join(_within(nodes, el, lambda n: n["text"], _S), "")
 
 
 def attr(n: Column, name: str) -> Column:
