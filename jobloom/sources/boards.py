@@ -29,7 +29,7 @@ def _item(c) -> Column:
 
 def _css(pg: DataFrame, as_of) -> DataFrame:
     cards = html.with_cards(pg, "selector", pages.CARD_SELECTOR_SPEC)
-    rows = cards.select("page_id", F.explode("cards").alias("c"))
+    rows = cards.select("page_id", F.explode_outer("cards").alias("c")).where(F.col("c").isNotNull())
     return extracted.items_to_jobs(
         rows.select("page_id", F.col("c.pos").alias("pos"), _item(F.col("c")).alias("it")), as_of)
 
@@ -47,7 +47,7 @@ def _hybrid(pg: DataFrame, as_of) -> DataFrame:
                    lambda r: F.coalesce(py_strip(r["it"]["title"]), F.lit("")) != "")
     p = p.withColumn("css", css).withColumn("use_llm", F.lit(True))
     rest = extracted.payload_items(F.when(F.size("css") == 0, F.col("payload")), F.col("use_llm"))
-    rows = p.select("page_id", F.explode(F.concat("css", rest)).alias("r"))
+    rows = p.select("page_id", F.explode_outer(F.concat("css", rest)).alias("r")).where(F.col("r").isNotNull())
     return extracted.items_to_jobs(
         rows.select("page_id", F.col("r.pos").alias("pos"), F.col("r.it").alias("it")), as_of)
 

@@ -243,7 +243,9 @@ def with_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None, co
 
 def extract_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None) -> DataFrame:
     """Job cards of every page: one row per card, in page order (``pos``)."""
-    return with_cards(pages.select("page_id", "html"), mode, spec).select("page_id", F.inline("cards"))
+    # an outer generator: a plain one has the optimiser test the array first, by computing it again
+    return with_cards(pages.select("page_id", "html"), mode, spec) \
+        .select("page_id", F.inline_outer("cards")).where(F.col("pos").isNotNull())
 
 
 def card_job(c: Column, as_of, board: str = "indeed") -> list[Column]:
@@ -289,5 +291,5 @@ def extract_links(pages: DataFrame, columns: list[str] = LINK_FIELDS) -> DataFra
     nodes = F.col("nodes")
     links = F.filter(nodes, lambda x: (x["tag"] == "a") & attr(x, "href").isNotNull())
     found = F.transform(links, lambda n: _link(nodes, n, columns))
-    return with_nodes(pages.select("page_id", "html")).select("page_id", F.posexplode(found).alias("pos", "l")) \
-        .select("page_id", "pos", "l.*")
+    return with_nodes(pages.select("page_id", "html")).select("page_id", F.posexplode_outer(found).alias("pos", "l")) \
+        .where(F.col("pos").isNotNull()).select("page_id", "pos", "l.*")

@@ -73,7 +73,8 @@ def jobs_or_cards(pages: DataFrame, as_of) -> DataFrame:
     cards = F.transform("cards", lambda c: F.struct(c["pos"].alias("pos"), *html.card_job(c, as_of)))
     return p.select("page_id", *[c for c in ("search_id", "page_no") if c in pages.columns],
                     F.when(F.size("jobs") > 0, "embedded").otherwise("dom").alias("source"),
-                    F.explode(F.concat("jobs", cards)).alias("j")).select("*", "j.*").drop("j")
+                    F.explode_outer(F.concat("jobs", cards)).alias("j")) \
+        .where(F.col("j").isNotNull()).select("*", "j.*").drop("j")
 
 
 def search_results(found: DataFrame, max_results: int) -> DataFrame:
