@@ -433,6 +433,13 @@ register("members_of_company", f"""SELECT id, company_id, name, city, country,
   row_number() OVER (ORDER BY {O3}) AS pos FROM team_members WHERE company_id = '0'""")
 register("members_of_company_country", f"""SELECT id, company_id, name, city, country,
   row_number() OVER (ORDER BY {O3}) AS pos FROM team_members WHERE company_id = '0' AND country = 'Taiwan'""")
+register_store("job_by_id_clustered", f"SELECT {LIST} FROM st_upd WHERE id = (SELECT arg_min(id, seq) FROM st_upd)")
+register_store("jobs_of_company_clustered", f"""SELECT {LIST}, row_number() OVER (ORDER BY {O1}) AS pos
+FROM st_upd WHERE company_id = '1'""")
+register_store("recent_jobs_of_company", f"""SELECT {LIST}, row_number() OVER (ORDER BY {O1}) AS pos
+FROM st_upd WHERE company_id = '1' AND posted_date >= TIMESTAMP '2001-08-01 00:00:00'""")
+register("members_of_company_clustered", f"""SELECT id, company_id, name, city, country,
+  row_number() OVER (ORDER BY {O3}) AS pos FROM team_members WHERE company_id = '0' AND country = 'Taiwan'""")
 register("remote_jobs", "SELECT seq, id, title, location FROM jobs WHERE contains(lower(location), 'remote')")
 register_store("list_view", "SELECT id, title, company, location, url, posted_date, board_source, ranking_score FROM st_upd")
 register("enriched_assembly", """SELECT seq, id, company_id, company_size, industry, headquarters_location,

@@ -53,6 +53,10 @@ QUERIES = {
     "jobs_of_company": serving.jobs_of_company,
     "members_of_company": serving.members_of_company,
     "members_of_company_country": serving.members_of_company_country,
+    "job_by_id_clustered": serving.job_by_id_clustered,
+    "jobs_of_company_clustered": serving.jobs_of_company_clustered,
+    "recent_jobs_of_company": serving.recent_jobs_of_company,
+    "members_of_company_clustered": serving.members_of_company_clustered,
     "remote_jobs": serving.remote_jobs,
     "list_view": serving.list_view,
     "enriched_assembly": serving.enriched_assembly,

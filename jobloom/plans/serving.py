@@ -125,6 +125,35 @@ def members_of_company_country(spark: SparkSession, sf: str) -> DataFrame:
     return serve.in_order(m.select("id", "company_id", "name", "city", "country"), serve.o3()[1:])
 
 
+def job_by_id_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """F9 on the clustered layout."""
+    target = _store(spark, sf).select(F.min_by("id", "seq")).first()[0]
+    return stored.clustered(spark, sf, "jobs", {"id": (target, target)}).select(*serve.LIST_COLUMNS)
+
+
+def jobs_of_company_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """F10 on the clustered layout."""
+    s = stored.clustered(spark, sf, "jobs", {"company_id": (LOOKUP_COMPANY, LOOKUP_COMPANY)})
+    return serve.in_order(s.select(*serve.LIST_COLUMNS), serve.o1())
+
+
+RECENT = "2001-08-01 00:00:00"
+
+
+def recent_jobs_of_company(spark: SparkSession, sf: str) -> DataFrame:
+    """F10 within a range of days: two clustered columns prune together."""
+    s = stored.clustered(spark, sf, "jobs", {"company_id": (LOOKUP_COMPANY, LOOKUP_COMPANY),
+                                             "posted_date": (RECENT, None)})
+    return serve.in_order(s.select(*serve.LIST_COLUMNS), serve.o1())
+
+
+def members_of_company_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """F11 on the clustered layout: one country of the largest company."""
+    m = stored.clustered(spark, sf, "members", {"company_id": (HOT_COMPANY, HOT_COMPANY),
+                                                "country": ("Taiwan", "Taiwan")})
+    return serve.in_order(m.select("id", "company_id", "name", "city", "country"), serve.o3()[1:])
+
+
 def remote_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """remote-only listings."""
     from jobloom.functions.web import remote_type

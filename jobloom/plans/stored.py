@@ -16,10 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import jobloom
-from jobloom.operators import search_index
+from jobloom.operators import layout, search_index
 from jobloom.plans import base, maintenance
 from jobloom.session import shared_dir
-from jobloom.sources.tables import read_stored, write_stored
+from jobloom.sources.tables import STORED, read_stored, write_stored
 
 INPUTS = ("orders", "part", "supplier", "customer", "nation")
 
@@ -102,3 +102,15 @@ def job_index(spark: SparkSession, sf: str) -> str:
     folder = shared_dir(spark, f"jobloom/store-{state(spark, sf)}")
     return published(spark, folder, "job-index",
                      lambda at, own: search_index.add(jobs(spark, sf), f"{at}/{own}"))
+
+
+# The columns that lookups go by.
+CLUSTERED = {"jobs": ["company_id", "id", "posted_date"], "members": ["company_id", "id", "country"]}
+
+
+def clustered(spark: SparkSession, sf: str, name: str, wanted: dict) -> DataFrame:
+    """The rows of a stored table whose columns lie within ``wanted``, from its clustered copy."""
+    folder = shared_dir(spark, f"jobloom/store-{state(spark, sf)}")
+    path = published(spark, folder, f"{name}-clustered", lambda at, own: layout.write(
+        store(spark, sf, name), f"{at}/{own}", CLUSTERED[name]))
+    return layout.lookup(spark, path, STORED[name], CLUSTERED[name], wanted)
