@@ -11,7 +11,8 @@ from tools.compare import digest, duck, row_from_spark
 FAST = ["ranked_top50", "ranked_all", "job_ids", "fuzzy_keys", "salary_parse", "relative_dates",
         "url_domains", "member_cities", "store_insert", "company_upsert", "member_replace",
         "keyword_search", "company_360", "country_rollup", "member_preview", "embedded_jobs",
-        "dom_jobs", "extracted_jobs", "vendor_a_people", "employer_match", "dedup_jobs", "page_links"]
+        "dom_jobs", "extracted_jobs", "vendor_a_people", "employer_match", "dedup_jobs", "page_links",
+        "job_by_id_clustered", "jobs_of_company_clustered", "recent_jobs_of_company", "members_of_company_clustered"]
 
 
 @pytest.fixture(scope="module")
