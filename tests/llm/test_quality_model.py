@@ -89,3 +89,13 @@ def test_probabilities_of_a_context_add_up():
     context = key[own][0] >> np.uint64(8)
     every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert np.exp(shard(every).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_quality_labels_of_held_out_documents(spark):
+    """Neither the untrusted documents nor the held-out trusted ones train the model."""
+    from jobloom.llm.queries import op1_quality_classifier
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    found = op1_quality_classifier(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
+    share = {r.quality: r.share for r in found.groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.97 and share[0] <= 0.3
