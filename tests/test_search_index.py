@@ -86,3 +86,37 @@ def test_index_without_trigrams(spark):
     folder = shared_dir(spark, f"jobloom/test-index-{uuid.uuid4().hex}")
     S.add(spark.createDataFrame([("1", None, "ab", "", 1)], SCHEMA), folder)
     assert S.search(spark, folder, "abc").count() == 0 and S.search(spark, folder, "ab").count() == 1
+
+
+def test_postings_are_made_in_the_tasks_that_read_the_rows(spark, monkeypatch):
+    """Lists leave a task whole: no row for each trigram of each document is shuffled."""
+    monkeypatch.setattr(S, "RUN_CHARS", 500)                 # several runs of a block
+    folder = shared_dir(spark, f"jobloom/test-index-{uuid.uuid4().hex}")
+    frame = spark.createDataFrame(rows(300, 3) + [("x", "a\0bc", "😀é日x", None, 1)], SCHEMA)
+    S.add(frame.coalesce(1), folder)
+    lists = spark.read.parquet(f"{folder}/postings").collect()
+    want = {}
+    for r in S.indexed_rows(spark, folder).collect():
+        for text in (r.title, r.company, r.description):
+            low = "".join(c.lower() if c < "\x80" else c for c in text or "")
+            for i in range(len(low) - 2):
+                want.setdefault(low[i:i + 3], set()).add(r.doc)
+    got = {}
+    for x in lists:
+        docs, at = set(), 0
+        for gap in x.gaps:
+            at += gap
+            docs.add((x.block << S.BLOCK_BITS) + at)
+        assert len(docs) == x.n and not docs & got.get(x.gram, set())
+        got.setdefault(x.gram, set()).update(docs)
+    assert got == want
+    assert [r.id for r in S.search(spark, folder, "😀é日").collect()] == ["x"]
+
+
+def test_candidates_are_bits_of_blocks(spark, index):
+    found = S.candidates(spark, index[0], ["rin", "ing"]).collect()
+    docs = {(f.gen, (f.block << S.BLOCK_BITS) + i) for f in found for i in range(1 << S.BLOCK_BITS)
+            if f.bits[i >> 6] >> (i & 63) & 1}
+    assert docs == {(r.gen, r.doc) for r in S.indexed_rows(spark, index[0]).collect()
+                    if all(any(g in (c or "").lower() for c in (r.title, r.company, r.description))
+                           for g in ("rin", "ing"))}
