@@ -27,9 +27,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _shift(now: Column, text: Column) -> Column:
+def first_int(text: Column) -> Column:
+    return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
+
+
+def _shift(now: Column, text: Column, n: Column | None = None) -> Column:
     """Shared tail of rules A and B: first integer and the unit word."""
-    n = F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
+    n = first_int(text) if n is None else n
     has = lambda w: text.contains(w)
     return (F.when(n.isNull(), now)
             .when(has("hour"), F.timestamp_add("HOUR", -n, now))
@@ -46,12 +50,22 @@ def relative_date_a(text, as_of) -> Column:
     return F.when(t.isin("", "just posted", "today"), now).otherwise(_shift(now, t))
 
 
+def text_b(text) -> Column:
+    """The text that rule B reads, without any 'posted'."""
+    return py_strip(F.replace(py_strip(F.lower(F.coalesce(_c(text), F.lit("")))),
+                              F.lit("posted"), F.lit("")))
+
+
+def date_of_text_b(t: Column, n: Column, as_of) -> Column:
+    """X6 of a text of ``text_b`` and its first integer."""
+    now = as_of_col(as_of)
+    return F.when((t == "") | (t == "just") | t.contains("today"), now).otherwise(_shift(now, t, n))
+
+
 def relative_date_b(text, as_of) -> Column:
     """X6 (extraction-item rule): drop every 'posted', then rule A's tail."""
-    now = as_of_col(as_of)
-    t = py_strip(F.replace(py_strip(F.lower(F.coalesce(_c(text), F.lit("")))),
-                           F.lit("posted"), F.lit("")))
-    return F.when((t == "") | (t == "just") | t.contains("today"), now).otherwise(_shift(now, t))
+    t = text_b(text)
+    return date_of_text_b(t, first_int(t), as_of)
 
 
 def micros(ts) -> Column:

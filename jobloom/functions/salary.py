@@ -30,8 +30,11 @@ def parse_salary(text, given_min=None, given_max=None) -> Column:
     Pre-parsed values win when ``given_min`` is present (max falls back to min
     when missing or zero); else amounts are parsed from the text.
     """
-    t = F.coalesce(_c(text), F.lit(""))
-    vals = salary_values(t)
+    return salary_of_values(salary_values(F.coalesce(_c(text), F.lit(""))), given_min, given_max)
+
+
+def salary_of_values(vals: Column, given_min=None, given_max=None) -> Column:
+    """X7 from the amounts of a text."""
     parsed_min = F.when(F.size(vals) > 0, F.array_min(vals))
     parsed_max = F.when(F.size(vals) > 0, F.array_max(vals))
     if given_min is None:

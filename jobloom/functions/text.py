@@ -9,7 +9,7 @@ from jobloom.constants import (LEGAL_SUFFIX_ALTERNATIVES, PY_SPACE_CLASS, PY_WOR
 
 _NON_WORD = f"[^{PY_WORD_CLASS}{PY_SPACE_CLASS}]"
 _SPACE_RUN = f"[{PY_SPACE_CLASS}]+"
-_EDGE_SPACE = f"^[{PY_SPACE_CLASS}]+|[{PY_SPACE_CLASS}]+$"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())     # the characters of PY_SPACE_CLASS
 
 
 def _c(x) -> Column:
@@ -18,7 +18,7 @@ def _c(x) -> Column:
 
 def py_strip(col) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(col), _EDGE_SPACE, "")
+    return F.btrim(_c(col), F.lit(_SPACES))
 
 
 def normalise_text(col) -> Column:
