@@ -69,9 +69,7 @@ def extracted_dirty(spark: SparkSession, sf: str) -> DataFrame:
 def search_results(spark: SparkSession, sf: str, max_results: int = 50) -> DataFrame:
     """The results of each search: its pages in order up to the first page without
     jobs, cut at ``max_results`` jobs."""
-    sp = _search_pages(spark, sf)
-    found = embedded.embedded_jobs(sp, AS_OF).join(
-        sp.select("page_id", "search_id", "page_no"), "page_id")
+    found = embedded.embedded_jobs(_search_pages(spark, sf), AS_OF, keep=("page_id", "search_id", "page_no"))
     return pages.search_results(found, max_results).select("search_id", "rank", "id", "title")
 
 

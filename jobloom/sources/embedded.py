@@ -45,15 +45,13 @@ def embedded_payload(pages: DataFrame) -> DataFrame:
                         total.alias("total_count"))
 
 
-def _item(raw: Column) -> Column:
-    """(it, reason) of one element's JSON.
+def _item(raw: Column, j: Column, keys: Column) -> Column:
+    """(it, reason) of one element, its JSON read as ``j`` and the keys that it has.
 
     A key that is missing takes its default; a key that is there with null stays null.  ``reason``
     says why an element can't become a job (null: it can): it is no object, its location is null
     without a remote flag, its time is null, or it has neither snippet nor snippet items.
     """
-    j = F.from_json(raw, ITEM)
-    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
     has = lambda k: F.array_contains(keys, k)
 
     def given(default, *names):
@@ -79,11 +77,23 @@ def _item(raw: Column) -> Column:
     return F.struct(it.alias("it"), reason.alias("reason"))
 
 
-def embedded_items(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, it, reason): every element of every page's list in page order."""
-    p = embedded_payload(pages).select("page_id", F.posexplode("results").alias("pos", "raw"))
-    p = p.select("page_id", "pos", _item(F.col("raw")).alias("x"))
-    return p.select("page_id", "pos", "x.it", "x.reason")
+def embedded_items(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(page_id, pos, it, reason): every element of every page's list in page order, with the
+    columns ``keep`` of its page."""
+    # an outer generator: a plain one has the optimiser test the list first, by parsing it again;
+    # and nothing that is asked of an item is pushed below it, to parse the item again
+    return pages.select(*keep, F.explode_outer(_items(F.col("html"))).alias("x")) \
+        .where(F.col("x").isNotNull()).select(*keep, "x.pos", "x.x.it", "x.x.reason")
+
+
+def _items(html: Column) -> Column:
+    """(pos, (it, reason)) of every element of a page's list; an element is parsed once."""
+    def item(r):
+        j, keys = F.from_json(r, ITEM), F.coalesce(F.json_object_keys(r), F.array().cast("array<string>"))
+        return F.get(F.transform(F.array(F.struct(j.alias("j"), keys.alias("keys"))),
+                                 lambda p: _item(r, p["j"], p["keys"])), F.lit(0))
+    raw = F.coalesce(_results(html), F.array().cast("array<string>"))
+    return F.transform(raw, lambda r, i: F.struct(i.alias("pos"), item(r).alias("x")))
 
 
 def job_of(it: Column, as_of, board: str = "indeed") -> list[Column]:
@@ -99,9 +109,7 @@ def job_of(it: Column, as_of, board: str = "indeed") -> list[Column]:
 def with_jobs(pages: DataFrame, as_of, board: str = "indeed", column: str = "jobs") -> DataFrame:
     """``pages`` with an array of the jobs of each page's list (empty without any): the list is
     parsed once for a page, and a page's jobs are as many as it shows."""
-    raw = F.coalesce(_results(F.col("html")), F.array().cast("array<string>"))
-    numbered = F.transform(raw, lambda r, i: F.struct(i.alias("pos"), _item(r).alias("x")))
-    usable = F.filter(numbered, lambda r: r["x"]["reason"].isNull())
+    usable = F.filter(_items(F.col("html")), lambda r: r["x"]["reason"].isNull())
     return pages.withColumn(column, F.transform(usable, lambda r: F.struct(
         r["pos"].alias("pos"), *job_of(r["x"]["it"], as_of, board))))
 
@@ -111,10 +119,12 @@ def embedded_rejects(pages: DataFrame) -> DataFrame:
     return embedded_items(pages).where("reason IS NOT NULL").select("page_id", "pos", "reason")
 
 
-def embedded_jobs(pages: DataFrame, as_of, board: str = "indeed") -> DataFrame:
-    """S2 + S4: one job row per usable embedded item, in page order (``pos``)."""
+def embedded_jobs(pages: DataFrame, as_of, board: str = "indeed",
+                  keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """S2 + S4: one job row per usable embedded item, in page order (``pos``), with the columns
+    ``keep`` of its page."""
     it = F.col("it")
-    return embedded_items(pages).where("reason IS NULL").select(
-        "page_id", "pos", *job_of(it, as_of, board),
+    return embedded_items(pages, keep).where("reason IS NULL").select(
+        *keep, "pos", *job_of(it, as_of, board),
         it.salary.getField("min").try_cast("double").alias("salary_min"),
         it.salary.getField("max").try_cast("double").alias("salary_max"))

@@ -81,12 +81,12 @@ def search_results(found: DataFrame, max_results: int) -> DataFrame:
     """Jobs of each search in page order (``rank``), up to the first page that has none
     (pages count from 0) and at most ``max_results``; ``found`` has search_id, page_no, pos.
 
-    Whether a page ends a search is known from the distinct pages, a handful for each search; the
-    rank is a top-k per search, limited before the shuffle."""
+    ``found`` is read and shuffled once: a page's number among the pages of its search and the
+    rank are windows over the same partitions, which a search's rows pass in order."""
     order = Window.partitionBy("search_id").orderBy("page_no")
-    reached = (found.select("search_id", "page_no").distinct()
-               .withColumn("_n", F.row_number().over(order) - 1)
+    reached = (found.where(F.col("search_id").isNotNull())
+               .withColumn("_n", F.dense_rank().over(order) - 1)
                .where(F.col("_n") == F.col("page_no")).drop("_n"))
     ranked = Window.partitionBy("search_id").orderBy("page_no", "pos")
-    return (found.join(reached, ["search_id", "page_no"]).withColumn("rank", F.row_number().over(ranked))
+    return (reached.withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= max_results))
