@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 
@@ -33,6 +34,26 @@ CARD_FIELDS = ["title", "job_key", "company", "location", "description", "posted
 
 
 # ------------------------------------------------------------------ pages → nodes
+# What stands between < and > in a tag, comment or doctype, written as most pages write them.  The parser
+# reads these in the same way, but several times slower; whatever looks otherwise is left to it.
+_HEAD = re.compile(r"""(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][-a-zA-Z0-9_:.]*(?:="[^"]*")?)*)[ \t\n\r\f]*(/?)
+    |!--[^-]*--|![dD][oO][cC][tT][yY][pP][eE].*""", re.VERBOSE | re.DOTALL)
+_ATTR = re.compile(r'([a-zA-Z][-a-zA-Z0-9_:.]*)(?:="([^"]*)")?')
+_CDATA_END = {t: re.compile(rf"/\s*{t}\s*>", re.I) for t in HTMLParser.CDATA_CONTENT_ELEMENTS}
+_NO_ATTRS, _NO_UP = {}, ()
+
+
+@functools.lru_cache(4096)
+def _head(text: str) -> tuple | None:
+    """(end tag?, tag, attributes, holds nothing?); no tag for what counts for nothing, None for the parser's."""
+    m = _HEAD.fullmatch(text)
+    if not m or m[1] and (m[3] or m[4]):
+        return None
+    tag = m[2] and m[2].lower()
+    attrs = {k.lower(): unescape(v) for k, v in _ATTR.findall(m[3])} if m[3] else _NO_ATTRS
+    return bool(m[1]), tag, attrs, bool(m[4]) or tag in VOID
+
+
 class _Splitter(HTMLParser):
     """Appends a page's nodes to the columns of a batch.  An end tag ends all elements opened since its
     start tag, one without a start tag is skipped, and the page's end ends the rest."""
@@ -79,9 +100,63 @@ class _Splitter(HTMLParser):
         if text:
             self._add(None, {}, text)
 
+    def _plain(self, html: str) -> int:
+        """Adds the nodes of the page's plain beginning; the place where the parser has to go on."""
+        first, opened, tags, ends, n = self.first, self.open, self.tags, self.ends, 0
+        pos, parent, attrs_of, texts, up = (c.append for c in (self.pos, self.parents, self.attrs, self.texts, self.ups))
+        parts, k, text = html.split("<"), 0, None
+        while True:
+            if k:
+                head, whole, text = parts[k].partition(">")
+                known = _head(head) if whole else None
+                if known is None:
+                    break
+                close, tag, attrs, empty = known
+                cdata = _CDATA_END.get(tag) if not close and not empty else None
+                if cdata:                           # only its own end tag ends it
+                    j = next((j for j in range(k + 1, len(parts)) if cdata.match(parts[j])), None)
+                    if j is None or not parts[j].startswith(f"/{tag}>"):
+                        break
+                if close:
+                    if opened and tags[first + opened[-1]] == tag:
+                        ends[first + opened.pop()] = n - 1
+                    else:
+                        self.handle_endtag(tag)
+                elif tag:
+                    pos(n)
+                    ends.append(n)
+                    parent(opened[-1] if opened else -1)
+                    tags.append(tag)
+                    attrs_of(attrs)
+                    texts(None)
+                    up([p for p in reversed(opened) if self.attrs[first + p]] if "href" in attrs else _NO_UP)
+                    if not empty:
+                        opened.append(n)
+                    n += 1
+                if cdata:
+                    text, k = "<".join([text, *parts[k + 1:j]]), j - 1
+                elif "&" in text:
+                    text = unescape(text)
+            else:
+                text = unescape(parts[0])
+            text = text.strip()
+            if text:
+                pos(n)
+                ends.append(n)
+                parent(opened[-1] if opened else -1)
+                tags.append(None)
+                attrs_of(_NO_ATTRS)
+                texts(text)
+                up(_NO_UP)
+                n += 1
+            k += 1
+            if k == len(parts):
+                return len(html)
+        return sum(map(len, parts[:k])) + k - 1
+
     def split(self, html: str) -> None:
         try:
-            self.feed(html)
+            self.feed(html[self._plain(html):])
             self.close()
         except AssertionError:      # the parser's answer to a broken declaration: what came before counts
             pass
@@ -144,6 +219,11 @@ def inside(nodes: Column, el: Column) -> Column:
     return _within(nodes, el, lambda n: n, NODE)
 
 
+def elements(nodes: Column) -> Column:
+    """Without the texts, which no test of a tag or an attribute finds."""
+    return F.filter(nodes, lambda n: n["tag"].isNotNull())
+
+
 def text_of(nodes: Column, el: Column) -> Column:
     """The joined texts inside an element; null without one."""
     return F.array_join(_within(nodes, el, lambda n: n["text"], _S), "")
@@ -218,7 +298,7 @@ def _dom_cards(nodes: Column) -> Column:
                 "location": text(is_a("div", data_testid="text-location"), "Remote"),
                 "description": text(is_a("div", "job-snippet"), ""),
                 "posted_text": text(is_a("span", "date"), "")})))
-        return let(inside(nodes, el), of)
+        return let(elements(inside(nodes, el)), of)
     cards = F.filter(nodes, lambda n: (n["tag"] == "div") & attr(n, "class").contains("job_seen_beacon"))
     return F.filter(F.transform(cards, card), lambda c: c.isNotNull())
 
@@ -230,7 +310,7 @@ def _selector_cards(nodes: Column, spec: dict) -> Column:
             else (lambda hit: text_of(nodes, hit))
         return let(first(select(inner, f["selector"])), value)
     return F.transform(select(nodes, spec["base"]), lambda el: let(
-        inside(nodes, el), lambda inner: _card({f["name"]: field(inner, f) for f in spec["fields"]})))
+        elements(inside(nodes, el)), lambda inner: _card({f["name"]: field(inner, f) for f in spec["fields"]})))
 
 
 def with_cards(pages: DataFrame, mode: str = "dom", spec: dict | None = None, column: str = "cards") -> DataFrame:

@@ -1,6 +1,9 @@
 """Extraction (S2-S8, S14, X24): parsers on hand-made payloads."""
 
 import datetime as dt
+import io
+import random
+from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
@@ -135,3 +138,53 @@ def test_batches_keep_rows_and_columns(spark, monkeypatch):
         F.lit("<b>x</b>"), F.repeat(F.lit("<a href=u>t</a>"), (F.col("id") % 4).cast("int"))).alias("html"))
     assert html.extract_links(df, ["href"]).groupBy("page_id").count().orderBy("page_id").collect() == [
         (i, i % 4) for i in range(20) if i % 4]
+
+
+def _nodes(page, plain=True):
+    cols = {n: [] for n in html.NODE.names}
+    splitter = html._Splitter(cols)
+    if not plain:
+        splitter._plain = lambda page: 0
+    splitter.split(page)
+    return {k: [list(x) if k == "up" else x for x in v] for k, v in cols.items()}
+
+
+def test_plain_pages_never_reach_the_parser():
+    page = "<!DOCTYPE html><html><body><script>a = '<p>';</script><!-- c -->" + CARD + "</body></html>"
+    assert html._Splitter({n: [] for n in html.NODE.names})._plain(page) == len(page)
+    assert _nodes(page) == _nodes(page, plain=False) and len(_nodes(page)["pos"]) > 20
+
+
+def test_pages_are_split_as_the_parser_splits_them():
+    bits = ["<div>", "<DIV class=\"a b\">", "</div>", "</ div>", "<a href=\"x&amp;y\">", "</a>", "<a href=u>", " a &lt; b",
+            "&", "<", "< b", "<br/>", "<img src=\"a>b\" alt>", "<input disabled>", "<input Disabled a = \"1\">",
+            "<script>", "</script>", "</SCRIPT >", "</ script>", "<style a=\"1\">x", "</style>", "<!--", "-->", "<!-- c -->",
+            "<!---->", "<!doctype html>", "<![CDATA[x]]>", "<?pi?>", "</>", "</p x=\"1\">", "<p id=\"1\" id=\"2\">", "'", "\"",
+            "<p\x0bid=\"1\">", "<p id=\"1\" class=\"c\">", "<a href=\"x\" />", "<x-y>", "<p a=\"b\nc\">", "\x00", "<!doctype"]
+    rng = random.Random(3)
+    for _ in range(5000):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 12)))
+        assert _nodes(page) == _nodes(page, plain=False), page
+
+
+def _plan(df):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("extended")
+    return out.getvalue().split("== Physical Plan ==")[1]
+
+
+def test_payloads_and_lists_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, True, "[]", "s", 0, "")],
+                               "page_id long, use_llm boolean, payload string, search_id string, page_no int, html string")
+    for parsed, n in ((extracted.parse_payload(df), 3), (extracted.items_to_jobs(extracted.parse_payload(df), AS_OF), 3),
+                      (embedded.embedded_jobs(df, AS_OF), 2)):
+        plan = _plan(parsed)
+        assert 1 <= plan.count("from_json(") <= n and "size(" not in plan.split("Generate")[1].split("from_json(")[0]
+
+
+def test_found_jobs_are_read_once_for_the_results(spark):
+    found = embedded.embedded_jobs(spark.createDataFrame([(1, "s", 0, "")], "page_id long, search_id string, page_no int, html string"),
+                                   AS_OF, keep=("page_id", "search_id", "page_no"))
+    plan = _plan(pages.search_results(found, 5))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
