@@ -46,11 +46,14 @@ STORE_COLUMNS = [n for n in STORE_SCHEMA.names if n != "scraped_at"]
 
 def jobs_of_pages(pg: DataFrame, as_of) -> DataFrame:
     """Job rows of landed pages with ``search_id`` and a unique ``seq`` in page order."""
-    of_search = pages.jobs_or_cards(pg, as_of)
+    # written before the sort, whose sampling for its ranges would read the pages' contents once more
+    of_search = materialize(pages.jobs_or_cards(pg, as_of).select("page_id", "pos", *[
+        c for c in STORE_COLUMNS if c not in ("page_id", "pos")]), "ingest-pages")
     # written once, as ids given after a sort have to stay as they are
     out = materialize(of_search.orderBy("page_id", "pos").select(
         *STORE_COLUMNS, F.monotonically_increasing_id().alias("seq"), as_of_col(as_of).alias("scraped_at")),
         "ingest")
+    discard(of_search)
     out.ingested = out
     return out
 

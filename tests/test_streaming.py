@@ -117,3 +117,16 @@ def test_known_ids_are_read_from_the_touched_buckets(spark):
     assert known.count() < 60
     stored = [r.id for r in spark.read.parquet(store).select("id").collect()]
     assert len(stored) == 502 and stored.count("new") == 1 and stored.count(None) == 1
+
+
+def test_pages_are_parsed_before_the_sort(spark, landing, monkeypatch):
+    """A sort samples its input: what it sorts has been written already."""
+    written, plain = [], ingest.materialize
+
+    def seen(df, name="stage"):
+        written.append((name, explained(df)))
+        return plain(df, name)
+    monkeypatch.setattr(ingest, "materialize", seen)
+    jobs_of_pages(spark.read.parquet(f"{landing}/landing"), base.AS_OF)
+    assert [n for n, _ in written] == ["ingest-pages", "ingest"]
+    assert "from_json" not in written[1][1] and "MapInArrow" in written[0][1] and "MapInArrow" not in written[1][1]
