@@ -23,6 +23,11 @@ def as_of_col(as_of) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def posted(text: Column, as_of) -> Column:
+    """The posting date, or without ``as_of`` the text that ``relative_date_a`` makes it of later."""
+    return text.alias("posted_text") if as_of is None else relative_date_a(text, as_of).alias("posted_date")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

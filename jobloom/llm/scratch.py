@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.session import shared_dir
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def shuffles_released(spark: SparkSession):
-    """Shuffle files of the jobs run inside go when their job ends, not when the driver
-    happens to collect garbage; what follows reads the written tables."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+from jobloom.session import shared_dir, shuffles_released
 
 
 class Scratch:

@@ -152,7 +152,8 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
     """Keep the greedy-first row of every duplicate cluster.
 
     ``order_col`` must be unique (input order).  Returns the kept input rows.  Every round decides at
-    least the best job of each open cluster, so the rounds end.
+    least the best job of each open cluster, so the rounds end.  ``kept_keys`` of the result is the
+    written table of the kept jobs' ``order_col``.
     """
     spark = jobs.sparkSession
     checkpoint_dir(spark)
@@ -163,6 +164,7 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
     contested = keyed.join(shared, ["kt", "kv"], "left_semi").select("p").distinct()
     e = materialize(keyed.join(contested, "p", "left_semi"), "dedup-open")
     everyone = first.select("o").distinct()
+    tables = [first, e]
     kept_parts = [everyone.join(e.select("o"), "o", "left_anti")]
     rounds = 0
     left = not e.isEmpty()
@@ -170,12 +172,14 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
         # most clusters end within a few plain rounds; what is left then are chains
         if rounds < PLAIN:
             made = materialize(_fates(e), "dedup-round")
+            tables.append(made)
             kept_parts.append(made.where("won").select("o"))
             after = e.join(made.where("NOT hit"), "p", "left_semi")
         else:
             fates = materialize(_standing(e), "dedup-round")
             made = _chains(fates)
             discard(fates)
+            tables.append(made)
             kept = made.where("root AND NOT flip")
             kept_parts.append(kept.select("o"))
             # groups of kept jobs: all their members are decided
@@ -189,13 +193,20 @@ def greedy_dedup(jobs: DataFrame, ts_col: str = "scraped_at", order_col: str = "
         if rounds:
             discard(last)
         rounds += 1
-    kept_all = functools.reduce(DataFrame.unionByName, kept_parts)
+    if rounds:
+        tables.append(e)
+    kept_all = materialize(functools.reduce(DataFrame.unionByName, kept_parts), "dedup-kept")
     if stats is not None:
         stats.rounds = rounds
         stats.input_rows = everyone.count()
         stats.kept_rows = kept_all.count()
-    return jobs.join(kept_all.withColumnRenamed("o", "_o"),
-                     F.col(order_col).cast("long") == F.col("_o"), "left_semi")
+    # one long for a kept job is all that a later plan reads
+    for done in tables:
+        discard(done)
+    out = jobs.join(kept_all.withColumnRenamed("o", "_o"),
+                    F.col(order_col).cast("long") == F.col("_o"), "left_semi")
+    out.kept_keys = kept_all
+    return out
 
 
 def exact_id_dedup(jobs: DataFrame, id_col: str = "id", ts_col: str = "scraped_at",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Session settings every job relies on.  AQE re-plans joins at run time
 # (size-checked broadcast of small sides, split of skewed partitions,
 # coalescing of small shuffle partitions).
@@ -73,6 +76,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession):
+    """Shuffle files of the jobs run inside go when their job ends, not when the driver
+    happens to collect garbage; what follows reads the written tables."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` once as Parquet to the shared checkpoint folder
     and read it back.  Survives executor loss (the files live on the shared
@@ -81,7 +99,8 @@ def materialize(df, name: str = "stage"):
     import uuid
     spark = df.sparkSession
     path = shared_dir(spark, f"jobloom/{name}-{uuid.uuid4().hex}")
-    df.write.mode("error").parquet(path)
+    with shuffles_released(spark):
+        df.write.mode("error").option("compression", "zstd").parquet(path)
     out = spark.read.parquet(path)
     out._materialized_at = path
     return out
@@ -89,8 +108,18 @@ def materialize(df, name: str = "stage"):
 
 def discard(df) -> None:
     """Deletes the files of a table from ``materialize`` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._materialized_at)
+    remove(df.sparkSession, df._materialized_at)
+
+
+def release_shuffles(df) -> None:
+    """Deletes the shuffle files behind a micro-batch that has been written: they are of the
+    stream's own job, which ``shuffles_released`` doesn't reach."""
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

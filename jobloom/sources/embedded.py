@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jobloom.constants import EMBEDDED_MARKER_PATTERN
-from jobloom.functions.dates import relative_date_a
+from jobloom.functions.dates import posted
 from jobloom.functions.text import job_id
 from jobloom.functions.web import job_url_from_key, remote_type, snippet_fallback
 from jobloom.sources.extracted import RAW_ITEMS, truthy
@@ -101,7 +101,7 @@ def job_of(it: Column, as_of, board: str = "indeed") -> list[Column]:
     return [job_id(it.company, it.title, it.location, it.key).alias("id"),
             it.title.alias("title"), it.company.alias("company"), it.location.alias("location"),
             it.description.alias("description"), job_url_from_key(it.key).alias("url"),
-            relative_date_a(it.time, as_of).alias("posted_date"),
+            posted(it.time, as_of),
             F.lit(board).alias("board_source"),
             remote_type(it.location, it.remote).alias("remote_type")]
 

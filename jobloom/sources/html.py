@@ -18,7 +18,7 @@ from itertools import accumulate, chain
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jobloom.functions.dates import relative_date_a
+from jobloom.functions.dates import posted
 from jobloom.functions.text import job_id
 from jobloom.functions.web import job_url_from_key, remote_type
 
@@ -333,7 +333,7 @@ def card_job(c: Column, as_of, board: str = "indeed") -> list[Column]:
     return [job_id(c.company, c.title, c.location, c.job_key).alias("id"), c.title.alias("title"),
             c.company.alias("company"), c.location.alias("location"),
             c.description.alias("description"), job_url_from_key(c.job_key).alias("url"),
-            relative_date_a(c.posted_text, as_of).alias("posted_date"),
+            posted(c.posted_text, as_of),
             F.lit(board).alias("board_source"), remote_type(c.location).alias("remote_type")]
 
 

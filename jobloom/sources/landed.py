@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 PAGE_SIZE = 15
 PAGES_PER_SEARCH = 10
 CORRUPT_PAGE, NO_MARKER_PAGE = 7, 8  # page_no % 10: bad embedded JSON / no embedded JSON
+JOB_COLUMNS = ["seq", "title", "company", "location", "description", "posted_text", "salary_text"]
 
 
 def _slug(c):
@@ -23,46 +24,47 @@ def _job_key(k):
     return F.when(k % 13 == 0, F.lit(None)).otherwise(k.cast("string"))
 
 
-def embedded_item(k=None):
-    """One embedded search-result object per job (nulls are omitted by to_json)."""
-    k = F.col("seq") if k is None else k
+def embedded_item(col=F.col):
+    """One embedded search-result object per job (nulls are omitted by to_json); ``col`` gives
+    the job's columns."""
+    k = col("seq")
     return F.struct(
         _job_key(k).alias("jobkey"),
-        F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("title")).alias("title"),
-        F.when((k % 11 == 0) & (k % 2 == 0), F.lit(None)).otherwise(F.col("title")).alias("displayTitle"),
-        F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("company")).alias("company"),
-        F.when(k % 19 == 0, F.lit(None)).otherwise(F.col("location")).alias("formattedLocation"),
+        F.when(k % 11 == 0, F.lit(None)).otherwise(col("title")).alias("title"),
+        F.when((k % 11 == 0) & (k % 2 == 0), F.lit(None)).otherwise(col("title")).alias("displayTitle"),
+        F.when(k % 17 == 0, F.lit(None)).otherwise(col("company")).alias("company"),
+        F.when(k % 19 == 0, F.lit(None)).otherwise(col("location")).alias("formattedLocation"),
         F.when((k % 19 == 0) & (k % 2 == 0), F.lit(None)).otherwise(F.lit("Taipei")).alias("jobLocationCity"),
-        F.when(k % 2 == 0, F.lit("")).otherwise(F.col("description")).alias("snippet"),
-        F.array(F.col("title"), F.col("location")).alias("jobSnippetHtmlItems"),
-        F.col("posted_text").alias("formattedRelativeTime"),
+        F.when(k % 2 == 0, F.lit("")).otherwise(col("description")).alias("snippet"),
+        F.array(col("title"), col("location")).alias("jobSnippetHtmlItems"),
+        col("posted_text").alias("formattedRelativeTime"),
         (k % 7 == 0).alias("remoteLocation"),
         F.when(k % 3 == 0, F.struct((F.lit(50000) + k % 100).cast("double").alias("min"),
                                     (F.lit(90000) + k % 100).cast("double").alias("max")))
         .alias("extractedSalary"),
-        F.concat(F.lit("/cmp/"), _slug(F.col("company"))).alias("companyOverviewLink"),
+        F.concat(F.lit("/cmp/"), _slug(col("company"))).alias("companyOverviewLink"),
     )
 
 
-def dom_card(k=None):
-    """One job card of the search-results markup."""
-    k = F.col("seq") if k is None else k
+def dom_card(col=F.col):
+    """One job card of the search-results markup; ``col`` gives the job's columns."""
+    k = col("seq")
     key = _job_key(k)
     key_attr = F.when(key.isNull(), F.lit("")).otherwise(F.concat(F.lit(' data-jk="'), key, F.lit('"')))
     company = F.when(k % 23 == 0, F.lit("")).otherwise(
-        F.concat(F.lit('<span data-testid="company-name">'), F.col("company"), F.lit("</span>")))
+        F.concat(F.lit('<span data-testid="company-name">'), col("company"), F.lit("</span>")))
     location = F.when(k % 29 == 0, F.lit("")).otherwise(
-        F.concat(F.lit('<div data-testid="text-location">'), F.col("location"), F.lit("</div>")))
-    snippet = F.regexp_replace(F.col("description"), "<[^>]*>", "")
-    salary = F.coalesce(F.col("salary_text"), F.lit(""))
+        F.concat(F.lit('<div data-testid="text-location">'), col("location"), F.lit("</div>")))
+    snippet = F.regexp_replace(col("description"), "<[^>]*>", "")
+    salary = F.coalesce(col("salary_text"), F.lit(""))
     return F.concat(
         F.lit('<div class="job_seen_beacon cardOutline"><h2 class="jobTitle css-1"><a'), key_attr,
-        F.lit(' href="/rc/clk?jk='), F.coalesce(key, F.lit("")), F.lit('"><span>'), F.col("title"),
+        F.lit(' href="/rc/clk?jk='), F.coalesce(key, F.lit("")), F.lit('"><span>'), col("title"),
         F.lit("</span></a></h2>"), F.lit('<div class="company_location">'), company, location,
         F.lit('</div><div class="job-snippet"><ul><li>'), snippet, F.lit("</li></ul></div>"),
-        F.lit('<span class="date">'), F.col("posted_text"), F.lit("</span>"),
+        F.lit('<span class="date">'), col("posted_text"), F.lit("</span>"),
         F.lit('<div class="salary-snippet-container">'), salary, F.lit("</div>"),
-        F.lit('<a href="/cmp/'), _slug(F.col("company")), F.lit('">Company</a></div>'))
+        F.lit('<a href="/cmp/'), _slug(col("company")), F.lit('">Company</a></div>'))
 
 
 def _dirty(raw, k):
@@ -70,24 +72,37 @@ def _dirty(raw, k):
     return F.when(k % 10 == 3, F.lit('"x"')).when(k % 10 == 6, F.lit("7")).otherwise(raw)
 
 
-def search_pages(jobs: DataFrame, dirty: bool = False) -> DataFrame:
+def page_of(seq):
+    """The page that shows a job."""
+    return F.floor(seq / PAGE_SIZE)
+
+
+def search_of(page_id):
+    """(search_id, page_no) of a page."""
+    return (F.concat(F.lit("search-"), F.floor(page_id / PAGES_PER_SEARCH).cast("string")),
+            page_id % PAGES_PER_SEARCH)
+
+
+def search_pages(jobs: DataFrame, dirty: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, search_id, page_no, url, html, n_items): embedded JSON plus cards.
 
-    ``dirty``: nulls are written out, and some elements of the list are no objects."""
-    k = F.col("seq")
-    raw = F.to_json(embedded_item(), {"ignoreNullFields": str(not dirty).lower()})
-    per_job = jobs.select(
-        (F.floor(k / PAGE_SIZE)).alias("page_id"),
-        F.struct(k.alias("seq"), (_dirty(raw, k) if dirty else raw).alias("item"),
-                 dom_card().alias("card")).alias("j"))
-    pages = per_job.groupBy("page_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    ``dirty``: nulls are written out, and some elements of the list are no objects.  ``keep``: columns
+    that all jobs of a page agree on.  What is shuffled, sorted and spilled is the jobs' columns; the
+    markup, several times as long, is made of a page's collected jobs."""
+    def shown(j):
+        raw = F.to_json(embedded_item(lambda c: j[c]), {"ignoreNullFields": str(not dirty).lower()})
+        return F.struct(j["seq"].alias("seq"), (_dirty(raw, j["seq"]) if dirty else raw).alias("item"),
+                        dom_card(lambda c: j[c]).alias("card"))
+    per_job = jobs.select(page_of(F.col("seq")).alias("page_id"), *keep, F.struct(*JOB_COLUMNS).alias("j"))
+    pages = per_job.groupBy("page_id", *keep).agg(F.collect_list("j").alias("js")) \
+        .withColumn("js", F.sort_array(F.transform("js", shown)))
     cards = F.array_join(F.transform("js", lambda x: x.card), "")
     payload = F.concat(
         F.lit('{"metaData":{"mosaicProviderJobCardsModel":{"results":['),
         F.array_join(F.transform("js", lambda x: x.item), ","),
         F.lit('],"tierSummaries":[{"jobCount":'), F.size("js").cast("string"),
         F.lit('},{"jobCount":5}]}}}'))
-    pno = F.col("page_id") % PAGES_PER_SEARCH
+    search_id, pno = search_of(F.col("page_id"))
     payload = F.when(pno == CORRUPT_PAGE, F.regexp_replace(payload, '^\\{"', "{")).otherwise(payload)
     script = F.when(pno == NO_MARKER_PAGE, F.lit("")).otherwise(F.concat(
         F.lit('<script>window.mosaic.providerData["mosaic-provider-jobcards"] = '), payload,
@@ -96,11 +111,11 @@ def search_pages(jobs: DataFrame, dirty: bool = False) -> DataFrame:
                     F.lit('<div id="mosaic-jobResults">'), cards, F.lit("</div></body></html>"))
     return pages.select(
         "page_id",
-        F.concat(F.lit("search-"), F.floor(F.col("page_id") / PAGES_PER_SEARCH).cast("string")).alias("search_id"),
+        search_id.alias("search_id"),
         pno.cast("int").alias("page_no"),
         F.concat(F.lit("https://www.indeed.com/jobs?q=x&start="), (pno * 10).cast("string")).alias("url"),
         html.alias("html"),
-        F.size("js").alias("n_items"))
+        F.size("js").alias("n_items"), *keep)
 
 
 def extraction_item(k=None):

@@ -61,19 +61,28 @@ def blocked_flags(pages: DataFrame, n_jobs_col: str | None = None) -> DataFrame:
                         (challenge | phrase | captcha_el | blocked_el).alias("blocked"))
 
 
-def jobs_or_cards(pages: DataFrame, as_of) -> DataFrame:
-    """S15 in one pass: the jobs of a page's embedded list, or those of its cards if it has none.
+def with_jobs_or_cards(pages: DataFrame, as_of) -> DataFrame:
+    """S15 in one pass: the jobs of a page's embedded list, or those of its cards if it has none, as
+    the array ``found`` of a page, in the place of its html.
 
     The list is parsed once into an array; only a page without jobs keeps its html for the card
-    parser.  No join and no shuffle.  ``source`` says which it was."""
+    parser.  No join and no shuffle.  ``source`` says which it was.  Without ``as_of`` jobs have their
+    ``posted_text`` instead of ``posted_date``."""
     from jobloom.sources import embedded, html
     p = embedded.with_jobs(pages, as_of)
     p = p.withColumn("html", F.when(F.size("jobs") == 0, F.col("html")))
     p = html.with_cards(p, "dom")
     cards = F.transform("cards", lambda c: F.struct(c["pos"].alias("pos"), *html.card_job(c, as_of)))
-    return p.select("page_id", *[c for c in ("search_id", "page_no") if c in pages.columns],
+    return p.select(*[c for c in pages.columns if c != "html"],
                     F.when(F.size("jobs") > 0, "embedded").otherwise("dom").alias("source"),
-                    F.explode_outer(F.concat("jobs", cards)).alias("j")) \
+                    F.concat("jobs", cards).alias("found"))
+
+
+def jobs_or_cards(pages: DataFrame, as_of) -> DataFrame:
+    """A row for each job of ``with_jobs_or_cards``."""
+    keep = [c for c in ("page_id", "search_id", "page_no") if c in pages.columns]
+    p = with_jobs_or_cards(pages.select(*keep, "html"), as_of)
+    return p.select(*keep, "source", F.explode_outer("found").alias("j")) \
         .where(F.col("j").isNotNull()).select("*", "j.*").drop("j")
 
 

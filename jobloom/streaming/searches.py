@@ -89,10 +89,13 @@ def whole_searches(pages: DataFrame, cap: int = CAP, patience_ms: int = PATIENCE
 
 @contextlib.contextmanager
 def state_on_disk(spark: SparkSession):
-    """For the start of a query with state: the store that spills to disk, and no micro-batch
-    without data (timers fire with the next data, so a drain of what has landed ends)."""
+    """For the start of a query with state: the store that spills to disk, without the megabytes that
+    it sets aside for each partition's log, and no micro-batch without data (timers fire with the next
+    data, so a drain of what has landed ends)."""
     wanted = {"spark.sql.streaming.stateStore.providerClass":
               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+              "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
               "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():

@@ -9,6 +9,7 @@ import pytest
 
 from jobloom.plans import base, streaming
 from jobloom.session import shared_dir
+from jobloom.sources import landed
 from jobloom.streaming import ingest
 from jobloom.streaming.ingest import dedup_searches, jobs_of_pages, run_ingest
 from jobloom.streaming.searches import is_whole, state_on_disk, whole_searches
@@ -130,3 +131,80 @@ def test_pages_are_parsed_before_the_sort(spark, landing, monkeypatch):
     jobs_of_pages(spark.read.parquet(f"{landing}/landing"), base.AS_OF)
     assert [n for n, _ in written] == ["ingest-pages", "ingest"]
     assert "from_json" not in written[1][1] and "MapInArrow" in written[0][1] and "MapInArrow" not in written[1][1]
+
+
+def tables(folder):
+    return {n for n in os.listdir(folder) if not n.startswith("test-")} if os.path.isdir(folder) else set()
+
+
+def shuffle_blocks(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for b in found.mkString(" ").split() if b.startswith("shuffle_")}
+
+
+def test_a_batch_leaves_its_rows_only(spark, landing):
+    """No written table and no shuffle file of a batch is there after it."""
+    folder = shared_dir(spark, "jobloom").removeprefix("file:")
+    tables_before, blocks_before = tables(folder), shuffle_blocks(spark)
+    run_ingest(spark, f"{landing}/landing", f"{landing}/alone", f"{landing}/ckpt-alone", base.AS_OF, 4)
+    assert ids(spark, f"{landing}/alone")
+    assert tables(folder) == tables_before
+    assert not {b for b in shuffle_blocks(spark) - blocks_before if not b.endswith(".checksum.ADLER32")}
+
+
+def test_the_query_leaves_its_store_only(spark):
+    folder = shared_dir(spark, "jobloom").removeprefix("file:")
+    before = tables(folder)
+    assert streaming.stream_ingest(spark, SF_SMALL).count()
+    run, = tables(folder) - before
+    assert [n for n in os.listdir(f"{folder}/{run}") if not n.startswith(".")] == ["store"]
+
+
+def test_the_state_holds_jobs_instead_of_markup(spark, landing):
+    pages = spark.read.parquet(f"{landing}/landing")
+    held = ingest.parsed_pages(pages)
+    assert held.columns == ["page_id", "search_id", "page_no", "last", "jobs"]
+    columns = ["page_id", "pos", *ingest.STORE_COLUMNS]
+    was = {tuple(r) for r in ingest.pages.jobs_or_cards(pages, base.AS_OF).select(columns).collect()}
+    assert {tuple(r) for r in ingest.jobs_of_parsed(held, base.AS_OF).select(columns).collect()} == was and was
+    # a page without jobs is a page of its search all the same, and odd texts come back as they were
+    card = '<div class="job_seen_beacon"><h2 class="jobTitle"><a data-jk="k"><span>\u00e4 &quot;b&quot; \\c</span></a></h2></div>'
+    odd = spark.createDataFrame([(1, "s", 0, None, False), (2, "s", 1, "<p>none</p>", False), (None, None, 2, card, True)], PAGES)
+    held = ingest.parsed_pages(odd)
+    assert [(r.page_no, r.last) for r in held.orderBy("page_no").collect()] == [(0, False), (1, False), (2, True)]
+    row, = ingest.jobs_of_parsed(held, base.AS_OF).collect()
+    was, = ingest.pages.jobs_or_cards(odd, base.AS_OF).collect()
+    assert all(row[c] == was[c] for c in columns) and row.page_id is None and row.title == '\u00e4 "b" \\c'
+
+
+def test_slices_change_nothing(spark, landing, monkeypatch):
+    pages = spark.read.parquet(f"{landing}/landing")
+    lost = pages.limit(1).selectExpr("CAST(NULL AS LONG) AS page_id", "'x' AS search_id", "page_no", "url", "html", "last")
+    pages = pages.unionByName(lost)
+
+    def run(name):
+        found = jobs_of_pages(pages, base.AS_OF)
+        kept = dedup_searches(found)
+        ingest.add_to_store(spark, f"{landing}/{name}", kept)
+        stored = spark.read.parquet(f"{landing}/{name}").select(ingest.STORE_SCHEMA.names).collect()
+        return ([tuple(r)[1:] for r in found.select("seq", *ingest.STORE_COLUMNS).orderBy("seq").collect()],
+                sorted(r.id + r.search_id for r in kept.select("id", "search_id").collect()),
+                sorted(map(str, stored)), len(found.ingested), len(kept.written))
+    whole = run("whole")
+    monkeypatch.setattr(ingest, "SLICE_ROWS", 400)
+    sliced = run("sliced")
+    assert sliced[:3] == whole[:3] and whole[0][0][1] == "x"
+    assert whole[3:] == (1, 1) and min(sliced[3:]) > 2
+    monkeypatch.setattr(ingest, "SLICES", 2)
+    assert ingest.slices_of(pages) <= 2
+
+
+def test_pages_are_made_after_the_shuffle(spark):
+    """What is shuffled is the jobs' columns, not their pages."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = landed.search_pages(base.jobs(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    _, _, below = plan.partition("Exchange hashpartitioning(page_id")
+    assert "posted_text" in below and "job_seen_beacon" not in below
